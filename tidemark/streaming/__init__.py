@@ -1,0 +1,5 @@
+"""Left empty on purpose.
+
+Every mart is a full batch recomputation over the event log: there is no late
+data, watermark or running state to keep, so there is nothing to stream.
+"""
