@@ -7,9 +7,8 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
-
 from tidemark.plans import propensity
+from tidemark.session import cluster_session
 from tidemark.sources import schemas
 from tidemark.sources.export import export_marts, manifest
 from tidemark.sources.staging import stage
@@ -22,11 +21,11 @@ def model_marts(stored_facts, n_trees: int) -> dict:
     split = stage(propensity.stratified_split(propensity.propensity_features(stored_facts)), "split")
     train = propensity.with_class_weight(split.filter(~split.is_test))
     encoder, names = propensity.fit_encoder(train)
-    model = propensity.forest(n_trees).fit(encoder.transform(train))
+    validation, model = propensity.cross_validate(encoder.transform(train), propensity.forest(n_trees))
     scored = propensity.scores(model, encoder.transform(split.filter(split.is_test)))
     return {
         "model_feature_importance": propensity.feature_importance(model, names),
-        "model_cross_validation": propensity.cross_validate(encoder.transform(train), propensity.forest(n_trees)),
+        "model_cross_validation": validation,
         "model_roc_auc": propensity.roc_auc(scored, buckets=64),
         "model_classification_report": propensity.classification_report(scored),
     }
@@ -43,7 +42,7 @@ def main() -> None:
     parser.add_argument("--trees", type=int, default=propensity.N_TREES)
     args = parser.parse_args()
 
-    spark = SparkSession.builder.appName("tidemark").getOrCreate()
+    spark = cluster_session()
     warehouse = Warehouse(
         read_table(spark, args.users, schemas.USERS, args.input_format),
         read_table(spark, args.events, schemas.EVENTS, args.input_format),

@@ -12,8 +12,9 @@ from tidemark.functions.numeric import round_to, to_number
 from tidemark.operators.joins import id_overlap
 from tidemark.operators.ordering import exact_percentiles
 from tidemark.plans import (
-    catalog, cleaning, engagement, experiments, funnel, propensity, quality, retention, segments, trials,
+    catalog, cleaning, engagement, experiments, funnel, kpis, propensity, quality, retention, segments, trials,
 )
+from tidemark.plans.facts import STAGES
 from tidemark.sources import schemas, tables, testbed
 from tidemark.sources.export import export_marts, manifest
 from tidemark.sources.staging import new_path, stage
@@ -30,10 +31,12 @@ def query(function: Query) -> Query:
     return function
 
 
+STAGE_FLAGS = tuple(f"reached_{stage}" for stage, _ in STAGES)
+
+
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    return Warehouse(
-        testbed.users(spark, sf_dir), testbed.events(spark, sf_dir), testbed.MAX_USERS_PER_DEVICE
-    )
+    log = testbed.events(spark, sf_dir)
+    return Warehouse(testbed.users(spark, sf_dir, log), log, testbed.MAX_USERS_PER_DEVICE)
 
 
 def _rounded(df: DataFrame, digits: int = 8) -> DataFrame:
@@ -105,7 +108,7 @@ def user_facts(spark, sf_dir):
 
 @query
 def funnel_summary(spark, sf_dir):
-    return funnel.funnel_summary(warehouse(spark, sf_dir).user_facts)
+    return funnel.funnel_summary(warehouse(spark, sf_dir).facts_with(*STAGE_FLAGS))
 
 
 @query
@@ -115,7 +118,8 @@ def funnel_transitions(spark, sf_dir):
 
 @query
 def cohort_retention(spark, sf_dir):
-    return retention.cohort_retention(warehouse(spark, sf_dir).user_facts)
+    facts = warehouse(spark, sf_dir).facts_with("has_core_activity", *[f"active_d{d}" for d in retention.RETENTION_DAYS])
+    return retention.cohort_retention(facts)
 
 
 @query
@@ -135,22 +139,24 @@ def dropoff_cliff(spark, sf_dir):
 
 @query
 def feature_adoption(spark, sf_dir):
-    return funnel.feature_adoption(warehouse(spark, sf_dir).user_facts)
+    return funnel.feature_adoption(
+        warehouse(spark, sf_dir).facts_with("reached_trial", "reached_purchase", "used_collab")
+    )
 
 
 @query
 def user_segmentation(spark, sf_dir):
-    return segments.user_segmentation(warehouse(spark, sf_dir).user_facts)
+    return segments.user_segmentation(warehouse(spark, sf_dir).facts_with("reached_purchase"))
 
 
 @query
 def user_segments(spark, sf_dir):
-    return segments.assign_segments(warehouse(spark, sf_dir).user_facts)
+    return segments.assign_segments(warehouse(spark, sf_dir).facts_with("reached_purchase"))
 
 
 @query
 def lifetime_stats(spark, sf_dir):
-    return engagement.lifetime_stats(warehouse(spark, sf_dir).user_facts)
+    return engagement.lifetime_stats(warehouse(spark, sf_dir).facts_with())
 
 
 def _orders_per_customer(spark, sf_dir) -> DataFrame:
@@ -173,7 +179,7 @@ def engagement_bands(spark, sf_dir):
 
 @query
 def weekly_conversion(spark, sf_dir):
-    return engagement.weekly_conversion(warehouse(spark, sf_dir).user_facts)
+    return engagement.weekly_conversion(warehouse(spark, sf_dir).facts_with())
 
 
 @query
@@ -192,12 +198,22 @@ def weekly_order_conversion(spark, sf_dir):
 
 @query
 def advanced_analytics(spark, sf_dir):
-    return engagement.advanced_analytics(warehouse(spark, sf_dir).user_facts)
+    return engagement.advanced_analytics(warehouse(spark, sf_dir).facts_with())
 
 
 @query
 def kpi_summary(spark, sf_dir):
-    return _rounded(warehouse(spark, sf_dir).marts()["kpi_summary"])
+    wh = warehouse(spark, sf_dir)
+    stored, curve = wh.stored_facts, stage(wh.dropoff_curve, "curve")
+    return _rounded(
+        kpis.kpi_summary(
+            funnel.funnel_summary(stored),
+            curve,
+            segments.user_segmentation(stored),
+            funnel.feature_adoption(stored),
+            engagement.advanced_analytics(stored),
+        )
+    )
 
 
 @query
@@ -209,7 +225,7 @@ def catalog_clean(spark, sf_dir):
 
 
 def _arms(spark, sf_dir, by=()):
-    return experiments.arm_counts(warehouse(spark, sf_dir).user_facts, by)
+    return experiments.arm_counts(warehouse(spark, sf_dir).facts_with("reached_purchase"), by)
 
 
 @query
@@ -269,7 +285,9 @@ def revenue_impact(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    return propensity.propensity_features(warehouse(spark, sf_dir).user_facts)
+    return propensity.propensity_features(
+        warehouse(spark, sf_dir).facts_with("used_collab_early", "purchased_early", "reached_purchase")
+    )
 
 
 @query
@@ -307,7 +325,8 @@ def _split(spark, sf_dir):
 @query
 def propensity_cv(spark, sf_dir):
     train, _, _ = _split(spark, sf_dir)
-    return propensity.cross_validate(train, propensity.forest(N_TREES))
+    summary, _ = propensity.cross_validate(train, propensity.forest(N_TREES))
+    return summary
 
 
 @query

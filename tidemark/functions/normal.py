@@ -43,39 +43,44 @@ SMALL_LIMIT = 0.46875
 MIDDLE_LIMIT = 4.0
 
 
-def _polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
-    value = F.lit(coefficients[0])
+def _polynomial(coefficients: tuple[float, ...], x: str) -> str:
+    value = f"{coefficients[0]!r}D"
     for c in coefficients[1:]:
-        value = value * x + F.lit(c)
+        value = f"({value} * {x} + {c!r}D)"
     return value
 
 
-def erfc(x: Column) -> Column:
-    """Complementary error function. Pass a plain column, not a deep expression:
-    the argument is repeated in every polynomial term."""
-    y = F.abs(x)
-    square = y * y
-    inverse = F.lit(1.0) / square
-    small = F.lit(1.0) - y * _polynomial(SMALL_NUM, square) / _polynomial(SMALL_DEN, square)
-    middle = F.exp(-square) * _polynomial(MIDDLE_NUM, y) / _polynomial(MIDDLE_DEN, y)
-    tail_fraction = inverse * _polynomial(TAIL_NUM, inverse) / _polynomial(TAIL_DEN, inverse)
-    tail = F.exp(-square) * (F.lit(1.0 / math.sqrt(math.pi)) - tail_fraction) / y
-    positive = F.when(y <= SMALL_LIMIT, small).when(y <= MIDDLE_LIMIT, middle).otherwise(tail)
-    return F.when(x < 0, F.lit(2.0) - positive).when(x.isNotNull(), positive)
+def erfc(x: str) -> Column:
+    """Complementary error function of a column, given by name.
 
+    Built as one SQL expression: the same tree from Column operators would take
+    a driver round trip per polynomial term.
+    """
+    y, square = f"abs({x})", f"({x} * {x})"
+    inverse = f"(1D / {square})"
+    small = f"1D - {y} * {_polynomial(SMALL_NUM, square)} / {_polynomial(SMALL_DEN, square)}"
+    middle = f"exp(-{square}) * {_polynomial(MIDDLE_NUM, y)} / {_polynomial(MIDDLE_DEN, y)}"
+    fraction = f"{inverse} * {_polynomial(TAIL_NUM, inverse)} / {_polynomial(TAIL_DEN, inverse)}"
+    tail = f"exp(-{square}) * ({1 / math.sqrt(math.pi)!r}D - {fraction}) / {y}"
+    positive = f"CASE WHEN {y} <= {SMALL_LIMIT}D THEN {small} WHEN {y} <= {MIDDLE_LIMIT}D THEN {middle} ELSE {tail} END"
+    return F.expr(
+        f"CASE WHEN {x} IS NULL THEN CAST(NULL AS DOUBLE) WHEN {x} < 0 THEN 2D - ({positive}) ELSE {positive} END"
+    )
 
-def upper_tail(z: Column) -> Column:
-    """P(Z > z) for a standard normal Z; ``z`` must be a plain column."""
-    return F.lit(0.5) * erfc(z / F.lit(math.sqrt(2.0)))
 
+def upper_tail(z: str) -> Column:
+    """P(Z > z) for a standard normal Z."""
+    return F.lit(0.5) * erfc(f"({z} / {math.sqrt(2.0)!r}D)")
 
-def lower_tail(z: Column) -> Column:
-    return F.lit(0.5) * erfc(-z / F.lit(math.sqrt(2.0)))
 
+def lower_tail(z: str) -> Column:
+    """P(Z < z) for a standard normal Z."""
+    return F.lit(0.5) * erfc(f"(-{z} / {math.sqrt(2.0)!r}D)")
 
-def chi2_upper_tail_1df(statistic: Column) -> Column:
+
+def chi2_upper_tail_1df(statistic: str) -> Column:
     """p-value of a chi-square statistic with one degree of freedom."""
-    return erfc(F.sqrt(statistic / 2.0))
+    return erfc(f"sqrt({statistic} / 2D)")
 
 
 def z_quantile(p: float) -> float:

@@ -60,7 +60,7 @@ def srm_check(sides: DataFrame, srm_alpha: float = SRM_ALPHA) -> DataFrame:
     deviation = sum(ratio((F.col(n) - expected) * (F.col(n) - expected), expected) for n in ("n_c", "n_t"))
     return (
         sides.withColumn("srm_chi2", deviation)
-        .withColumn("srm_p_value", chi2_upper_tail_1df(F.col("srm_chi2")))
+        .withColumn("srm_p_value", chi2_upper_tail_1df("srm_chi2"))
         .withColumn("has_srm", F.col("srm_p_value") < srm_alpha)
     )
 
@@ -93,7 +93,7 @@ def power_check(
         .withColumn("is_adequately_powered", (F.col("n_c") >= needed) & (F.col("n_t") >= needed))
         .withColumn("effect_h", F.when(rate > 0, effect).when(rate == 0, F.lit(0.0)))
         .withColumn("power_z", F.col("effect_h") * F.sqrt(F.col("n_c") / 2.0) - z_quantile(1 - alpha))
-        .withColumn("power", F.when(rate == 0, 0.0).otherwise(lower_tail(F.col("power_z"))))
+        .withColumn("power", F.when(rate == 0, 0.0).otherwise(lower_tail("power_z")))
         .drop("power_z")
     )
 
@@ -111,7 +111,7 @@ def z_test(sides: DataFrame, alpha: float = ALPHA, significance: float = BONFERR
         rates.withColumn("absolute_lift", lift)
         .withColumn("relative_lift", F.when(F.col("rate_c") > 0, lift / F.col("rate_c")).when(F.col("rate_c") == 0, 0.0))
         .withColumn("z_stat", ratio(lift, spread))
-        .withColumn("p_value", upper_tail(F.col("z_stat")))
+        .withColumn("p_value", upper_tail("z_stat"))
         .withColumn("is_significant", F.col("p_value") < significance)
     )
     for arm in ("t", "c"):
@@ -171,7 +171,7 @@ def adoption_chi2(adoption: DataFrame, significance: float = BONFERRONI_ALPHA, l
         gap = F.abs(cell - expected)
         corrected = gap - F.least(F.lit(0.5), gap)
         chi2 = chi2 + ratio(corrected * corrected, expected)
-    tested = table.select(chi2.alias("chi2_stat")).withColumn("p", chi2_upper_tail_1df(F.col("chi2_stat")))
+    tested = table.select(chi2.alias("chi2_stat")).withColumn("p", chi2_upper_tail_1df("chi2_stat"))
     return tested.select(
         F.lit(label).alias("test"),
         "chi2_stat",

@@ -47,14 +47,24 @@ def _marks(retention_days: tuple[int, ...], early_day: int) -> dict[str, Column]
     }
 
 
+def _chosen(flags: tuple[str, ...] | None, retention_days: tuple[int, ...], early_day: int) -> dict[str, Column]:
+    marks = _marks(retention_days, early_day)
+    return marks if flags is None else {f: marks[f] for f in flags}
+
+
 def event_facts(
-    events: DataFrame, retention_days: tuple[int, ...] = RETENTION_DAYS, early_day: int = EARLY_DAY
+    events: DataFrame,
+    retention_days: tuple[int, ...] = RETENTION_DAYS,
+    early_day: int = EARLY_DAY,
+    flags: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """(user_id, marks, counts and extremes) for every user id in the log."""
-    marks = _marks(retention_days, early_day)
-    bits = reduce(
-        add, [F.when(hit, F.lit(1 << i)).otherwise(F.lit(0)) for i, hit in enumerate(marks.values())]
-    )
+    """(user_id, marks, counts and extremes) for every user id in the log.
+
+    ``flags`` limits the yes/no facts to those a single mart needs, so that the
+    scan reads no other columns; unused counts and extremes are pruned anyway.
+    """
+    marks = _chosen(flags, retention_days, early_day).values()
+    bits = reduce(add, [F.when(hit, F.lit(1 << i)).otherwise(F.lit(0)) for i, hit in enumerate(marks)], F.lit(0))
     name, day = F.col("event_name"), F.col("day_offset")
     session = name == SESSION_EVENT
     return events.groupBy("user_id").agg(
@@ -74,18 +84,19 @@ def user_facts(
     events: DataFrame,
     retention_days: tuple[int, ...] = RETENTION_DAYS,
     early_day: int = EARLY_DAY,
+    flags: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Facts of every clean user; users without events get zeros and NULL days.
 
     ``events`` may be the raw log: the join keeps clean users only.
     """
     joined = clean_users.select(*USER_COLUMNS).join(
-        event_facts(events, retention_days, early_day), "user_id", "left"
+        event_facts(events, retention_days, early_day, flags), "user_id", "left"
     )
     marks = F.coalesce(F.col("marks"), F.lit(0))
-    flags = [
+    flag_columns = [
         F.when(marks.bitwiseAND(F.lit(1 << i)) != 0, 1).otherwise(0).alias(mark)
-        for i, mark in enumerate(_marks(retention_days, early_day))
+        for i, mark in enumerate(_chosen(flags, retention_days, early_day))
     ]
     counts = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n_events", "session_count", "early_sessions")]
     return joined.select(
@@ -96,5 +107,5 @@ def user_facts(
         (F.col("last_event_day") - F.col("first_event_day")).alias("lifetime_days"),
         "last_event_ts",
         F.coalesce(F.col("purchase_day"), F.lit(-1)).alias("purchase_day"),
-        *flags,
+        *flag_columns,
     )

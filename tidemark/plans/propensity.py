@@ -119,22 +119,24 @@ def exact_auc_evaluator() -> BinaryClassificationEvaluator:
     return BinaryClassificationEvaluator(rawPredictionCol="probability", labelCol=LABEL, numBins=0)
 
 
-def cross_validate(encoded_train: DataFrame, classifier: RandomForestClassifier, folds: int = N_FOLDS) -> DataFrame:
-    """One row: mean ROC-AUC over the stratified folds and two standard deviations."""
+def cross_validate(
+    encoded_train: DataFrame, classifier: RandomForestClassifier, folds: int = N_FOLDS
+) -> tuple[DataFrame, RandomForestClassificationModel]:
+    """One row (mean ROC-AUC over the stratified folds, two standard deviations) and
+    the model fitted on all training rows."""
     validator = CrossValidator(
         estimator=classifier,
         estimatorParamMaps=ParamGridBuilder().build(),
         evaluator=exact_auc_evaluator(),
         numFolds=folds,
         foldCol="fold",
-        parallelism=2,
     )
-    model = validator.fit(encoded_train)
-    spark = encoded_train.sparkSession
-    return spark.createDataFrame(
-        [(folds, float(model.avgMetrics[0]), 2 * float(model.stdMetrics[0]))],
+    fitted = validator.fit(encoded_train)
+    summary = encoded_train.sparkSession.createDataFrame(
+        [(folds, float(fitted.avgMetrics[0]), 2 * float(fitted.stdMetrics[0]))],
         "n_folds int, cv_roc_auc_mean double, cv_roc_auc_two_sd double",
     )
+    return summary, fitted.bestModel
 
 
 def scores(model: RandomForestClassificationModel, encoded: DataFrame) -> DataFrame:

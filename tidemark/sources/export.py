@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.sources.staging import together
+
 SHEET_NAME_LENGTH = 31  # longest sheet name a spreadsheet accepts
 
 
@@ -14,12 +16,13 @@ def export_marts(marts: dict[str, DataFrame], path: str, fmt: str = "csv") -> di
 
     Marts are reports of a few rows each, hence the single output file.
     """
-    folders = {}
-    for name, mart in sorted(marts.items()):
-        folder = f"{path}/{name[:SHEET_NAME_LENGTH]}"
-        writer = mart.coalesce(1).write.mode("overwrite")
-        writer.option("header", True).csv(folder) if fmt == "csv" else writer.parquet(folder)
-        folders[name] = folder
+    folders = {name: f"{path}/{name[:SHEET_NAME_LENGTH]}" for name in sorted(marts)}
+
+    def write(name: str) -> None:
+        writer = marts[name].coalesce(1).write.mode("overwrite")
+        writer.option("header", True).csv(folders[name]) if fmt == "csv" else writer.parquet(folders[name])
+
+    together([lambda n=n: write(n) for n in folders])
     return folders
 
 

@@ -8,7 +8,7 @@ users without any event.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 FIRST_INSTALL = "2023-12-01"
 INSTALL_DAYS = 45
@@ -16,8 +16,15 @@ N_APPS = 20
 MAX_USERS_PER_DEVICE = 20  # lower than the library default so the rule fires on small data
 
 
+_KNOWN_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A test table. Its schema is looked up once: every look-up is a small job."""
+    path = f"{sf_dir}/{table}.parquet"
+    if path not in _KNOWN_SCHEMAS:
+        _KNOWN_SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_KNOWN_SCHEMAS[path]).parquet(path)
 
 
 def _install_date(user_id: Column) -> Column:
@@ -43,46 +50,56 @@ def _event_name(kind: Column, value: Column) -> Column:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw product event log. The install day follows from the user id, so
     no join is needed to place an event on the user's day axis."""
-    user_id, ts = F.col("user_id"), F.col("ts")
+    user_id, ts = F.col("user_id"), F.col("event_timestamp")
     collaborates = F.get_json_object("props", "$.k").cast("int") < 30
+    feature = F.when(collaborates, "collaboration_feature").otherwise("standard_feature")
     return (
         read(spark, sf_dir, "events")
-        .filter(F.to_date(ts) >= _install_date(user_id))
         .select(
             "event_id",
             "user_id",
-            _app_id(user_id).alias("app_id"),
+            F.col("ts").cast("timestamp_ntz").alias("event_timestamp"),
             _event_name(F.col("event_type"), F.col("value")).alias("event_name"),
-            F.when(
-                _event_name(F.col("event_type"), F.col("value")) == "feature_used",
-                F.when(collaborates, "collaboration_feature").otherwise("standard_feature"),
-            ).alias("event_subtype"),
-            ts.alias("event_timestamp"),
-            F.datediff(F.to_date(ts), _install_date(user_id)).alias("day_offset"),
+            "props",
+            _install_date(user_id).alias("installed"),
+        )
+        .filter(F.to_date(ts) >= F.col("installed"))
+        .select(
+            "event_id",
+            "user_id",
+            _app_id(user_id).alias("app_id"),
+            "event_name",
+            F.when(F.col("event_name") == "feature_used", feature).alias("event_subtype"),
+            "event_timestamp",
+            F.datediff(F.to_date(ts), F.col("installed")).alias("day_offset"),
         )
     )
 
 
-def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+def users(spark: SparkSession, sf_dir: str, log: DataFrame | None = None) -> DataFrame:
     """The raw user table; arm assignment exists exactly for users who reached a trial."""
     trial_users = (
-        events(spark, sf_dir)
+        (log or events(spark, sf_dir))
         .filter(F.col("event_name") == "trial_started")
         .groupBy("user_id")
         .agg(F.lit(True).alias("in_trial"))
     )
-    uid = F.col("user_id")
-    installed = _install_date(uid)
+    uid, installed = F.col("user_id"), F.col("installed")
     is_bot = uid % 25 == 0
+    with_country = read(spark, sf_dir, "customer").join(
+        read(spark, sf_dir, "nation").select(
+            F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("country")
+        ),
+        "c_nationkey",
+    )
     return (
-        read(spark, sf_dir, "customer")
-        .join(
-            read(spark, sf_dir, "nation").select(
-                F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("country")
-            ),
-            "c_nationkey",
+        with_country.select(
+            F.col("c_custkey").alias("user_id"),
+            _install_date(F.col("c_custkey")).alias("installed"),
+            F.col("c_custkey").cast("string").alias("text_id"),
+            "country",
+            "c_mktsegment",
         )
-        .withColumnRenamed("c_custkey", "user_id")
         .join(trial_users, "user_id", "left")
         .select(
             "user_id",
@@ -90,12 +107,12 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
             installed.cast("timestamp_ntz").alias("install_timestamp"),
             F.trunc(installed, "month").alias("cohort_month"),
             F.when(is_bot, "dev-shared")
-            .when(uid % 40 != 9, F.concat(F.lit("dev-"), uid.cast("string")))
+            .when(uid % 40 != 9, F.concat(F.lit("dev-"), "text_id"))
             .alias("device_id"),
             "country",
             F.when(uid % 50 == 0, "internal_qa").otherwise(F.col("c_mktsegment")).alias("acquisition_channel"),
-            F.when(is_bot, F.concat(F.lit("TEST_bot_"), uid.cast("string"), F.lit("@example.com")))
-            .when(uid % 40 != 19, F.concat(F.lit("user"), uid.cast("string"), F.lit("@example.com")))
+            F.when(is_bot, F.format_string("TEST_bot_%s@example.com", "text_id"))
+            .when(uid % 40 != 19, F.format_string("user%s@example.com", "text_id"))
             .alias("email"),
             F.when(F.col("in_trial"), F.when(uid % 2 == 0, "control").otherwise("treatment")).alias("ab_group"),
             # the labels disagree with the filter rules on two residue classes

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from tidemark.plans import cleaning, engagement, experiments, facts, funnel, kpis, retention, segments, trials
-from tidemark.sources.staging import stage
+from tidemark.sources.staging import stage, stage_all
 
 
 @dataclass(frozen=True)
@@ -33,9 +33,13 @@ class Warehouse:
     def clean_events(self) -> DataFrame:
         return cleaning.clean_events(self.events, self.clean_users)
 
+    def facts_with(self, *flags: str) -> DataFrame:
+        """Facts for a single mart, with just the yes/no facts it needs; not materialised."""
+        return facts.user_facts(self.clean_users, self.events, flags=flags)
+
     @cached_property
     def user_facts(self) -> DataFrame:
-        """Not materialised: right for a single mart."""
+        """All facts; not materialised."""
         return facts.user_facts(self.clean_users, self.events)
 
     @cached_property
@@ -51,21 +55,23 @@ class Warehouse:
         """All report tables by name."""
         stored = self.stored_facts
         # finished marts are small; those that feed other marts are stored as well
-        summary = stage(funnel.funnel_summary(stored), "funnel_summary")
-        curve = stage(self.dropoff_curve, "trial_dropoff_curve")
-        adoption = stage(funnel.feature_adoption(stored), "behavioral_stats")
-        segmentation = stage(segments.user_segmentation(stored), "user_segmentation")
-        advanced = stage(engagement.advanced_analytics(stored), "advanced_analytics")
-        ab = stage(experiments.ab_test_results(experiments.arm_counts(stored)), "ab_test_results")
-        return {
-            "funnel_summary": summary,
-            "cohort_retention": retention.cohort_retention(stored),
+        base = stage_all(
+            {
+                "funnel_summary": funnel.funnel_summary(stored),
+                "trial_dropoff_curve": self.dropoff_curve,
+                "behavioral_stats": funnel.feature_adoption(stored),
+                "user_segmentation": segments.user_segmentation(stored),
+                "advanced_analytics": engagement.advanced_analytics(stored),
+                "ab_test_results": experiments.ab_test_results(experiments.arm_counts(stored)),
+            }
+        )
+        curve, adoption = base["trial_dropoff_curve"], base["behavioral_stats"]
+        return base | {
             "trial_dropoff_curve": curve.orderBy("day_offset"),
-            "behavioral_stats": adoption,
-            "user_segmentation": segmentation,
-            "advanced_analytics": advanced,
-            "ab_test_results": ab,
+            "cohort_retention": retention.cohort_retention(stored),
             "behavioral_chi2_results": experiments.adoption_chi2(adoption),
-            "kpi_summary": kpis.kpi_summary(summary, curve, segmentation, adoption, advanced),
-            "revenue_impact": experiments.revenue_impact(ab),
+            "kpi_summary": kpis.kpi_summary(
+                base["funnel_summary"], curve, base["user_segmentation"], adoption, base["advanced_analytics"]
+            ),
+            "revenue_impact": experiments.revenue_impact(base["ab_test_results"]),
         }
