@@ -10,11 +10,24 @@ from session import session  # noqa: E402
 import __spark_entry__ as entry  # noqa: E402
 
 
-def audit(df) -> dict:
+def final_plan(df) -> str:
+    """The plan as it was run, including subqueries, without the initial plans."""
     df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    # subquery plans carry their own "Initial Plan" sections
-    final = re.sub(r"\+- == Initial Plan ==.*?(?=\n\S|\n *[:+-]+- == Final Plan|\Z)", "", plan, flags=re.S)
+    kept, skip_below = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(re.match(r"[\s:|+-]*", line).group())
+        if skip_below is not None and depth > skip_below:
+            continue
+        skip_below = None
+        if "== Initial Plan ==" in line:
+            skip_below = depth - 1
+            continue
+        kept.append(line)
+    return "\n".join(kept)
+
+
+def audit(df) -> dict:
+    final = final_plan(df)
     scans = {}
     for table in re.findall(r"FileScan parquet .*?(?:/(\w+)\.parquet|tidemark/(\w+)-)", final):
         name = next(filter(None, table))

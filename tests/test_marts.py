@@ -115,6 +115,18 @@ def test_repeated_trials_count_rows_below_and_users_above(make_users, make_event
     assert [tuple(r) for r in curve_of(users, events).collect()] == [(0, 25.0, None), (3, 50.0, 25.0), (6, 25.0, -25.0)]
 
 
+def test_curve_across_blocks_of_days(make_users, make_events):
+    users = make_users({"user_id": 1}, {"user_id": 2})
+    events = make_events(
+        *[(1, "trial_started", d) for d in (-1, 63)],
+        *[(1, "session_start", d) for d in (-65, -2, -1, 0, 63, 64, 93, 94, 128)],
+        (2, "trial_started", 127), (2, "feature_used", 127), (2, "session_start", 128), (2, "session_start", 157),
+    )
+    got = {r.day_offset: r.pct_active for r in curve_of(users, events).collect()}
+    # user 1: trial -1 -> 0, 1; trial 63 -> 0, 1, 30; user 2: 0, 1, 30
+    assert got == {0: 66.67, 1: 66.67, 30: 66.67}
+
+
 def test_curve_ignores_filtered_users(make_users, make_events):
     events = make_events((1, "trial_started", 0), (1, "session_start", 0), (9, "trial_started", 0), (9, "session_start", 1))
     assert [tuple(r) for r in curve_of(make_users({"user_id": 1}), events).collect()] == [(0, 100.0, None)]

@@ -2,44 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.numeric import pct, round_to
 
 TRIAL_EVENT = "trial_started"
 ACTIVE_EVENTS = ("session_start", "feature_used")
 LAST_TRIAL_DAY = 30
+BLOCK_DAYS = 64  # bits of a long
 TYPICAL_DAY7_PCT = 34.0  # shown when day 7 is absent from the curve
 
 
+def _days(mask: str) -> Column:
+    """Day offsets whose bit is set in a mask of the user's blocks."""
+    positions = F.sequence(F.lit(0), F.lit(BLOCK_DAYS - 1))
+    return F.flatten(
+        F.transform(
+            "blocks",
+            lambda b: F.transform(
+                F.filter(positions, lambda i: F.getbit(b[mask], i) == 1), lambda i: b["block"] * BLOCK_DAYS + i
+            ),
+        )
+    )
+
+
 def trial_dropoff_curve(
     clean_users: DataFrame, events: DataFrame, last_day: int = LAST_TRIAL_DAY
 ) -> DataFrame:
     """Share of trials with activity on each day since the trial start.
 
-    The log is read once: first folded to (user, day), then to one row per trial
-    user holding its trial days and active days, of which there are at most as
-    many as the log has days. A repeated trial adds to the denominator and each
-    of its days can be matched; a user counts once per relative day.
+    The log is read once and folded to (user, 64-day block) with the active and
+    the trial days as bit masks, so even a long and dense history shuffles a
+    few rows per user and a user with a third of all events shuffles no more
+    than that per task. Blocks are then unpacked for trial users only; a user
+    has at most as many of them as the log has 64-day periods.
+
+    A repeated trial adds to the denominator and each of its days can be
+    matched; a user counts once per relative day.
     """
-    name = F.col("event_name")
-    user_days = (
+    name, day = F.col("event_name"), F.col("day_offset")
+    day_bit = F.expr(f"shiftleft(1L, pmod(day_offset, {BLOCK_DAYS}))")
+    user_blocks = (
         events.filter(name.isin(TRIAL_EVENT, *ACTIVE_EVENTS))
-        .groupBy("user_id", "day_offset")
+        .groupBy("user_id", F.floor(day / BLOCK_DAYS).cast("int").alias("block"))
         .agg(
             F.count_if(name == TRIAL_EVENT).alias("n_trials"),
-            F.max(name.isin(*ACTIVE_EVENTS)).alias("is_active"),
+            F.bit_or(F.when(name == TRIAL_EVENT, day_bit)).alias("trial_bits"),
+            F.bit_or(F.when(name.isin(*ACTIVE_EVENTS), day_bit)).alias("active_bits"),
         )
     )
     trial_users = (
-        user_days.groupBy("user_id")
+        user_blocks.groupBy("user_id")
         .agg(
             F.sum("n_trials").alias("n_trials"),
-            F.collect_list(F.when(F.col("n_trials") > 0, F.col("day_offset"))).alias("trial_days"),
-            F.collect_list(F.when(F.col("is_active"), F.col("day_offset"))).alias("active_days"),
+            F.collect_list(F.struct("block", "trial_bits", "active_bits")).alias("blocks"),
         )
         .filter(F.col("n_trials") > 0)
         .join(clean_users.select("user_id"), "user_id", "left_semi")
+        .select("n_trials", _days("trial_bits").alias("trial_days"), _days("active_bits").alias("active_days"))
     )
     relative_days = F.array_distinct(
         F.flatten(

@@ -13,6 +13,8 @@ CLUSTER_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a small build side per partition saves sorting the event side of a join
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.shuffle.partitions": "16000",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
