@@ -90,6 +90,15 @@ def test_staging_goes_to_the_configured_folder(spark):
     assert all(f.removeprefix("file://").removeprefix("file:").startswith(configured) for f in staged.inputFiles())
 
 
+def test_release_deletes_what_was_staged(spark, tmp_path):
+    import os
+
+    path = staging.stage(spark.range(5), "gone").inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    assert os.path.exists(path)
+    staging.release(spark)
+    assert not os.path.exists(path)
+
+
 def report(checks):
     return {r["check"]: (r.n_bad, r.passed) for r in quality.quality_report(checks).collect()}
 

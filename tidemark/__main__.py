@@ -11,7 +11,7 @@ from tidemark.plans import propensity
 from tidemark.session import cluster_session
 from tidemark.sources import schemas
 from tidemark.sources.export import export_marts, manifest
-from tidemark.sources.staging import stage
+from tidemark.sources.staging import release, stage
 from tidemark.sources.tables import read_table
 from tidemark.warehouse import Warehouse
 
@@ -51,7 +51,8 @@ def main() -> None:
     if not args.no_model:
         marts |= model_marts(warehouse.stored_facts, args.trees)
     folders = export_marts(marts, args.out, args.output_format)
-    manifest(spark, marts, folders, args.output_format).show(truncate=False)
+    manifest(spark, marts, folders, args.output_format).show(len(folders), truncate=False)
+    release(spark)
 
 
 if __name__ == "__main__":

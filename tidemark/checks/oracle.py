@@ -68,15 +68,13 @@ raw_users AS (
   FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN installs i ON i.user_id = c.c_custkey)"""
 
 CLEAN = RAW + """,
-reuse AS (SELECT device_id, COUNT(DISTINCT user_id) AS distinct_users_on_device FROM raw_users GROUP BY device_id),
+shared_devices AS (SELECT device_id FROM raw_users GROUP BY device_id HAVING COUNT(DISTINCT user_id) > 20),
 flagged AS (
-  SELECT u.*, CASE WHEN r.distinct_users_on_device > 20 THEN TRUE
-                   WHEN u.acquisition_channel = 'internal_qa' AND u.email ILIKE '%test%' THEN TRUE
-                   WHEN u.email ILIKE '%test%' OR u.email ILIKE '%qa%' OR u.email ILIKE '%bot%' THEN TRUE
-                   ELSE FALSE END AS is_suspected_bot
-  FROM raw_users u LEFT JOIN reuse r ON u.device_id = r.device_id),
+  SELECT *, COALESCE(device_id IN (SELECT device_id FROM shared_devices WHERE device_id IS NOT NULL), FALSE)
+    OR COALESCE(regexp_matches(lower(email), 'test|qa|bot'), FALSE) AS is_suspected_bot
+  FROM raw_users),
 clean_users AS (SELECT * EXCLUDE (is_suspected_bot) FROM flagged WHERE NOT is_suspected_bot),
-clean_events AS (SELECT e.* FROM raw_events e JOIN clean_users c ON e.user_id = c.user_id)"""
+clean_events AS (SELECT * FROM raw_events SEMI JOIN clean_users USING (user_id))"""
 
 
 def _clean(query: str, *ctes: str) -> str:
@@ -90,20 +88,18 @@ per_user AS (
     COUNT(*) FILTER (event_name = 'session_start' AND day_offset <= 3) AS early_sessions,
     MIN(day_offset) AS first_event_day, MAX(day_offset) AS last_event_day, MAX(event_timestamp) AS last_event_ts,
     MAX(day_offset) FILTER (event_name = 'purchase_completed') AS purchase_day,
-    MAX(CASE WHEN event_name = 'account_created' THEN 1 ELSE 0 END) AS reached_signup,
-    MAX(CASE WHEN event_name = 'first_session' THEN 1 ELSE 0 END) AS reached_first_session,
-    MAX(CASE WHEN event_name = 'feature_used' THEN 1 ELSE 0 END) AS reached_feature,
-    MAX(CASE WHEN event_name = 'trial_started' THEN 1 ELSE 0 END) AS reached_trial,
-    MAX(CASE WHEN event_name = 'purchase_completed' THEN 1 ELSE 0 END) AS reached_purchase,
-    MAX(CASE WHEN event_name IN ('session_start','feature_used','trial_started','purchase_completed') THEN 1 ELSE 0 END) AS has_core_activity,
-    MAX(CASE WHEN event_name IN ('session_start','feature_used','trial_started','purchase_completed') AND day_offset = 1 THEN 1 ELSE 0 END) AS active_d1,
-    MAX(CASE WHEN event_name IN ('session_start','feature_used','trial_started','purchase_completed') AND day_offset = 7 THEN 1 ELSE 0 END) AS active_d7,
-    MAX(CASE WHEN event_name IN ('session_start','feature_used','trial_started','purchase_completed') AND day_offset = 14 THEN 1 ELSE 0 END) AS active_d14,
-    MAX(CASE WHEN event_name IN ('session_start','feature_used','trial_started','purchase_completed') AND day_offset = 30 THEN 1 ELSE 0 END) AS active_d30,
-    MAX(CASE WHEN event_subtype = 'collaboration_feature' THEN 1 ELSE 0 END) AS used_collab,
-    MAX(CASE WHEN event_subtype = 'collaboration_feature' AND day_offset <= 3 THEN 1 ELSE 0 END) AS used_collab_early,
-    MAX(CASE WHEN event_name = 'purchase_completed' AND day_offset <= 3 THEN 1 ELSE 0 END) AS purchased_early
-  FROM clean_events GROUP BY user_id)"""
+    bool_or(event_name = 'account_created') AS reached_signup,
+    bool_or(event_name = 'first_session') AS reached_first_session,
+    bool_or(event_name = 'feature_used') AS reached_feature,
+    bool_or(event_name = 'trial_started') AS reached_trial,
+    bool_or(event_name = 'purchase_completed') AS reached_purchase,
+    bool_or(core) AS has_core_activity, bool_or(core AND day_offset = 1) AS active_d1, bool_or(core AND day_offset = 7) AS active_d7,
+    bool_or(core AND day_offset = 14) AS active_d14, bool_or(core AND day_offset = 30) AS active_d30,
+    bool_or(COALESCE(event_subtype = 'collaboration_feature', FALSE)) AS used_collab,
+    bool_or(COALESCE(event_subtype = 'collaboration_feature', FALSE) AND day_offset <= 3) AS used_collab_early,
+    bool_or(event_name = 'purchase_completed' AND day_offset <= 3) AS purchased_early
+  FROM (SELECT *, list_contains(['session_start', 'feature_used', 'trial_started', 'purchase_completed'], event_name) AS core FROM clean_events)
+  GROUP BY user_id)"""
 
 _FLAGS = (
     "reached_signup", "reached_first_session", "reached_feature", "reached_trial", "reached_purchase",
@@ -112,21 +108,17 @@ _FLAGS = (
 )
 
 FUNNEL = """
-flags AS (
-  SELECT u.user_id,
-    MAX(CASE WHEN e.event_name = 'account_created' THEN 1 ELSE 0 END) AS signup,
-    MAX(CASE WHEN e.event_name = 'first_session' THEN 1 ELSE 0 END) AS session,
-    MAX(CASE WHEN e.event_name = 'feature_used' THEN 1 ELSE 0 END) AS feature,
-    MAX(CASE WHEN e.event_name = 'trial_started' THEN 1 ELSE 0 END) AS trial,
-    MAX(CASE WHEN e.event_name = 'purchase_completed' THEN 1 ELSE 0 END) AS purchase
-  FROM clean_users u LEFT JOIN clean_events e USING (user_id) GROUP BY u.user_id),
 funnel_counts AS (
-  SELECT COUNT(*) AS n_install, CAST(SUM(signup) AS BIGINT) AS n_signup, CAST(SUM(session) AS BIGINT) AS n_first_session,
-    CAST(SUM(feature) AS BIGINT) AS n_feature, CAST(SUM(trial) AS BIGINT) AS n_trial, CAST(SUM(purchase) AS BIGINT) AS n_purchase
-  FROM flags),
+  SELECT (SELECT COUNT(*) FROM clean_users) AS n_install,
+    COUNT(DISTINCT user_id) FILTER (event_name = 'account_created') AS n_signup,
+    COUNT(DISTINCT user_id) FILTER (event_name = 'first_session') AS n_first_session,
+    COUNT(DISTINCT user_id) FILTER (event_name = 'feature_used') AS n_feature,
+    COUNT(DISTINCT user_id) FILTER (event_name = 'trial_started') AS n_trial,
+    COUNT(DISTINCT user_id) FILTER (event_name = 'purchase_completed') AS n_purchase
+  FROM clean_events),
 funnel AS (
   SELECT *,
-    ROUND(100.0::DOUBLE * n_signup / n_install, 2) AS pct_install_to_signup,
+    ROUND(100.0::DOUBLE * n_signup / NULLIF(n_install, 0), 2) AS pct_install_to_signup,
     ROUND(100.0::DOUBLE * n_first_session / NULLIF(n_signup, 0), 2) AS pct_signup_to_session,
     ROUND(100.0::DOUBLE * n_feature / NULLIF(n_first_session, 0), 2) AS pct_session_to_feature,
     ROUND(100.0::DOUBLE * n_trial / NULLIF(n_feature, 0), 2) AS pct_feature_to_trial,
@@ -134,62 +126,60 @@ funnel AS (
   FROM funnel_counts)"""
 
 RETENTION = """
-activity AS (
-  SELECT u.user_id, u.cohort_month, e.day_offset FROM clean_users u JOIN clean_events e USING (user_id)
-  WHERE e.event_name IN ('session_start','feature_used','trial_started','purchase_completed')),
-day_flags AS (
-  SELECT user_id, cohort_month,
-    MAX(CASE WHEN day_offset = 1 THEN 1 ELSE 0 END) AS d1, MAX(CASE WHEN day_offset = 7 THEN 1 ELSE 0 END) AS d7,
-    MAX(CASE WHEN day_offset = 14 THEN 1 ELSE 0 END) AS d14, MAX(CASE WHEN day_offset = 30 THEN 1 ELSE 0 END) AS d30
-  FROM activity GROUP BY user_id, cohort_month),
-cohorts AS (
-  SELECT cohort_month, COUNT(*) AS cohort_size,
-    ROUND(100.0::DOUBLE * AVG(d1), 2) AS d1, ROUND(100.0::DOUBLE * AVG(d7), 2) AS d7,
-    ROUND(100.0::DOUBLE * AVG(d14), 2) AS d14, ROUND(100.0::DOUBLE * AVG(d30), 2) AS d30,
-    date_diff('day', cohort_month, (SELECT CAST(MAX(event_timestamp) AS DATE) FROM clean_events)) AS age
-  FROM day_flags GROUP BY cohort_month),
+log_end AS (SELECT CAST(MAX(event_timestamp) AS DATE) AS day FROM clean_events),
+seen AS (
+  SELECT u.cohort_month, COUNT(DISTINCT e.user_id) AS cohort_size,
+    COUNT(DISTINCT e.user_id) FILTER (e.day_offset = 1) AS u1, COUNT(DISTINCT e.user_id) FILTER (e.day_offset = 7) AS u7,
+    COUNT(DISTINCT e.user_id) FILTER (e.day_offset = 14) AS u14, COUNT(DISTINCT e.user_id) FILTER (e.day_offset = 30) AS u30
+  FROM clean_events e, clean_users u
+  WHERE e.user_id = u.user_id AND e.event_name NOT IN ('account_created', 'first_session', 'other')
+  GROUP BY u.cohort_month),
 retention AS (
-  SELECT cohort_month, cohort_size, d1 AS d1_retention_pct, d7 AS d7_retention_pct,
-    CASE WHEN age >= 14 THEN d14 END AS d14_retention_pct, CASE WHEN age >= 30 THEN d30 END AS d30_retention_pct
-  FROM cohorts)"""
+  SELECT cohort_month, cohort_size,
+    ROUND(100.0::DOUBLE * (u1::DOUBLE / cohort_size), 2) AS d1_retention_pct,
+    ROUND(100.0::DOUBLE * (u7::DOUBLE / cohort_size), 2) AS d7_retention_pct,
+    IF(cohort_month + 14 <= day, ROUND(100.0::DOUBLE * (u14::DOUBLE / cohort_size), 2), NULL) AS d14_retention_pct,
+    IF(cohort_month + 30 <= day, ROUND(100.0::DOUBLE * (u30::DOUBLE / cohort_size), 2), NULL) AS d30_retention_pct
+  FROM seen, log_end)"""
 
 CURVE = """
-trial_rows AS (SELECT user_id, day_offset AS trial_day FROM clean_events WHERE event_name = 'trial_started'),
-daily AS (
-  SELECT e.day_offset - t.trial_day AS day_offset,
-    ROUND(100.0::DOUBLE * COUNT(DISTINCT t.user_id) / (SELECT COUNT(*) FROM trial_rows), 2) AS pct_active
-  FROM trial_rows t JOIN clean_events e USING (user_id)
-  WHERE e.event_name IN ('session_start','feature_used') AND e.day_offset - t.trial_day BETWEEN 0 AND 30
-  GROUP BY 1),
+starts AS (SELECT user_id, day_offset AS start_day FROM clean_events WHERE event_name = 'trial_started'),
+matched AS (
+  SELECT DISTINCT s.user_id, e.day_offset - s.start_day AS rel
+  FROM starts s JOIN clean_events e ON e.user_id = s.user_id AND e.day_offset BETWEEN s.start_day AND s.start_day + 30
+  WHERE e.event_name = 'session_start' OR e.event_name = 'feature_used'),
+heights AS (
+  SELECT rel, ROUND(100.0::DOUBLE * COUNT(*) / (SELECT COUNT(*) FROM starts), 2) AS pct_active FROM matched GROUP BY rel),
 curve AS (
-  SELECT CAST(day_offset AS INTEGER) AS day_offset, pct_active,
-    ROUND(pct_active - LAG(pct_active) OVER (ORDER BY day_offset), 2) AS day_over_day_change_pp FROM daily)"""
+  SELECT CAST(rel AS INTEGER) AS day_offset, pct_active,
+    ROUND(pct_active - LAG(pct_active) OVER (ORDER BY rel), 2) AS day_over_day_change_pp FROM heights)"""
 
 ADOPTION = """
+triallists AS (
+  SELECT user_id, bool_or(COALESCE(event_subtype = 'collaboration_feature', FALSE)) AS collaborated,
+    bool_or(event_name = 'purchase_completed') AS bought
+  FROM clean_events GROUP BY user_id HAVING bool_or(event_name = 'trial_started')),
 adoption AS (
-  SELECT CAST(COALESCE(c.used, 0) AS INTEGER) AS used_collab, COUNT(*) AS total_users,
-    CAST(SUM(COALESCE(p.bought, 0)) AS BIGINT) AS total_purchases,
-    ROUND(100.0::DOUBLE * SUM(COALESCE(p.bought, 0)) / COUNT(*), 2) AS conversion_rate
-  FROM (SELECT DISTINCT user_id FROM clean_events WHERE event_name = 'trial_started') t
-  LEFT JOIN (SELECT DISTINCT user_id, 1 AS used FROM clean_events WHERE event_subtype = 'collaboration_feature') c USING (user_id)
-  LEFT JOIN (SELECT DISTINCT user_id, 1 AS bought FROM clean_events WHERE event_name = 'purchase_completed') p USING (user_id)
-  GROUP BY COALESCE(c.used, 0))"""
+  SELECT collaborated::INTEGER AS used_collab, COUNT(*) AS total_users, COUNT(*) FILTER (bought) AS total_purchases,
+    ROUND(100.0::DOUBLE * COUNT(*) FILTER (bought) / COUNT(*), 2) AS conversion_rate
+  FROM triallists GROUP BY collaborated)"""
 
 SEGMENTS = """
-sessions AS (SELECT user_id, COUNT(*) AS session_count FROM clean_events WHERE event_name = 'session_start' GROUP BY user_id),
-buyers AS (SELECT DISTINCT user_id FROM clean_events WHERE event_name = 'purchase_completed'),
-last_seen AS (SELECT user_id, MAX(event_timestamp) AS ts FROM clean_events GROUP BY user_id),
+habits AS (
+  SELECT user_id, COUNT(*) FILTER (event_name = 'session_start') AS n_sessions, bool_or(event_name = 'purchase_completed') AS bought,
+    CAST(MAX(event_timestamp) AS DATE) AS last_day
+  FROM clean_events GROUP BY user_id),
+bounds AS (
+  SELECT MAX(last_day) - 14 AS oldest_live_day, quantile_cont(n_sessions, 0.9) FILTER (n_sessions > 0) AS many_sessions FROM habits),
 segmented AS (
   SELECT u.user_id,
-    CASE WHEN b.user_id IS NOT NULL THEN 'Converted'
-         WHEN l.ts IS NULL THEN 'Churned (>14d inactive)'
-         WHEN date_diff('day', CAST(l.ts AS DATE), (SELECT CAST(MAX(event_timestamp) AS DATE) FROM clean_events)) > 14 THEN 'Churned (>14d inactive)'
-         WHEN s.session_count >= (SELECT quantile_cont(session_count, 0.9) FROM sessions) THEN 'Power User'
+    CASE WHEN bought THEN 'Converted'
+         WHEN COALESCE(last_day >= oldest_live_day, FALSE) IS FALSE THEN 'Churned (>14d inactive)'
+         WHEN n_sessions >= many_sessions AND n_sessions > 0 THEN 'Power User'
          ELSE 'At-Risk / Average' END AS user_segment
-  FROM clean_users u LEFT JOIN sessions s USING (user_id) LEFT JOIN buyers b USING (user_id) LEFT JOIN last_seen l USING (user_id)),
+  FROM clean_users u CROSS JOIN bounds LEFT JOIN habits h ON h.user_id = u.user_id),
 segmentation AS (
-  SELECT user_segment, COUNT(*) AS user_count,
-    ROUND(100.0::DOUBLE * COUNT(*) / (SELECT COUNT(*) FROM clean_users), 2) AS pct_of_total
+  SELECT user_segment, COUNT(*) AS user_count, ROUND(100.0::DOUBLE * COUNT(*) / SUM(COUNT(*)) OVER (), 2) AS pct_of_total
   FROM segmented GROUP BY user_segment)"""
 
 RANKED = """
@@ -219,15 +209,12 @@ lifetime AS (
 
 WEEKLY = """
 weekly AS (
-  SELECT CAST(date_trunc('week', CAST(u.install_timestamp AS DATE)) AS DATE) AS cohort_week,
-    COUNT(DISTINCT u.user_id) AS installs,
-    COUNT(DISTINCT CASE WHEN p.purchase_day >= 0 THEN u.user_id END) AS conversions
-  FROM clean_users u
-  LEFT JOIN (SELECT user_id, MAX(day_offset) AS purchase_day FROM clean_events WHERE event_name = 'purchase_completed' GROUP BY user_id) p USING (user_id)
-  WHERE u.install_timestamp IS NOT NULL GROUP BY 1),
+  SELECT CAST(date_trunc('week', install_timestamp) AS DATE) AS cohort_week, COUNT(*) AS installs,
+    COUNT(*) FILTER (user_id IN (SELECT user_id FROM clean_events WHERE event_name = 'purchase_completed')) AS conversions
+  FROM clean_users GROUP BY 1),
 weekly_range AS (
-  SELECT COALESCE(ROUND(MIN(CAST(conversions AS DOUBLE) / NULLIF(installs, 0)) * 100, 2), 0.0::DOUBLE) AS weekly_conv_rate_min,
-    COALESCE(ROUND(MAX(CAST(conversions AS DOUBLE) / NULLIF(installs, 0)) * 100, 2), 0.0::DOUBLE) AS weekly_conv_rate_max FROM weekly)"""
+  SELECT ROUND(MIN(conversions::DOUBLE / installs) * 100, 2) AS weekly_conv_rate_min,
+    ROUND(MAX(conversions::DOUBLE / installs) * 100, 2) AS weekly_conv_rate_max FROM weekly)"""
 
 ARMS = """
 arms AS (
@@ -307,12 +294,13 @@ chi2 AS (
 FEATURES = """
 features AS (
   SELECT u.user_id, u.country, u.acquisition_channel,
-    COUNT(CASE WHEN e.event_name = 'session_start' AND e.day_offset <= 3 THEN 1 END) AS early_sessions,
-    CAST(MAX(CASE WHEN e.event_subtype = 'collaboration_feature' AND e.day_offset <= 3 THEN 1 ELSE 0 END) AS INTEGER) AS used_collab_early,
-    CAST(MAX(CASE WHEN e.event_name = 'purchase_completed' THEN 1 ELSE 0 END) AS INTEGER) AS target_purchased
-  FROM clean_users u LEFT JOIN clean_events e ON u.user_id = e.user_id
-  WHERE u.ab_group IS NOT NULL GROUP BY u.user_id, u.country, u.acquisition_channel
-  HAVING MAX(CASE WHEN e.event_name = 'purchase_completed' AND e.day_offset <= 3 THEN 1 ELSE 0 END) = 0)"""
+    COUNT(*) FILTER (e.day_offset <= 3 AND e.event_name = 'session_start') AS early_sessions,
+    bool_or(e.day_offset <= 3 AND COALESCE(e.event_subtype = 'collaboration_feature', FALSE))::INTEGER AS used_collab_early,
+    bool_or(e.event_name = 'purchase_completed')::INTEGER AS target_purchased
+  FROM clean_users u JOIN clean_events e USING (user_id)
+  WHERE u.ab_group IN ('control', 'treatment')
+    AND u.user_id NOT IN (SELECT user_id FROM raw_events WHERE day_offset <= 3 AND event_name = 'purchase_completed')
+  GROUP BY ALL)"""
 
 ADVANCED = """
 advanced AS (
@@ -438,7 +426,7 @@ ORACLE: dict[str, str] = {
         *ALL_MARTS,
         CHI2,
     ),
-    "device_reuse": f"WITH {CLEAN} SELECT * FROM reuse",
+    "device_reuse": f"WITH {RAW} SELECT device_id, COUNT(DISTINCT user_id) AS distinct_users_on_device FROM raw_users GROUP BY ALL",
     "bot_flags": _clean("SELECT user_id, is_suspected_bot FROM flagged"),
     "clean_users": _clean("SELECT * FROM clean_users"),
     "clean_events": _clean("SELECT * FROM clean_events"),
@@ -462,7 +450,7 @@ FROM (SELECT COUNT(*) FILTER (is_bot_ground_truth AND is_suspected_bot) AS tp,
         "SELECT u.user_id, u.app_id, u.cohort_month, u.country, u.acquisition_channel, u.ab_group,"
         " COALESCE(n_events, 0) AS n_events, COALESCE(session_count, 0) AS session_count, COALESCE(early_sessions, 0) AS early_sessions,"
         " first_event_day, last_event_day, last_event_day - first_event_day AS lifetime_days, COALESCE(purchase_day, -1) AS purchase_day, "
-        + ", ".join(f"CAST(COALESCE({f}, 0) AS INTEGER) AS {f}" for f in _FLAGS)
+        + ", ".join(f"COALESCE({f}, FALSE)::INTEGER AS {f}" for f in _FLAGS)
         + " FROM clean_users u LEFT JOIN per_user p USING (user_id)",
         FACTS,
     ),
@@ -500,11 +488,11 @@ UNION ALL SELECT 'Trial', 'Drop-Off', n_trial - n_purchase FROM funnel""",
     "lifetime_stats": _clean("SELECT * FROM lifetime", LIFETIME),
     "engagement_bands": f"WITH {ORDER_COUNTS}, {BANDS} SELECT * FROM bands",
     "weekly_conversion": _clean(
-        "SELECT *, ROUND(CAST(conversions AS DOUBLE) / NULLIF(installs, 0) * 100, 2) AS conversion_pct FROM weekly", WEEKLY
+        "SELECT *, ROUND(conversions::DOUBLE / installs * 100, 2) AS conversion_pct FROM weekly", WEEKLY
     ),
     "weekly_order_conversion": """SELECT CAST(date_trunc('week', CAST(o_orderdate AS DATE)) AS DATE) AS cohort_week,
   COUNT(DISTINCT o_custkey) AS customers,
-  COUNT(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_custkey END) AS conversions FROM orders GROUP BY 1""",
+  COUNT(DISTINCT o_custkey) FILTER (o_orderstatus = 'F') AS conversions FROM orders GROUP BY 1""",
     "advanced_analytics": _clean("SELECT metric, value FROM advanced", RANKED, BANDS, LIFETIME, WEEKLY, ADVANCED),
     "kpi_summary": _clean(_rounded_kpis(), *ALL_MARTS),
     "catalog_clean": f"""WITH {CATALOG}
@@ -604,10 +592,10 @@ UNION ALL SELECT 'left_semi', c_mktsegment, COUNT(*) FROM customer WHERE c_custk
 UNION ALL SELECT 'left_anti', c_mktsegment, COUNT(*) FROM customer
   WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') GROUP BY c_mktsegment""",
     "agg_primitives": """SELECT event_type, COUNT(*) AS n_rows, COUNT(value) AS n_values, COUNT(DISTINCT user_id) AS n_users,
-  COUNT(DISTINCT CASE WHEN value >= 50 THEN user_id END) AS n_high_users, COUNT(CASE WHEN value >= 50 THEN 1 END) AS n_high,
+  COUNT(DISTINCT user_id) FILTER (value >= 50) AS n_high_users, COUNT(*) FILTER (value >= 50) AS n_high,
   ROUND(SUM(value), 2) AS sum_value, ROUND(AVG(value), 6) AS avg_value, MIN(value) AS min_value, MAX(value) AS max_value,
-  CAST(MAX(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS INTEGER) AS is_purchase,
-  CAST(MAX(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS INTEGER) AS is_view
+  bool_or(event_type = 'purchase')::INTEGER AS is_purchase,
+  bool_or(event_type = 'view')::INTEGER AS is_view
 FROM events GROUP BY event_type""",
     "value_counts": _clean("SELECT target_purchased, COUNT(*) AS n FROM features GROUP BY target_purchased", FEATURES),
     "percentile_exact": f"""WITH {ORDER_COUNTS}

@@ -70,14 +70,17 @@ def fit_encoder(train: DataFrame, max_categories: int = MAX_CATEGORIES) -> tuple
 
     Returns the fitted stages and the names of the vector slots.
     """
+    # the indexer collects all labels, so look before asking for them
+    sizes = train.agg(*[F.approx_count_distinct(c).alias(c) for c in CATEGORICAL]).first()
+    for column in CATEGORICAL:
+        if sizes[column] > max_categories:
+            raise ValueError(f"{column} has about {sizes[column]} categories, more than {max_categories}")
     names, stages, pieces = list(NUMERIC), [], list(NUMERIC)
     for column in CATEGORICAL:
         indexer = StringIndexer(
             inputCol=column, outputCol=f"{column}_index", stringOrderType="alphabetDesc", handleInvalid="keep"
         ).fit(train)
         labels = indexer.labels
-        if len(labels) > max_categories:
-            raise ValueError(f"{column} has {len(labels)} categories, more than {max_categories}")
         # slots: labels in descending order (the base category last), then "unseen"
         encoder = OneHotEncoder(inputCol=f"{column}_index", outputCol=f"{column}_slots", dropLast=False).fit(
             indexer.transform(train.limit(0))

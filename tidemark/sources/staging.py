@@ -14,6 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,3 +53,11 @@ def together(jobs: Iterable[Callable[[], object]], at_once: int = 6) -> list:
 def stage_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """:func:`stage` for several independent frames at once."""
     return dict(zip(frames, together([lambda n=n, f=f: stage(f, n) for n, f in frames.items()])))
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediates written by this process; call when all results are out."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
