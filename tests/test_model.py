@@ -99,3 +99,11 @@ def test_report_with_a_class_never_predicted(spark):
     scored = spark.createDataFrame([(0, 0), (1, 0)], "label int, prediction int")
     got = {r["class"]: tuple(r)[1:] for r in pp.classification_report(scored).collect()}
     assert got["1"] == (0.0, 0.0, 0.0, 1)
+
+
+def test_metrics_in_long_form(spark):
+    scored = spark.createDataFrame([(0, 0.2, 0), (1, 0.9, 1), (1, 0.1, 0)], "label int, score double, prediction int")
+    got = {r.metric: r.value for r in pp.model_metrics(scored, buckets=2).collect()}
+    assert got["roc_auc"] == pytest.approx(0.5)
+    assert got["1 recall"] == 0.5 and got["0 precision"] == 0.5 and got["1 support"] == 2.0
+    assert got["accuracy f1_score"] == pytest.approx(2 / 3) and "accuracy recall" not in got

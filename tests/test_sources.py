@@ -172,7 +172,7 @@ def test_command_line_builds_everything(spark, tmp_path, make_users, make_events
     )
     cli.main()
     names = {p.name for p in out.iterdir()}
-    assert {"funnel_summary", "ab_test_results", "kpi_summary", "model_feature_importance", "model_roc_auc"} <= names
+    assert {"funnel_summary", "ab_test_results", "kpi_summary", "model_feature_importance", "model_metrics"} <= names
     funnel = spark.read.option("header", True).csv(str(out / "funnel_summary")).first()
     assert (funnel.n_install, funnel.n_trial, funnel.n_purchase) == ("60", "60", "20")
     assert "funnel_summary" in capsys.readouterr().out

@@ -26,8 +26,7 @@ def model_marts(stored_facts, n_trees: int) -> dict:
     return {
         "model_feature_importance": propensity.feature_importance(model, names),
         "model_cross_validation": validation,
-        "model_roc_auc": propensity.roc_auc(scored, buckets=64),
-        "model_classification_report": propensity.classification_report(scored),
+        "model_metrics": propensity.model_metrics(stage(scored, "scored")),
     }
 
 

@@ -348,17 +348,9 @@ def top_feature(spark, sf_dir):
 
 @query
 def model_metrics(spark, sf_dir):
-    """Hold-out report of the model; the ROC-AUC row carries the score in f1_score's place."""
+    """Hold-out figures of the model."""
     scored = stage(propensity_scores(spark, sf_dir), "scored")
-    report = propensity.classification_report(scored)
-    auc = propensity.roc_auc(scored, buckets=16).select(
-        F.lit("roc auc").alias("class"),
-        F.lit(None).cast("double").alias("precision"),
-        F.lit(None).cast("double").alias("recall"),
-        F.col("roc_auc").alias("f1_score"),
-        (F.col("n_pos") + F.col("n_neg")).alias("support"),
-    )
-    return report.unionByName(auc)
+    return propensity.model_metrics(scored)
 
 
 def _labelled_documents(spark, sf_dir):
