@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import sys
 
 import pytest
@@ -55,6 +56,23 @@ def test_csv_keeps_types_and_nulls(spark, tmp_path, make_users, rows):
     assert back.schema == schemas.USERS and rows(back) == rows(users)
 
 
+def test_csv_as_a_data_frame_library_writes_it(spark, tmp_path):
+    users = tmp_path / "users.csv"
+    users.write_text(
+        ",".join(schemas.USERS.names) + "\n"
+        "7,3,2024-03-05 10:11:12.131415,2024-03-01,abc,US,paid_search,x@y.com,,True\n"
+        "8,3,2024-03-06 00:00:00,2024-03-01,,IN,referral,,treatment,False\n"
+    )
+    got = [tuple(r) for r in tables.read_csv(spark, str(users), schemas.USERS).collect()]
+    assert got == [
+        (7, 3, dt.datetime(2024, 3, 5, 10, 11, 12, 131415), dt.date(2024, 3, 1), "abc", "US", "paid_search", "x@y.com", None, True),
+        (8, 3, dt.datetime(2024, 3, 6), dt.date(2024, 3, 1), None, "IN", "referral", None, "treatment", False),
+    ]
+    events = tmp_path / "events.csv"
+    events.write_text(",".join(schemas.EVENTS.names) + "\n1,7,3,install,,2024-03-05 10:11:12.131415,0\n")
+    assert tables.read_csv(spark, str(events), schemas.EVENTS).first().event_subtype is None
+
+
 def test_malformed_csv_fails(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text("app_id,app_name,category,Rating,Installs,Price\nx,a,b,1,2,3\n")

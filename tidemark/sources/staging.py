@@ -19,7 +19,7 @@ _WRITTEN: list[str] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; in local mode only, a temporary folder when unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
