@@ -34,19 +34,36 @@ USER_COLUMNS = (
 
 
 def _marks(retention_days: tuple[int, ...], early_day: int) -> dict[str, Column]:
+    """Condition of every yes/no fact. Day tests come first: they are cheap and
+    spare most rows the text comparison."""
     name, day = F.col("event_name"), F.col("day_offset")
     collaborated = F.col("event_subtype") == COLLABORATION
     core = name.isin(*CORE_ACTIVITY)
     return {
         **{f"reached_{stage}": name == event for stage, event in STAGES},
         "has_core_activity": core,
-        **{f"active_d{d}": core & (day == d) for d in retention_days},
+        **{f"active_d{d}": (day == d) & core for d in retention_days},
         "used_collab": collaborated,
-        "used_collab_early": collaborated & (day <= early_day),
-        "purchased_early": (name == "purchase_completed") & (day <= early_day),
+        "used_collab_early": (day <= early_day) & collaborated,
+        "purchased_early": (day <= early_day) & (name == "purchase_completed"),
     }
 
 
+def _bit_mask(marks: dict[str, Column]) -> Column:
+    """One integer per event with a bit for every condition that holds."""
+    bits = {mark: F.lit(1 << i) for i, mark in enumerate(marks)}
+    # an event belongs to one stage at most, so these are tried until one matches
+    stage_bit, others = F, []
+    for mark, hit in marks.items():
+        if mark.startswith("reached_"):
+            stage_bit = stage_bit.when(hit, bits[mark])
+        else:
+            others.append(F.when(hit, bits[mark]).otherwise(F.lit(0)))
+    if stage_bit is not F:
+        others.append(stage_bit.otherwise(F.lit(0)))
+    return reduce(add, others, F.lit(0))
+
+
 def _chosen(flags: tuple[str, ...] | None, retention_days: tuple[int, ...], early_day: int) -> dict[str, Column]:
     marks = _marks(retention_days, early_day)
     return marks if flags is None else {f: marks[f] for f in flags}
@@ -63,15 +80,14 @@ def event_facts(
     ``flags`` limits the yes/no facts to those a single mart needs, so that the
     scan reads no other columns; unused counts and extremes are pruned anyway.
     """
-    marks = _chosen(flags, retention_days, early_day).values()
-    bits = reduce(add, [F.when(hit, F.lit(1 << i)).otherwise(F.lit(0)) for i, hit in enumerate(marks)], F.lit(0))
+    bits = _bit_mask(_chosen(flags, retention_days, early_day))
     name, day = F.col("event_name"), F.col("day_offset")
     session = name == SESSION_EVENT
     return events.groupBy("user_id").agg(
         F.bit_or(bits).alias("marks"),
         F.count(F.lit(1)).alias("n_events"),
         F.count_if(session).alias("session_count"),
-        F.count_if(session & (day <= early_day)).alias("early_sessions"),
+        F.count_if((day <= early_day) & session).alias("early_sessions"),
         F.min(day).alias("first_event_day"),
         F.max(day).alias("last_event_day"),
         F.max("event_timestamp").alias("last_event_ts"),
