@@ -51,20 +51,21 @@ def _polynomial(coefficients: tuple[float, ...], x: str) -> str:
 
 
 def erfc(x: str) -> Column:
-    """Complementary error function of a column, given by name.
+    """Complementary error function of a SQL expression.
 
-    Built as one SQL expression: the same tree from Column operators would take
-    a driver round trip per polynomial term.
+    One SQL text, because the same tree from Column operators takes a driver
+    round trip per polynomial term; and bound to a lambda variable, so that the
+    argument is evaluated once and the long formula stays out of the generated
+    code. Readouts have one row per experiment, which needs no compiled loop.
     """
-    y, square = f"abs({x})", f"({x} * {x})"
-    inverse = f"(1D / {square})"
+    y, square, inverse = "abs(v)", "(v * v)", "(1D / (v * v))"
     small = f"1D - {y} * {_polynomial(SMALL_NUM, square)} / {_polynomial(SMALL_DEN, square)}"
     middle = f"exp(-{square}) * {_polynomial(MIDDLE_NUM, y)} / {_polynomial(MIDDLE_DEN, y)}"
     fraction = f"{inverse} * {_polynomial(TAIL_NUM, inverse)} / {_polynomial(TAIL_DEN, inverse)}"
     tail = f"exp(-{square}) * ({1 / math.sqrt(math.pi)!r}D - {fraction}) / {y}"
     positive = f"CASE WHEN {y} <= {SMALL_LIMIT}D THEN {small} WHEN {y} <= {MIDDLE_LIMIT}D THEN {middle} ELSE {tail} END"
     return F.expr(
-        f"CASE WHEN {x} IS NULL THEN CAST(NULL AS DOUBLE) WHEN {x} < 0 THEN 2D - ({positive}) ELSE {positive} END"
+        f"transform(array({x}), v -> CASE WHEN v < 0 THEN 2D - ({positive}) WHEN v IS NOT NULL THEN {positive} END)[0]"
     )
 
 
