@@ -49,7 +49,7 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         known = self.pieces.get(piece)
         if known is None:
-            written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            written = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
             known = array("I", [token.id for token in self.tokenizer.model.tokenize(written)]).tobytes()
             self.pieces[piece] = known
         return known
