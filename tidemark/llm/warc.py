@@ -55,8 +55,7 @@ def base32_sha1(payload: Column) -> Column:
 
 def _record_id(page: Column, nth: Column, digest: Column) -> Column:
     seed = F.md5(F.concat(page.cast("string"), F.lit(":"), nth.cast("string"), F.lit(":"), digest))
-    parts = [F.substring(seed, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
+    return F.regexp_replace(seed, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
 
 
 #: Stands for a missing page_id where records are matched.
