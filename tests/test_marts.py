@@ -138,7 +138,8 @@ def test_cliff_prefers_the_earlier_day_on_a_tie(spark):
         "day_offset int, pct_active double, day_over_day_change_pp double",
     )
     assert tuple(trials.dropoff_cliff(curve).first()) == (1, -30.0, 60.0)
-    assert tuple(trials.curve_points(curve).first()) == (90.0, 34.0, 90.0)
+    assert tuple(trials.curve_points(curve).first()) == (90.0, None, 90.0)
+    assert trials.curve_points(curve, 34.0).first().day7_pct == 34.0
 
 
 # --- segments ----------------------------------------------------------------
@@ -179,7 +180,7 @@ def test_nobody_has_sessions(make_users, make_events, rows):
 
 def test_churned_share_falls_back(spark):
     empty = spark.createDataFrame([("Converted", 1, 100.0)], "user_segment string, user_count long, pct_of_total double")
-    assert segments.churned_pct(empty).first()[0] == 80.0
+    assert segments.churned_pct(empty).first()[0] is None and segments.churned_pct(empty, 80.0).first()[0] == 80.0
 
 
 # --- engagement --------------------------------------------------------------
@@ -227,4 +228,15 @@ def test_kpis_survive_missing_inputs(make_users, make_events):
     assert row["total_installs"] == 1.0 and row["signup_rate"] == 1.0
     assert row["trial_to_paid_rate"] == 0.0  # no trials: zero, not NULL
     assert row["cliff_day"] is None and row["adoption_ratio"] is None
-    assert row["day7_pct"] == 34.0 and row["churned_pct"] == 80.0
+    assert row["day7_pct"] is None and row["churned_pct"] is None  # nothing invented
+
+
+def test_dropoff_curve_of_a_user_with_thousands_of_days(spark, make_users):
+    """Every day a trial start and an active day: no list of day pairs is ever built."""
+    days = spark.range(2000).selectExpr("id", "CAST(id AS INT) AS day_offset")
+    events = days.selectExpr("1L AS user_id", "'trial_started' AS event_name", "day_offset").unionAll(
+        days.selectExpr("1L AS user_id", "'session_start' AS event_name", "day_offset")
+    )
+    curve = trials.trial_dropoff_curve(make_users({"user_id": 1}), events)
+    assert {r.day_offset for r in curve.collect()} == set(range(31))
+    assert {r.pct_active for r in curve.collect()} == {0.05}

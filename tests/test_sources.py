@@ -4,9 +4,10 @@ import datetime as dt
 import sys
 
 import pytest
+from pyspark.sql import functions as F, types as T
 
 from tidemark.plans import catalog, facts, propensity, quality
-from tidemark.sources import export, schemas, staging, tables
+from tidemark.sources import export, schemas, staging, tables, testbed
 
 RAW_HEADER = "App,Category,Rating,Reviews,Installs,Price\n"
 
@@ -93,12 +94,12 @@ def test_partitioned_write(spark, tmp_path, make_events):
     assert spark.read.parquet(str(tmp_path / "e")).filter("day_offset = 2").count() == 1
 
 
-def test_export_cuts_names_and_counts(spark, tmp_path):
-    marts = {"a" * 40: spark.range(3), "b": spark.range(0)}
+def test_export_keeps_names_apart(spark, tmp_path):
+    marts = {"a" * 40: spark.range(3), "a" * 31 + "b": spark.range(100), "b": spark.range(0)}
     folders = export.export_marts(marts, str(tmp_path))
     got = sorted(tuple(r) for r in export.manifest(spark, marts, folders).collect())
-    assert got == [("a" * 31, 3, 1), ("b", 0, 1)]
-    assert len([p for p in (tmp_path / ("a" * 31)).iterdir() if p.name.startswith("part-")]) == 1
+    assert got == [("a" * 40, "a" * 31, 3, 1), ("a" * 31 + "b", "a" * 29 + "_2", 100, 1), ("b", "b", 0, 1)]
+    assert len([p for p in (tmp_path / ("a" * 40)).iterdir() if p.name.startswith("part-")]) == 1
 
 
 def test_staging_goes_to_the_configured_folder(spark):
@@ -146,7 +147,7 @@ def test_quality_checks_find_planted_faults(spark, make_users, make_events):
             quality.curve_non_increasing(curve),
             quality.segments_sum_to_100(spark.createDataFrame([(60.0,), (39.95,)], "pct_of_total double")),
             quality.importances_sum_to_one(spark.createDataFrame([(0.5,), (0.4,)], "Importance double")),
-            quality.has_columns("columns", users, ["user_id", "nope"]),
+            quality.present("columns", users, ["user_id", "nope"]),
             quality.cliff_on_day(spark.createDataFrame([(6,)], "cliff_day int"), 6),
         ]
     ) == {
@@ -183,14 +184,70 @@ def test_command_line_builds_everything(spark, tmp_path, make_users, make_events
     )
     tables.write_table(users, str(tmp_path / "users"))
     tables.write_table(events, str(tmp_path / "events"))
+    (tmp_path / "apps.csv").write_text(RAW_HEADER + "Zed,PRODUCTIVITY,4.5,1,5+,0\n")
     out = tmp_path / "out"
     monkeypatch.setattr(
         sys, "argv",
-        ["tidemark", "--users", str(tmp_path / "users"), "--events", str(tmp_path / "events"), "--out", str(out), "--trees", "3"],
+        ["tidemark", "--users", str(tmp_path / "users"), "--events", str(tmp_path / "events"), "--out", str(out), "--trees", "3", "--apps", str(tmp_path / "apps.csv")],
     )
     cli.main()
     names = {p.name for p in out.iterdir()}
     assert {"funnel_summary", "ab_test_results", "kpi_summary", "model_feature_importance", "model_metrics"} <= names
+    assert {"apps", "quality_report", "bot_filter_quality", "ab_labels"} <= names
+    kpi = spark.read.option("header", True).csv(str(out / "kpi_summary")).first()
+    assert kpi.top_feature and 0 < float(kpi.top_feature_importance) <= 1
     funnel = spark.read.option("header", True).csv(str(out / "funnel_summary")).first()
     assert (funnel.n_install, funnel.n_trial, funnel.n_purchase) == ("60", "60", "20")
     assert "funnel_summary" in capsys.readouterr().out
+
+
+def test_quality_checks_fail_on_nothing(spark, make_users, make_events):
+    nothing = make_users()
+    funnel = spark.createDataFrame(
+        [],
+        "n_install long, n_signup long, n_first_session long, n_feature long, n_trial long, n_purchase long,"
+        "pct_install_to_signup double, pct_signup_to_session double, pct_session_to_feature double,"
+        "pct_feature_to_trial double, pct_trial_to_purchase double",
+    )
+    kept = spark.createDataFrame([], "d1_retention_pct double, d7_retention_pct double, d14_retention_pct double")
+    curve = spark.createDataFrame([], "day_offset int, pct_active double")
+    ab = "control_rate double, treatment_rate double, has_srm boolean"
+    null_ab = spark.createDataFrame([(None, 0.3, None)], ab)
+    checks = [
+        quality.present("present", nothing, ["user_id"]),
+        quality.unique_key("key", nothing, "user_id"),
+        quality.required_values("filled", nothing, ["user_id"]),
+        quality.bots_removed(nothing.selectExpr("true AS is_suspected_bot")),
+        quality.funnel_monotone(funnel),
+        quality.step_rates_consistent(funnel),
+        quality.rate_near("rate", funnel, F.col("n_signup") / F.col("n_install"), 0.8, 0.1),
+        quality.no_srm(null_ab),
+        quality.plausible_rates(null_ab),
+        quality.no_leakage(nothing.select("user_id"), make_events()),
+        quality.retention_in_range(kept),
+        quality.d1_at_least_d7(kept),
+        quality.segments_sum_to_100(spark.createDataFrame([], "pct_of_total double")),
+        quality.importances_sum_to_one(spark.createDataFrame([], "Importance double")),
+        quality.curve_non_increasing(curve),
+        quality.cliff_on_day(spark.createDataFrame([], "cliff_day int"), 6),
+    ]
+    found = report(checks)
+    assert len(found) == len(checks) and {name for name, (n_bad, passed) in found.items() if passed or not n_bad} == set()
+    assert report([quality.no_srm(null_ab.limit(0)), quality.cliff_on_day(spark.createDataFrame([(None,)], "cliff_day int"), 6)]) == {
+        "no_sample_ratio_mismatch": (1, False), "cliff_on_expected_day": (1, False)
+    }
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_the_adapter_keeps_every_event(spark, scale):
+    path = f"/root/testdata/{scale}"
+    assert testbed.events(spark, path).count() == spark.read.parquet(f"{path}/events.parquet").count()
+    assert testbed.events(spark, path).filter("day_offset < 0").count() == 0
+
+
+def test_catalogue_files_need_an_order(spark, tmp_path):
+    spark.range(10).selectExpr("id AS App").repartition(3).write.option("header", True).csv(str(tmp_path / "c"))
+    schema = T.StructType([T.StructField("App", T.StringType())])
+    with pytest.raises(ValueError, match="order"):
+        tables.read_raw_catalog(spark, str(tmp_path / "c"), schema)
+    assert tables.read_raw_catalog(spark, str(tmp_path / "c"), schema, order_by="App").count() == 10

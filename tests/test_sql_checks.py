@@ -7,8 +7,10 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
+from tidemark.checks.oracle import ORACLE
+from tidemark.checks.queries import REGISTRY
 
-CHECKED = sorted(entry.oracle_sql())
+CHECKED = sorted(ORACLE)
 ROWS_ONLY = {"propensity_cv", "propensity_scores", "feature_importance", "top_feature", "model_metrics"}
 
 
@@ -20,12 +22,12 @@ def connection(sf_dir):
 
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_equals_sql(spark, sf_dir, connection, name):
-    assert differences(entry.queries()[name](spark, sf_dir), connection, entry.oracle_sql()[name]) == []
+    assert differences(REGISTRY[name](spark, sf_dir), connection, ORACLE[name]) == []
 
 
 def test_every_query_but_the_fitted_models_has_sql():
-    assert set(entry.queries()) - set(CHECKED) == ROWS_ONLY
-    assert set(CHECKED) <= set(entry.queries())
+    assert set(REGISTRY) - set(CHECKED) == ROWS_ONLY
+    assert set(CHECKED) <= set(entry.oracle_sql()) and set(REGISTRY) <= set(entry.queries())
 
 
 def test_comparison_notices_a_wrong_value(spark):

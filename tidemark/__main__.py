@@ -1,39 +1,26 @@
 """Command line: build every mart from users and events and export them.
 
-    python -m tidemark --users PATH --events PATH --out DIR [--input-format csv]
+    python -m tidemark --users PATH --events PATH --out DIR [--apps CSV] [--input-format csv]
 """
 
 from __future__ import annotations
 
 import argparse
 
-from tidemark.plans import propensity
+from tidemark.plans import catalog, kpis, propensity
 from tidemark.session import cluster_session
 from tidemark.sources import schemas
 from tidemark.sources.export import export_marts, manifest
-from tidemark.sources.staging import release, stage
-from tidemark.sources.tables import read_table
+from tidemark.sources.staging import release
+from tidemark.sources.tables import list_tables, read_raw_catalog, read_table, register, require_tables
 from tidemark.warehouse import Warehouse
 
 
-def model_marts(stored_facts, n_trees: int) -> dict:
-    """Feature importances and hold-out metrics of the propensity model."""
-    split = stage(propensity.stratified_split(propensity.propensity_features(stored_facts)), "split")
-    train = propensity.with_class_weight(split.filter(~split.is_test))
-    encoder, names = propensity.fit_encoder(train)
-    validation, model = propensity.cross_validate(encoder.transform(train), propensity.forest(n_trees))
-    scored = propensity.scores(model, encoder.transform(split.filter(split.is_test)))
-    return {
-        "model_feature_importance": propensity.feature_importance(model, names),
-        "model_cross_validation": validation,
-        "model_metrics": propensity.model_metrics(stage(scored, "scored")),
-    }
-
-
 def main() -> None:
     parser = argparse.ArgumentParser(prog="tidemark")
     parser.add_argument("--users", required=True)
     parser.add_argument("--events", required=True)
+    parser.add_argument("--apps", help="raw app catalogue, CSV with a header")
     parser.add_argument("--out", required=True)
     parser.add_argument("--input-format", choices=("parquet", "csv"), default="parquet")
     parser.add_argument("--output-format", choices=("parquet", "csv"), default="csv")
@@ -42,13 +29,25 @@ def main() -> None:
     args = parser.parse_args()
 
     spark = cluster_session()
-    warehouse = Warehouse(
-        read_table(spark, args.users, schemas.USERS, args.input_format),
-        read_table(spark, args.events, schemas.EVENTS, args.input_format),
-    )
+    inputs = {
+        "users": read_table(spark, args.users, schemas.USERS, args.input_format),
+        "events": read_table(spark, args.events, schemas.EVENTS, args.input_format),
+    }
+    if args.apps:
+        inputs["raw_apps"] = read_raw_catalog(spark, args.apps, schemas.RAW_CATALOG)
+    register(inputs)
+    require_tables(spark, ["users", "events"])
+    warehouse = Warehouse(inputs["users"], inputs["events"], n_trees=args.trees)
     marts = warehouse.marts()
+    importances = None
     if not args.no_model:
-        marts |= model_marts(warehouse.stored_facts, args.trees)
+        marts |= warehouse.model_marts()
+        importances = marts["model_feature_importance"]
+        marts["kpi_summary"] = kpis.with_top_feature(marts["kpi_summary"], importances)
+    if args.apps:
+        marts["apps"] = catalog.catalog_clean(inputs["raw_apps"])
+    marts["quality_report"] = warehouse.quality_report(marts, importances)
+    list_tables(spark).show(truncate=False)
     folders = export_marts(marts, args.out, args.output_format)
     manifest(spark, marts, folders, args.output_format).show(len(folders), truncate=False)
     release(spark)

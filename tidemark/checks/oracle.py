@@ -35,22 +35,24 @@ def _erfc(x: str) -> str:
 
 RAW = """
 installs AS (
-  SELECT c_custkey AS user_id, DATE '2023-12-01' + CAST(c_custkey % 45 AS INTEGER) AS installed FROM customer),
+  SELECT c_custkey AS user_id, DATE '2023-11-18' + CAST(c_custkey % 45 AS INTEGER) AS installed FROM customer),
 named AS (
   SELECT e.*, i.installed,
-    CASE WHEN event_type = 'signup' AND value >= 40 THEN 'account_created'
+    CASE WHEN event_type = 'signup' THEN CASE WHEN value >= 40 THEN 'account_created' ELSE 'install' END
          WHEN event_type = 'view' AND value >= 60 THEN 'first_session'
          WHEN event_type = 'view' THEN 'session_start'
          WHEN event_type = 'click' AND value >= 60 THEN 'feature_used'
-         WHEN event_type = 'error' AND value >= 90 THEN 'trial_started'
+         WHEN event_type = 'error' THEN CASE WHEN value >= 90 THEN 'trial_started' ELSE 'trial_expired_no_purchase' END
          WHEN event_type = 'purchase' AND value >= 120 THEN 'purchase_completed'
-         ELSE 'other' END AS event_name
-  FROM events e JOIN installs i USING (user_id) WHERE CAST(e.ts AS DATE) >= i.installed),
+         ELSE 'trial_reminder_shown' END AS event_name
+  FROM events e JOIN installs i USING (user_id)),
 raw_events AS (
   SELECT event_id, user_id, CAST(user_id % 20 + 1 AS INTEGER) AS app_id, event_name,
     CASE WHEN event_name = 'feature_used' THEN
       CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) < 30 THEN 'collaboration_feature'
-           ELSE 'standard_feature' END END AS event_subtype,
+           ELSE 'standard_feature' END
+      WHEN event_name = 'trial_reminder_shown' AND CAST(json_extract_string(props, '$.k') AS INTEGER) < 30
+      THEN 'day6_trial_extension' END AS event_subtype,
     ts AS event_timestamp, CAST(date_diff('day', installed, CAST(ts AS DATE)) AS INTEGER) AS day_offset
   FROM named),
 raw_users AS (
@@ -132,7 +134,7 @@ seen AS (
     COUNT(DISTINCT e.user_id) FILTER (e.day_offset = 1) AS u1, COUNT(DISTINCT e.user_id) FILTER (e.day_offset = 7) AS u7,
     COUNT(DISTINCT e.user_id) FILTER (e.day_offset = 14) AS u14, COUNT(DISTINCT e.user_id) FILTER (e.day_offset = 30) AS u30
   FROM clean_events e, clean_users u
-  WHERE e.user_id = u.user_id AND e.event_name NOT IN ('account_created', 'first_session', 'other')
+  WHERE e.user_id = u.user_id AND e.event_name IN ('session_start', 'feature_used', 'trial_started', 'purchase_completed')  -- fixed values
   GROUP BY u.cohort_month),
 retention AS (
   SELECT cohort_month, cohort_size,
@@ -315,10 +317,10 @@ kpi AS (
     COALESCE(n_trial::DOUBLE / NULLIF(n_install, 0), 0) AS trial_start_rate,
     COALESCE(n_purchase::DOUBLE / NULLIF(n_trial, 0), 0) AS trial_to_paid_rate,
     COALESCE(n_signup::DOUBLE / NULLIF(n_install, 0), 0) AS signup_rate,
-    COALESCE((SELECT pct_of_total FROM segmentation WHERE user_segment ILIKE '%churned%'), 80.0::DOUBLE) AS churned_pct,
+    (SELECT pct_of_total FROM segmentation WHERE user_segment ILIKE '%churned%') AS churned_pct,
     (SELECT CAST(cliff_day AS DOUBLE) FROM cliff) AS cliff_day, (SELECT cliff_change_pp FROM cliff) AS cliff_change_pp,
     (SELECT pct_active FROM curve WHERE day_offset = 0) AS day0_pct,
-    COALESCE((SELECT pct_active FROM curve WHERE day_offset = 7), 34.0::DOUBLE) AS day7_pct,
+    (SELECT pct_active FROM curve WHERE day_offset = 7) AS day7_pct,
     (SELECT MAX(pct_active) FROM curve) AS peak_pct,
     (SELECT conversion_rate FROM adoption WHERE used_collab = 1) / NULLIF((SELECT conversion_rate FROM adoption WHERE used_collab = 0), 0) AS adoption_ratio,
     (SELECT weekly_conv_rate_max - weekly_conv_rate_min FROM weekly_range) AS weekly_conversion_range
@@ -378,29 +380,56 @@ def _check(name: str, n_bad: str) -> str:
     return f"SELECT '{name}' AS \"check\", CAST({n_bad} AS BIGINT) AS n_bad, ({n_bad}) = 0 AS passed"
 
 
+def _bad_rows(table: str, bad: str) -> str:
+    """Rows that break a rule or can't be judged; no rows at all count as one."""
+    return f"(SELECT COUNT(*) FILTER (WHERE COALESCE({bad}, TRUE)) + (COUNT(*) = 0)::INT FROM {table})"
+
+
+def _absent(table: str, columns: str) -> str:
+    names = ", ".join(f"'{c}'" for c in columns.split())
+    return f"""((SELECT COUNT(*) FROM (SELECT unnest([{names}]) AS c)
+  WHERE c NOT IN (SELECT unnest(json_keys(to_json(t))) FROM (SELECT * FROM {table} LIMIT 1) t)) + (SELECT (COUNT(*) = 0)::INT FROM {table}))"""
+
+
+_STEPS = (("n_signup", "n_install", "pct_install_to_signup"), ("n_first_session", "n_signup", "pct_signup_to_session"),
+          ("n_feature", "n_first_session", "pct_session_to_feature"), ("n_trial", "n_feature", "pct_feature_to_trial"),
+          ("n_purchase", "n_trial", "pct_trial_to_purchase"))
+
 _CHECKS = {
-    "users_key": "(SELECT COUNT(*) FROM (SELECT user_id FROM raw_users GROUP BY user_id HAVING COUNT(*) > 1 OR user_id IS NULL))",
-    "events_key": "(SELECT COUNT(*) FROM (SELECT event_id FROM raw_events GROUP BY event_id HAVING COUNT(*) > 1 OR event_id IS NULL))",
+    "users_present": _absent(
+        "raw_users", "user_id app_id install_timestamp cohort_month device_id country acquisition_channel email ab_group is_bot_ground_truth"
+    ),
+    "events_present": _absent("raw_events", "event_id user_id app_id event_name event_subtype event_timestamp day_offset"),
+    "users_key": _bad_rows("(SELECT user_id, COUNT(*) AS n FROM raw_users GROUP BY user_id)", "user_id IS NULL OR n > 1"),
+    "events_key": _bad_rows("(SELECT event_id, COUNT(*) AS n FROM raw_events GROUP BY event_id)", "event_id IS NULL OR n > 1"),
     "clean_users_fewer_than_raw": "(SELECT CASE WHEN (SELECT COUNT(*) FROM clean_users) < (SELECT COUNT(*) FROM raw_users) THEN 0 ELSE 1 END)",
     "funnel_monotone": "(SELECT (n_signup > n_install)::INT + (n_first_session > n_signup)::INT + (n_feature > n_first_session)::INT"
     " + (n_trial > n_feature)::INT + (n_purchase > n_trial)::INT FROM funnel)",
-    "step_rates_consistent": "(SELECT (abs(100.0 * n_signup / n_install - pct_install_to_signup) >= 0.01)::INT FROM funnel)",
-    "clean_users_complete": "(SELECT COUNT(*) FROM clean_users WHERE user_id IS NULL OR install_timestamp IS NULL)",
-    "events_complete": "(SELECT COUNT(*) FROM raw_events WHERE event_name IS NULL OR event_timestamp IS NULL)",
-    "no_sample_ratio_mismatch": "(SELECT COUNT(*) FROM readout WHERE srm_p_value < 0.001)",
-    "ab_rates_plausible": "(SELECT (rate_c NOT BETWEEN 0.25 AND 0.6)::INT + (rate_t NOT BETWEEN 0.25 AND 0.65)::INT FROM readout)",
-    "no_label_leakage": "(SELECT COUNT(*) FROM features WHERE user_id IN"
-    " (SELECT user_id FROM clean_events WHERE event_name = 'purchase_completed' AND day_offset <= 3))",
-    "signup_rate_near_expected": "(SELECT COUNT(*) FROM funnel WHERE n_signup::DOUBLE / n_install NOT BETWEEN 0.83 AND 0.87)",
-    "retention_pct_in_range": "(SELECT COUNT(*) FROM (SELECT unnest([d1_retention_pct, d7_retention_pct, d14_retention_pct, d30_retention_pct]) AS v FROM retention)"
-    " WHERE v NOT BETWEEN 0 AND 100)",
-    "d1_retention_at_least_d7": "(SELECT COUNT(*) FROM retention WHERE d1_retention_pct < d7_retention_pct)",
-    "segment_pct_sums_to_100": "(SELECT (abs(SUM(pct_of_total) - 100) >= 0.1)::INT FROM segmentation)",
-    "curve_non_increasing_after_peak": "(SELECT COUNT(*) FROM (SELECT pct_active, LAG(pct_active) OVER (ORDER BY day_offset) AS previous FROM curve WHERE day_offset >= 8)"
-    " WHERE pct_active > previous)",
-    "cliff_on_expected_day": "(SELECT COUNT(*) FROM cliff WHERE cliff_day <> 6)",
-    "users_columns": "0",
-    "events_columns": "0",
+    "step_rates_consistent": "(" + " + ".join(
+        _bad_rows("funnel", f"abs(100.0::DOUBLE * {part} / NULLIF({whole}, 0) - {pct}) >= 0.01") for part, whole, pct in _STEPS
+    ) + ")",
+    "clean_users_complete": _bad_rows("clean_users", "user_id IS NULL OR install_timestamp IS NULL"),
+    "events_complete": _bad_rows("raw_events", "event_name IS NULL OR event_timestamp IS NULL"),
+    "no_sample_ratio_mismatch": _bad_rows("readout", "srm_p_value < 0.001"),
+    "ab_rates_plausible": "(" + _bad_rows("readout", "rate_c NOT BETWEEN 0.25 AND 0.6") + " + "
+    + _bad_rows("readout", "rate_t NOT BETWEEN 0.25 AND 0.65") + ")",
+    "no_label_leakage": _bad_rows(
+        "features", "user_id IN (SELECT user_id FROM raw_events WHERE event_name = 'purchase_completed' AND day_offset <= 3)"
+    ),
+    "signup_rate_near_expected": _bad_rows("funnel", "n_signup::DOUBLE / NULLIF(n_install, 0) NOT BETWEEN 0.83 AND 0.87"),
+    "retention_pct_in_range": "(" + " + ".join(
+        [_bad_rows("retention", f"{c} NOT BETWEEN 0 AND 100") for c in ("d1_retention_pct", "d7_retention_pct")]
+        + [f"(SELECT COUNT(*) FROM retention WHERE {c} NOT BETWEEN 0 AND 100)" for c in ("d14_retention_pct", "d30_retention_pct")]
+    ) + ")",
+    "d1_retention_at_least_d7": _bad_rows("retention", "d1_retention_pct < d7_retention_pct"),
+    "segment_pct_sums_to_100": _bad_rows("(SELECT SUM(pct_of_total) AS total FROM segmentation)", "abs(total - 100) >= 0.1"),
+    "curve_non_increasing_after_peak": _bad_rows(
+        "(SELECT pct_active, LAG(pct_active) OVER (ORDER BY day_offset) AS previous FROM curve WHERE day_offset >= 8)",
+        "CASE WHEN previous IS NULL THEN pct_active IS NULL ELSE pct_active > previous END",
+    ),
+    "cliff_on_expected_day": _bad_rows("cliff", "cliff_day <> 6"),
+    # the forest has no SQL twin; that it splits on something at all follows from two classes in training
+    "importances_sum_to_1": "(SELECT (COUNT(DISTINCT target_purchased) < 2)::INT FROM positioned WHERE r > ceil(size * 0.2::DOUBLE))",
 }
 
 _MANIFEST = {
@@ -409,22 +438,52 @@ _MANIFEST = {
     "trial_dropoff_curve": ("curve", 3),
     "behavioral_stats": ("adoption", 4),
     "user_segmentation": ("segmentation", 3),
-    "advanced_analytics": ("(SELECT unnest(range(12)))", 2),
-    "ab_test_results": ("(SELECT 1)", 19),
+    "advanced_analytics": ("advanced", 2),
+    "ab_test_results": ("readout", 19),
     "behavioral_chi2_results": ("chi2", 5),
+    "bot_filter_quality": ("(SELECT COUNT(*) FROM flagged)", 7),
+    "ab_labels": ("readout", 7),
     "kpi_summary": ("kpi", 13),
-    "revenue_impact": ("(SELECT 1)", 5),
+    "revenue_impact": ("readout", 5),
 }
 
+_MODEL_PARTS = """
+placed AS (
+  SELECT *, r <= ceil(size * 0.2::DOUBLE) AS is_test, CASE WHEN r > ceil(size * 0.2::DOUBLE) THEN (r - ceil(size * 0.2::DOUBLE)::BIGINT - 1) % 5 END AS part
+  FROM positioned),
+columns_known AS (
+  SELECT 'early_sessions' AS feature UNION SELECT 'used_collab_early'
+  UNION SELECT 'country_' || country FROM placed WHERE NOT is_test AND country > (SELECT MIN(country) FROM placed WHERE NOT is_test)
+  UNION SELECT 'acquisition_channel_' || acquisition_channel FROM placed
+  WHERE NOT is_test AND acquisition_channel > (SELECT MIN(acquisition_channel) FROM placed WHERE NOT is_test))"""
+
+_MODEL_MEASURES = [
+    ("test_rows", "SELECT COUNT(*) FROM placed WHERE is_test"),
+    ("test_positives", "SELECT COUNT(*) FROM placed WHERE is_test AND target_purchased = 1"),
+    ("scores_out_of_range", "SELECT COUNT(*) FROM placed WHERE is_test AND user_id IS NULL"),
+    ("predictions_unlike_scores", "SELECT COUNT(*) FROM placed WHERE is_test AND target_purchased NOT IN (0, 1)"),
+    ("train_rows", "SELECT COUNT(*) FROM placed WHERE NOT is_test"),
+    ("train_positives", "SELECT COUNT(*) FROM placed WHERE NOT is_test AND target_purchased = 1"),
+    ("rows_in_no_or_two_parts", "SELECT COUNT(*) FROM placed WHERE is_test = (part IS NOT NULL)"),
+    *[(f"fold_{k}_rows", f"SELECT COUNT(*) FROM placed WHERE part = {k}") for k in range(5)],
+    *[(f"fold_{k}_positives", f"SELECT COUNT(*) FROM placed WHERE part = {k} AND target_purchased = 1") for k in range(5)],
+    ("features", "SELECT COUNT(*) FROM columns_known"),
+    ("feature_name_chars", "SELECT SUM(length(feature)) FROM columns_known"),
+    ("importances_off", "SELECT (COUNT(DISTINCT target_purchased) < 2)::INT FROM placed WHERE NOT is_test"),
+]
+
 ORACLE: dict[str, str] = {
     "scan_csv_roundtrip": f"WITH {RAW} SELECT * FROM raw_users",
     "export_manifest": _clean(
         " UNION ALL ".join(
-            f"SELECT '{name}' AS mart, (SELECT COUNT(*) FROM {source}) AS n_rows, CAST({width} AS INTEGER) AS n_cols"
+            f"SELECT '{name}' AS mart, '{name}' AS sheet, (SELECT COUNT(*) FROM {source}) AS n_rows, CAST({width} AS INTEGER) AS n_cols"
             for name, (source, width) in _MANIFEST.items()
         ),
         *ALL_MARTS,
+        ADVANCED,
         CHI2,
+        ARMS,
+        _readout(),
     ),
     "device_reuse": f"WITH {RAW} SELECT device_id, COUNT(DISTINCT user_id) AS distinct_users_on_device FROM raw_users GROUP BY ALL",
     "bot_flags": _clean("SELECT user_id, is_suspected_bot FROM flagged"),
@@ -532,7 +591,7 @@ SELECT CAST(row_number() OVER (ORDER BY ord) AS INTEGER) AS app_id, app AS app_n
   'P-Value: ' || printf('%.4f', p_value) AS p_value_display,
   CASE WHEN p_value >= 0.0001 THEN printf('%.4f', p_value) ELSE printf('%.2e', p_value) END AS p_value_text,
   CASE WHEN p_value < 0.01 THEN 'highly significant' WHEN p_value < 0.05 THEN 'significant' ELSE 'not significant' END AS significance_text,
-  CASE WHEN srm_p_value < 0.001 THEN 'SRM FAILED - Check Sample Ratio' ELSE 'SRM Passed' END AS srm_check,
+  CASE WHEN srm_p_value < 0.001 THEN 'SRM FAILED - Check Sample Ratio' WHEN srm_p_value IS NOT NULL THEN 'SRM Passed' END AS srm_check,
   CASE WHEN (SELECT is_significant FROM chi2) THEN 'Significant (α=0.025)' ELSE 'Not Significant' END AS chi2_flag,
   (SELECT CASE WHEN exact_p >= 0.001 THEN printf('%.4f', exact_p) WHEN exact_p > 1e-100 THEN printf('%.2e', exact_p) ELSE '< 1e-100' END FROM chi2) AS chi2_p_value_text
 FROM readout""",
@@ -629,5 +688,19 @@ SELECT p_partkey, replace(replace(installs_raw, '+', ''), ',', '') AS installs_t
         ARMS,
         _readout(),
         FEATURES,
+        SPLIT,
+    ),
+    "model_checks": _clean(
+        "SELECT measure, CAST(value AS BIGINT) AS value FROM (SELECT unnest(["
+        + ", ".join(f"'{name}'" for name, _ in _MODEL_MEASURES)
+        + "]) AS measure, unnest(["
+        + ", ".join(f"({sql})::BIGINT" for _, sql in _MODEL_MEASURES)
+        + "]) AS value)",
+        FEATURES,
+        SPLIT,
+        _MODEL_PARTS,
     ),
+    "catalog_csv": f"""WITH {CATALOG}
+SELECT app AS "App", category AS "Category", installs AS "Installs", price AS "Price", CASE WHEN rating IS NULL THEN 'NaN' ELSE CAST(rating AS VARCHAR) END AS "Rating",
+  row_number() OVER (ORDER BY ord) - 1 AS source_order FROM listed""",
 }

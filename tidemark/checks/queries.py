@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions import dates, text
 from tidemark.functions.numeric import round_to, to_number
 from tidemark.operators.joins import id_overlap
-from tidemark.operators.ordering import exact_percentiles
+from tidemark.operators.ordering import SMALL, exact_percentiles
 from tidemark.plans import (
-    catalog, cleaning, engagement, experiments, funnel, kpis, propensity, quality, retention, segments, trials,
+    catalog, cleaning, engagement, experiments, funnel, kpis, propensity, retention, segments, trials,
 )
 from tidemark.plans.facts import STAGES
 from tidemark.sources import schemas, tables, testbed
@@ -23,7 +23,6 @@ from tidemark.warehouse import Warehouse
 Query = Callable[[SparkSession, str], DataFrame]
 
 REGISTRY: dict[str, Query] = {}
-N_TREES = 20  # forest size of the registered model queries
 
 
 def query(function: Query) -> Query:
@@ -216,6 +215,15 @@ def kpi_summary(spark, sf_dir):
     )
 
 
+@query
+def catalog_csv(spark, sf_dir):
+    """The raw catalogue as CSV, with columns nobody asked for, read back in the order of a number it holds."""
+    path = new_path(spark, "catalog_csv")
+    raw = testbed.raw_catalog(spark, sf_dir)
+    tables.write_table(raw.select(F.lit("x").alias("Reviews"), "*", F.lit(None).cast("string").alias("Size")), path, fmt="csv")
+    return tables.read_raw_catalog(spark, path, schemas.RAW_CATALOG, order_by="source_order")
+
+
 @query
 def catalog_clean(spark, sf_dir):
     return catalog.catalog_clean(testbed.raw_catalog(spark, sf_dir))
@@ -298,8 +306,8 @@ def propensity_features(spark, sf_dir):
 @query
 def propensity_onehot(spark, sf_dir):
     features = stage(_features(spark, sf_dir), "features")
-    encoder, names = propensity.fit_encoder(features)
-    return propensity.encoded_long(encoder.transform(features), names)
+    encoder = propensity.fit_encoder(features)
+    return propensity.encoded_long(encoder.transform(features), encoder)
 
 
 @query
@@ -314,43 +322,48 @@ def class_weights(spark, sf_dir):
     return _rounded(propensity.class_weights(_features(spark, sf_dir)))
 
 
-def _split(spark, sf_dir):
-    """(weighted training rows, test rows, encoder, slot names)."""
-    split = stage(propensity.stratified_split(_features(spark, sf_dir)), "split")
-    train = propensity.with_class_weight(split.filter(~F.col("is_test")))
-    encoder, names = propensity.fit_encoder(train)
-    return encoder.transform(train), encoder.transform(split.filter("is_test")), names
+_MODELS: dict[tuple[str, str], propensity.FittedModel] = {}
+
+
+def _model(spark, sf_dir) -> propensity.FittedModel:
+    """The model of these tables, fitted once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = propensity.fit(_features(spark, sf_dir))
+    return _MODELS[key]
 
 
 @query
 def propensity_cv(spark, sf_dir):
-    train, _, _ = _split(spark, sf_dir)
-    summary, _ = propensity.cross_validate(train, propensity.forest(N_TREES))
-    return summary
+    return _model(spark, sf_dir).validation
 
 
 @query
 def propensity_scores(spark, sf_dir):
-    train, test, _ = _split(spark, sf_dir)
-    return propensity.scores(propensity.forest(N_TREES).fit(train), test)
+    return _model(spark, sf_dir).scores
 
 
 @query
 def feature_importance(spark, sf_dir):
-    train, _, names = _split(spark, sf_dir)
-    return propensity.feature_importance(propensity.forest(N_TREES).fit(train), names)
+    return _model(spark, sf_dir).importances
 
 
 @query
 def top_feature(spark, sf_dir):
-    return propensity.top_feature(feature_importance(spark, sf_dir))
+    return propensity.top_feature(_model(spark, sf_dir).importances)
 
 
 @query
 def model_metrics(spark, sf_dir):
     """Hold-out figures of the model."""
-    scored = stage(propensity_scores(spark, sf_dir), "scored")
-    return propensity.model_metrics(scored)
+    return propensity.model_metrics(_model(spark, sf_dir).scores)
+
+
+@query
+def model_checks(spark, sf_dir):
+    """What SQL can say about the fitted model: rows and positives of the hold-out and of each fold, the features it
+    knows, and that scores, predictions and importances are what they should be."""
+    return propensity.model_checks(_model(spark, sf_dir))
 
 
 def _labelled_documents(spark, sf_dir):
@@ -363,14 +376,14 @@ def _labelled_documents(spark, sf_dir):
 def roc_auc(spark, sf_dir):
     """Document length modulo 50 as the score of the quality label: many ties, 50 values."""
     scored = _labelled_documents(spark, sf_dir).withColumn("score", (F.col("n_chars") % 50).cast("double"))
-    return _rounded(propensity.roc_auc(scored))
+    return _rounded(propensity.roc_auc(scored, buckets=SMALL))
 
 
 @query
 def roc_auc_continuous(spark, sf_dir):
     """The document length itself as the score: as many values as the data has."""
     scored = _labelled_documents(spark, sf_dir).withColumn("score", F.col("n_chars").cast("double"))
-    return _rounded(propensity.roc_auc(scored, buckets=16))
+    return _rounded(propensity.roc_auc(scored))
 
 
 @query
@@ -391,26 +404,25 @@ def join_semantics(spark, sf_dir):
     Orders are folded to one row per customer first, so a customer with a third
     of all orders is no hot key; pair counts are sums of the folded counts.
     """
-    customer = testbed.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     orders = testbed.read(spark, sf_dir, "orders")
-    folded = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    finished = orders.filter(F.col("o_orderstatus") == "F").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    pairs = F.coalesce(F.col("n"), F.lit(1))
-
-    def per_segment(name: str, joined: DataFrame, rows) -> DataFrame:
-        return joined.groupBy("c_mktsegment").agg(F.sum(rows).alias("n_rows")).select(
-            F.lit(name).alias("join_type"), "c_mktsegment", "n_rows"
-        )
-
-    return reduce(
-        DataFrame.unionByName,
-        [
-            per_segment("left", customer.join(folded, "o_custkey", "left"), pairs),
-            per_segment("left_with_condition", customer.join(finished, "o_custkey", "left"), pairs),
-            per_segment("inner", customer.join(folded, "o_custkey"), F.col("n")),
-            per_segment("left_semi", customer.join(finished, "o_custkey", "left_semi"), F.lit(1)),
-            per_segment("left_anti", customer.join(finished, "o_custkey", "left_anti"), F.lit(1)),
-        ],
+    folded = orders.groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("finished")
+    )
+    customer = testbed.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    n, finished = (F.coalesce(F.col(c), F.lit(0)) for c in ("n", "finished"))
+    per_join = {
+        "left": F.greatest(n, F.lit(1)),
+        "left_with_condition": F.greatest(finished, F.lit(1)),
+        "inner": n,
+        "left_semi": (finished > 0).cast("int"),
+        "left_anti": (finished == 0).cast("int"),
+    }
+    sums = customer.join(folded, "o_custkey", "left").groupBy("c_mktsegment").agg(
+        *[F.sum(rows).alias(name) for name, rows in per_join.items()]
+    )
+    # a segment without a row of some join has no line there
+    return sums.unpivot(["c_mktsegment"], list(per_join), "join_type", "n_rows").filter("n_rows > 0").select(
+        "join_type", "c_mktsegment", "n_rows"
     )
 
 
@@ -463,7 +475,6 @@ def percentile_exact(spark, sf_dir):
         testbed.read(spark, sf_dir, "lineitem"),
         "l_extendedprice",
         {"price_p10": 0.1, "price_p50": 0.5, "price_p90": 0.9},
-        buckets=32,
     )
     return _rounded(
         reduce(
@@ -518,33 +529,4 @@ def scalar_strings(spark, sf_dir):
 @query
 def quality_report(spark, sf_dir):
     wh = warehouse(spark, sf_dir)
-    marts = wh.marts()
-    facts = wh.stored_facts
-    summary, ab = marts["funnel_summary"], marts["ab_test_results"]
-    curve, kept = marts["trial_dropoff_curve"], marts["cohort_retention"]
-    return quality.quality_report(
-        [
-            quality.unique_key("users_key", wh.users, "user_id"),
-            quality.unique_key("events_key", wh.events, "event_id"),
-            quality.bots_removed(wh.flagged_users),
-            quality.funnel_monotone(summary),
-            quality.step_rates_consistent(summary),
-            quality.required_values("clean_users_complete", facts, ["user_id", "install_timestamp"]),
-            quality.required_values("events_complete", wh.events, ["event_name", "event_timestamp"]),
-            quality.no_srm(ab),
-            quality.plausible_rates(ab),
-            quality.no_leakage(propensity.propensity_features(facts), wh.events),
-            quality.rate_near(
-                "signup_rate_near_expected", summary, F.col("n_signup") / F.col("n_install"), 0.85, 0.02
-            ),
-            quality.retention_in_range(kept),
-            quality.d1_at_least_d7(kept),
-            quality.segments_sum_to_100(marts["user_segmentation"]),
-            quality.curve_non_increasing(curve),
-            quality.cliff_on_day(trials.dropoff_cliff(curve), 6),
-            quality.has_columns("users_columns", wh.users, schemas.USERS.names),
-            quality.has_columns("events_columns", wh.events, schemas.EVENTS.names),
-        ]
-    )
-
-
+    return wh.quality_report(wh.marts(), _model(spark, sf_dir).importances)

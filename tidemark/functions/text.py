@@ -9,7 +9,7 @@ def contains_any(text: Column, *fragments: str) -> Column:
     """Case-insensitive "contains one of"; a NULL text counts as no match."""
     hit = F.lit(False)
     for fragment in fragments:
-        hit = hit | text.ilike(f"%{fragment}%")
+        hit = hit | F.contains(F.lower(text), F.lit(fragment.lower()))
     return F.coalesce(hit, F.lit(False))
 
 

@@ -6,12 +6,16 @@ into each ntile, percentiles, AUC) is computed here from the value histogram.
 
 Two regimes:
 
-* ``buckets=None``: the histogram is known to be small. Per-user event counts
+* ``buckets=SMALL``: the caller knows the histogram to be small. Per-user event counts
   qualify (k different counts need at least k*(k-1)/2 events), as do day spans
   and calendar periods. A plain window over the histogram is used.
-* ``buckets=n``: the values are unbounded (prices, scores). The histogram is
-  written to the shared folder once, cut into n value ranges, and each range is
-  accumulated in its own task; only n range totals meet in one place.
+* otherwise, and by default: the values are unbounded (prices, scores). The
+  histogram is written to the shared folder once, cut into value ranges, and each
+  range is accumulated in its own task; only the range totals meet in one place.
+  Ranges hold about ``RANGE_ROWS`` rows, so their number follows the data.
+
+The ranged forms write the histogram and take its quantiles when they are called,
+not when their result is used; :func:`tidemark.sources.staging.release` deletes it.
 """
 
 from __future__ import annotations
@@ -23,6 +27,15 @@ from tidemark.functions.numeric import ratio
 from tidemark.sources.staging import stage
 
 
+SMALL = 0
+RANGE_ROWS = 100_000
+
+
+def range_count(staged: DataFrame, rows: int = RANGE_ROWS) -> int:
+    """How many ranges keep each at about ``rows`` rows, 8 at least."""
+    return max(8, -(-staged.count() // rows))
+
+
 def histogram(df: DataFrame, value: str) -> DataFrame:
     """(value, n): rows per non-null value; frequent values combine map-side."""
     return df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
@@ -80,7 +93,7 @@ def running_total(
     """
     order = F.col(value).desc() if descending else F.col(value).asc()
     by = by or []
-    if buckets is None:
+    if buckets == SMALL:
         earlier = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return hist.select(
             "*",
@@ -88,12 +101,13 @@ def running_total(
             *[F.sum(s).over(Window.partitionBy(*by)).alias(f"{s}_total") for s in sums],
         )
     if by:
-        raise ValueError("grouped running totals need a small histogram (buckets=None)")
-    ranged = value_ranges(stage(hist, "histogram"), value, buckets)
+        raise ValueError("grouped running totals need a small histogram (buckets=SMALL)")
+    stored = stage(hist, "histogram")
+    ranged = value_ranges(stored, value, buckets or range_count(stored))
     offsets = _range_offsets(ranged, [F.sum(s).alias(s) for s in sums], sums, descending)
     earlier = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    # offsets has at most `buckets` rows, so broadcasting it is safe at any scale
-    return ranged.join(F.broadcast(offsets), "_range").select(
+    # a row per range
+    return ranged.join(offsets, "_range").select(
         *hist.columns,
         *[
             (F.coalesce(F.sum(s).over(earlier), F.lit(0)) + F.col(f"{s}_offset")).alias(f"{s}_before")
@@ -103,12 +117,13 @@ def running_total(
     )
 
 
-def global_row_number(df: DataFrame, order_by: str, name: str, buckets: int) -> DataFrame:
+def global_row_number(df: DataFrame, order_by: str, name: str, buckets: int | None = None) -> DataFrame:
     """Dense 1..n numbering by a unique numeric column, each range in its own task."""
-    ranged = value_ranges(stage(df, "numbering"), order_by, buckets)
+    stored = stage(df, "numbering")
+    ranged = value_ranges(stored, order_by, buckets or range_count(stored))
     offsets = _range_offsets(ranged, [F.count(F.lit(1)).alias("n")], ["n"])
     within = Window.partitionBy("_range").orderBy(F.col(order_by).asc())
-    return ranged.join(F.broadcast(offsets), "_range").select(
+    return ranged.join(offsets, "_range").select(
         (F.row_number().over(within) + F.col("n_offset")).alias(name), *df.columns
     )
 
@@ -166,7 +181,7 @@ def ntile_share(tile: Column | int, tiles: int) -> Column:
 
 
 def exact_percentiles(
-    df: DataFrame, value: str, probabilities: dict[str, float], buckets: int
+    df: DataFrame, value: str, probabilities: dict[str, float], buckets: int | None = None
 ) -> DataFrame:
     """One row of linear-interpolated percentiles of an unbounded numeric column.
 

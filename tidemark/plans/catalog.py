@@ -13,7 +13,7 @@ MIN_RATING = 4.0
 
 
 def catalog_clean(
-    raw: DataFrame, category: str = CATEGORY, min_rating: float = MIN_RATING, buckets: int = 32
+    raw: DataFrame, category: str = CATEGORY, min_rating: float = MIN_RATING, buckets: int | None = None
 ) -> DataFrame:
     """Typed, filtered, deduplicated apps with ids 1..n in source order.
 

@@ -13,6 +13,7 @@ MAX_USERS_PER_DEVICE = 200
 QA_CHANNEL = "internal_qa"
 QA_EMAIL_FRAGMENT = "test"
 BOT_EMAIL_FRAGMENTS = ("test", "qa", "bot")
+USERS_PER_SALT = 100_000
 
 
 def device_reuse(users: DataFrame) -> DataFrame:
@@ -36,8 +37,10 @@ def flag_bots(
     shared = (
         device_reuse(users.filter(F.col("device_id").isNotNull()))
         .filter(F.col("distinct_users_on_device") > max_users_per_device)
-        .select("device_id", F.lit(True).alias("on_shared_device"))
+        .select("device_id", "distinct_users_on_device", F.lit(True).alias("on_shared_device"))
     )
+    # as many salts as the largest farm needs
+    salts = shared.agg(F.greatest(F.lit(1), F.ceil(F.max("distinct_users_on_device") / USERS_PER_SALT))).scalar()
     email = F.col("email")
     suspected = (
         F.when(F.col("on_shared_device"), True)
@@ -45,7 +48,7 @@ def flag_bots(
         .when(contains_any(email, *email_fragments), True)
         .otherwise(False)
     )
-    return salted_left_join(users, shared, "device_id", F.col("user_id")).select(
+    return salted_left_join(users, shared.drop("distinct_users_on_device"), "device_id", F.col("user_id"), salts).select(
         *users.columns, suspected.alias("is_suspected_bot")
     )
 

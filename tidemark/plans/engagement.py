@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.dates import week_start
 from tidemark.functions.numeric import ratio, round_to
-from tidemark.operators.ordering import histogram, ntile_share, percent_rank, running_total
+from tidemark.operators.ordering import SMALL, histogram, ntile_share, percent_rank, running_total
 
 SESSIONS, LIFETIME, WEEK = "sessions", "lifetime", "week"
 BAND = 0.1
@@ -37,7 +37,7 @@ def distributions(facts: DataFrame, kinds: tuple[str, ...] = (SESSIONS, LIFETIME
         .groupBy("kind", "value")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("converted").alias("converted"))
     )
-    return running_total(hist, "value", ["n"], by=["kind"], descending=True)
+    return running_total(hist, "value", ["n"], by=["kind"], descending=True, buckets=SMALL)
 
 
 def _mean(weight: Column) -> Column:
@@ -127,7 +127,7 @@ def rank_distribution(counts: DataFrame, value: str, tiles: int = QUARTILES) ->
     Equal to the three windows over all rows ordered by ``value`` descending,
     except that tied rows are counted per tile instead of listed.
     """
-    ranked = running_total(histogram(counts, value), value, ["n"], descending=True)
+    ranked = running_total(histogram(counts, value), value, ["n"], descending=True, buckets=SMALL)
     tile = F.explode(F.sequence(F.lit(1), F.lit(tiles)))
     return (
         ranked.select("*", tile.alias("tile"))

@@ -181,6 +181,10 @@ def adoption_chi2(adoption: DataFrame, significance: float = BONFERRONI_ALPHA, l
     )
 
 
+# Label texts of the report.
+SRM_PASSED, SRM_FAILED = "SRM Passed", "SRM FAILED - Check Sample Ratio"
+
+
 def ab_labels(results: DataFrame, chi2: DataFrame) -> DataFrame:
     """One row of display strings for the readouts."""
     ab = results.select(
@@ -193,7 +197,7 @@ def ab_labels(results: DataFrame, chi2: DataFrame) -> DataFrame:
         .when(F.col("p_value") < 0.05, "significant")
         .otherwise("not significant")
         .alias("significance_text"),
-        F.when(~F.col("has_srm"), "SRM Passed").otherwise("SRM FAILED - Check Sample Ratio").alias("srm_check"),
+        F.when(F.col("has_srm"), SRM_FAILED).when(~F.col("has_srm"), SRM_PASSED).alias("srm_check"),
     )
     behaviour = chi2.agg(F.max("p_value").alias("p"), F.bool_or("is_significant").alias("sig")).select(
         F.struct("p", "sig")

@@ -22,6 +22,12 @@ def _long(one_row: DataFrame) -> DataFrame:
     return one_row.select(*columns).unpivot([], one_row.columns, "metric", "value")
 
 
+def with_top_feature(kpis: DataFrame, importances: DataFrame) -> DataFrame:
+    """The KPIs with the model's most important feature and its importance."""
+    top = importances.orderBy(F.desc("Importance"), "Feature").limit(1).select(F.struct("Feature", "Importance")).scalar()
+    return kpis.select("*", top["Feature"].alias("top_feature"), top["Importance"].alias("top_feature_importance"))
+
+
 def kpi_summary(
     funnel: DataFrame, curve: DataFrame, segmentation: DataFrame, adoption: DataFrame, advanced: DataFrame
 ) -> DataFrame:

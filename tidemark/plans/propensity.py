@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
 from statistics import fmean, pstdev
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.numeric import ratio, ratio_or_zero
 from tidemark.operators.ordering import rank_in_class_by_hash, running_total
@@ -23,7 +24,6 @@ TEST_SIZE = 0.2
 N_FOLDS = 5
 N_TREES = 100
 MAX_DEPTH = 5
-MAX_CATEGORIES = 1_000  # labels of one category column are held by the driver
 
 
 def propensity_features(facts: DataFrame) -> DataFrame:
@@ -67,44 +67,64 @@ def with_class_weight(train: DataFrame, label: str = LABEL) -> DataFrame:
     return train.join(F.broadcast(weights), label)  # one row per class
 
 
-def fit_encoder(train: DataFrame, max_categories: int = MAX_CATEGORIES) -> tuple[PipelineModel, list[str]]:
+@dataclass(frozen=True)
+class Encoder:
     """One-hot encoding without the alphabetically first category; unseen ones become all zeros.
 
-    Returns the fitted stages and the names of the vector slots.
+    ``slots`` (column, value, slot) is a table, so the number of categories is no matter for the driver; the slots of a
+    column follow each other in an order drawn by hash.
     """
-    # the indexer collects all labels, so look before asking for them
-    sizes = train.agg(*[F.approx_count_distinct(c).alias(c) for c in CATEGORICAL]).first()
-    for column in CATEGORICAL:
-        if sizes[column] > max_categories:
-            raise ValueError(f"{column} has about {sizes[column]} categories, more than {max_categories}")
-    names, stages, pieces = list(NUMERIC), [], list(NUMERIC)
+
+    slots: DataFrame
+    widths: dict[str, int]
+
+    @property
+    def names(self) -> DataFrame:
+        """(slot, feature) of the feature vector."""
+        numeric = F.array(*[F.struct(F.lit(i).cast("long").alias("slot"), F.lit(n).alias("feature")) for i, n in enumerate(NUMERIC)])
+        spark = self.slots.sparkSession
+        out = spark.range(1).select(F.inline(numeric))
+        start = len(NUMERIC)
+        for column, width in self.widths.items():
+            its = self.slots.filter(F.col("column") == column)
+            out = out.unionByName(its.select((F.col("slot") + start).alias("slot"), F.concat(F.lit(f"{column}_"), "value").alias("feature")))
+            start += width
+        return out
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``features``."""
+        columns, spark = list(df.columns), df.sparkSession
+        pieces = list(NUMERIC)
+        for column, width in self.widths.items():
+            if not width:
+                continue
+            its = self.slots.filter(F.col("column") == column).select(F.col("value").alias(column), F.col("slot").alias("_slot"))
+            # a number beyond the last slot is unseen, and encoded as all zeros
+            numbered = df.join(its, column, "left").withColumn(f"_{column}", F.coalesce("_slot", F.lit(width)).cast("double")).drop("_slot")
+            encoder = OneHotEncoder(inputCol=f"_{column}", outputCol=f"_{column}_slots", handleInvalid="keep")
+            df = encoder.fit(spark.range(1).select(F.lit(float(width - 1)).alias(f"_{column}"))).transform(numbered)
+            pieces.append(f"_{column}_slots")
+        return VectorAssembler(inputCols=pieces, outputCol="features").transform(df).select(*columns, "features")
+
+
+def fit_encoder(train: DataFrame) -> Encoder:
+    """Numbers the categories of the training rows by a distributed fold; only their count reaches the driver."""
+    tables, widths = [], {}
     for column in CATEGORICAL:
-        indexer = StringIndexer(
-            inputCol=column, outputCol=f"{column}_index", stringOrderType="alphabetDesc", handleInvalid="keep"
-        ).fit(train)
-        labels = indexer.labels
-        # slots: labels in descending order (the base category last), then "unseen"
-        encoder = OneHotEncoder(inputCol=f"{column}_index", outputCol=f"{column}_slots", dropLast=False).fit(
-            indexer.transform(train.limit(0))
-        )
-        stages += [indexer, encoder]
-        if len(labels) > 1:
-            stages.append(
-                VectorSlicer(
-                    inputCol=f"{column}_slots", outputCol=f"{column}_vector", indices=list(range(len(labels) - 1))
-                )
-            )
-            pieces.append(f"{column}_vector")
-            names += [f"{column}_{value}" for value in labels[:-1]]
-    stages.append(VectorAssembler(inputCols=pieces, outputCol="features"))
-    return PipelineModel(stages), names
+        values = train.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct()
+        base = values.agg(F.min("value")).scalar()
+        ranked = rank_in_class_by_hash(values.filter(F.col("value") != base).withColumn("column", F.lit(column)), "value", "column", SEED)
+        tables.append(ranked.select("column", "value", (F.col("class_rank") - 1).alias("slot")))
+    slots = stage(reduce(DataFrame.unionByName, tables), "slots")
+    found = {r["column"]: r["n"] for r in slots.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    widths = {column: found.get(column, 0) for column in CATEGORICAL}
+    return Encoder(slots, widths)
 
 
-def encoded_long(encoded: DataFrame, names: list[str]) -> DataFrame:
+def encoded_long(encoded: DataFrame, encoder: Encoder) -> DataFrame:
     """(user_id, feature, value): the non-zero slots of the feature vector."""
-    slots = encoded.select("user_id", F.posexplode(vector_to_array("features")).alias("slot", "value"))
-    named = F.array(*[F.lit(n) for n in names])
-    return slots.filter(F.col("value") != 0).select("user_id", named[F.col("slot")].alias("feature"), "value")
+    filled = encoded.select("user_id", F.posexplode(vector_to_array("features")).alias("slot", "value")).filter("value <> 0")
+    return filled.join(encoder.names, "slot").select("user_id", "feature", "value")
 
 
 def forest(n_trees: int = N_TREES, max_depth: int = MAX_DEPTH, seed: int = SEED) -> RandomForestClassifier:
@@ -124,31 +144,80 @@ def exact_auc_evaluator() -> BinaryClassificationEvaluator:
     return BinaryClassificationEvaluator(rawPredictionCol="probability", labelCol=LABEL, numBins=0)
 
 
-def cross_validate(
-    encoded_train: DataFrame, classifier: RandomForestClassifier, folds: int = N_FOLDS
-) -> tuple[DataFrame, RandomForestClassificationModel]:
-    """One row (mean ROC-AUC over the stratified folds, two standard deviations) and
-    the model fitted on all training rows.
+def fold_auc(train: DataFrame, classifier: RandomForestClassifier, fold: int) -> float:
+    """ROC-AUC on one fold; encoder and class weights come from the other folds alone."""
+    rest = with_class_weight(train.filter(F.col("fold") != fold))
+    encoder = fit_encoder(rest)
+    model = classifier.fit(encoder.transform(rest))
+    return exact_auc_evaluator().evaluate(model.transform(encoder.transform(train.filter(F.col("fold") == fold))))
 
-    The encoded rows are stored once, and the folds and the final model are fitted
-    side by side: one fit alone rarely keeps a cluster busy. (The built-in
-    cross-validator runs its folds one after another and caches two copies of
-    the data for each.)
-    """
-    stored = stage(encoded_train.select("fold", "features", LABEL, "weight"), "train")
-    evaluator = exact_auc_evaluator()
 
-    def auc(fold: int) -> float:
-        model = classifier.fit(stored.filter(F.col("fold") != fold))
-        return evaluator.evaluate(model.transform(stored.filter(F.col("fold") == fold)))
+def cross_validate(train: DataFrame, classifier: RandomForestClassifier, folds: int = N_FOLDS) -> DataFrame:
+    """One row: mean ROC-AUC over the stratified folds, and two standard deviations.
 
-    jobs = [lambda fold=fold: auc(fold) for fold in range(folds)]
-    model, *aucs = together([lambda: classifier.fit(stored), *jobs])
-    summary = encoded_train.sparkSession.createDataFrame(
+    The folds are fitted side by side: one fit alone rarely keeps a cluster busy. (The built-in cross-validator runs
+    its folds one after another and caches two copies of the data for each.)
+    """
+    aucs = together([lambda fold=fold: fold_auc(train, classifier, fold) for fold in range(folds)])
+    return train.sparkSession.createDataFrame(
         [(folds, fmean(aucs), 2 * pstdev(aucs))],
         "n_folds int, cv_roc_auc_mean double, cv_roc_auc_two_sd double",
     )
-    return summary, model
+
+
+@dataclass(frozen=True)
+class FittedModel:
+    """A forest with everything that reports draw from it."""
+
+    split: DataFrame
+    encoder: Encoder
+    model: RandomForestClassificationModel
+    validation: DataFrame
+    scores: DataFrame
+
+    @property
+    def importances(self) -> DataFrame:
+        return feature_importance(self.model, self.encoder)
+
+
+def fit(features: DataFrame, n_trees: int = N_TREES, validate: bool = True) -> FittedModel:
+    """Split, cross-validate, fit on all training rows and score the hold-out; each once."""
+    split = stage(stratified_split(features), "split")
+    train, test = split.filter(~F.col("is_test")), split.filter("is_test")
+    weighted = with_class_weight(train)
+    encoder = fit_encoder(weighted)
+    classifier = forest(n_trees)
+    jobs = [lambda: classifier.fit(encoder.transform(weighted))]
+    if validate:
+        jobs.append(lambda: cross_validate(train, classifier))
+    model, *validation = together(jobs)
+    scored = stage(scores(model, encoder.transform(test)), "scored")
+    return FittedModel(split, encoder, model, validation[0] if validation else None, scored)
+
+
+def model_checks(fitted: FittedModel, tolerance: float = 1e-6) -> DataFrame:
+    """(measure, value): counts of the hold-out and the folds, and how many rows break what must hold."""
+    split, label = fitted.split, F.col(LABEL)
+    held = fitted.scores.agg(
+        F.count(F.lit(1)).alias("test_rows"),
+        F.count_if(F.col("label") == 1).alias("test_positives"),
+        F.count_if(~F.coalesce(F.col("score").between(0, 1), F.lit(False))).alias("scores_out_of_range"),
+        F.count_if(F.col("prediction") != (F.col("score") > 0.5).cast("int")).alias("predictions_unlike_scores"),
+    )
+    folds = split.agg(
+        F.count_if(~F.col("is_test")).alias("train_rows"),
+        F.count_if(~F.col("is_test") & (label == 1)).alias("train_positives"),
+        F.count_if(F.col("is_test") == F.col("fold").isNotNull()).alias("rows_in_no_or_two_parts"),
+        *[F.count_if(F.col("fold") == k).alias(f"fold_{k}_rows") for k in range(N_FOLDS)],
+        *[F.count_if((F.col("fold") == k) & (label == 1)).alias(f"fold_{k}_positives") for k in range(N_FOLDS)],
+    )
+    known = fitted.importances.agg(
+        F.count(F.lit(1)).alias("features"),
+        F.sum(F.length("Feature")).alias("feature_name_chars"),
+        F.coalesce((F.abs(F.sum("Importance") - 1) > tolerance).cast("int"), F.lit(1)).alias("importances_off"),
+    )
+    parts = [df.select(*[F.col(c).cast("long").alias(c) for c in df.columns]).unpivot([], df.columns, "measure", "value") for df in (held, folds, known)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def scores(model: RandomForestClassificationModel, encoded: DataFrame) -> DataFrame:
@@ -161,11 +230,14 @@ def scores(model: RandomForestClassificationModel, encoded: DataFrame) -> DataFr
     )
 
 
-def feature_importance(model: RandomForestClassificationModel, names: list[str]) -> DataFrame:
-    """(Feature, Importance), most important first; one row per vector slot."""
-    rows = [(n, float(i)) for n, i in zip(names, model.featureImportances.toArray())]
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(rows, "Feature string, Importance double").orderBy(F.desc("Importance"), "Feature")
+def feature_importance(model: RandomForestClassificationModel, encoder: Encoder) -> DataFrame:
+    """(Feature, Importance), most important first; one row per vector slot. The model itself holds the figures on the
+    driver; the names join them there from their table."""
+    rows = [(slot, float(x)) for slot, x in enumerate(model.featureImportances.toArray())]
+    spark = encoder.slots.sparkSession
+    weighed = spark.createDataFrame(rows, "slot long, Importance double")
+    named = weighed.join(encoder.names, "slot").select(F.col("feature").alias("Feature"), "Importance")
+    return named.orderBy(F.desc("Importance"), "Feature")
 
 
 def top_feature(importances: DataFrame) -> DataFrame:
@@ -175,8 +247,8 @@ def top_feature(importances: DataFrame) -> DataFrame:
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
     """One row: exact area under the ROC curve, ties counted half.
 
-    Rows are folded to one per distinct score. Give ``buckets`` when scores are
-    continuous, so that the fold is accumulated range by range.
+    Rows are folded to one per distinct score, and the fold is accumulated range by
+    range; give ``buckets=SMALL`` where there are few distinct scores.
     """
     positive = F.count_if(F.col(label) == 1)
     hist = scored.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(
@@ -237,7 +309,7 @@ def classification_report(scored: DataFrame, label: str = "label", prediction: s
     return rated.drop("hits").unionByName(totals)
 
 
-def model_metrics(scored: DataFrame, buckets: int = 64) -> DataFrame:
+def model_metrics(scored: DataFrame, buckets: int | None = None) -> DataFrame:
     """(metric, value): the classification report in long form and the ROC-AUC."""
     report = classification_report(scored).withColumn("support", F.col("support").cast("double"))
     long = report.unpivot(["class"], ["precision", "recall", "f1_score", "support"], "measure", "value").filter(

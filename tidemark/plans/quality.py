@@ -11,29 +11,39 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def _row(name: str, bad: DataFrame) -> DataFrame:
-    """``bad`` is a one-row frame with a column n_bad."""
-    n_bad = F.coalesce(F.col("n_bad").cast("long"), F.lit(0))
+    """``bad`` is a one-row frame with a column n_bad; without a figure the check fails."""
+    n_bad = F.coalesce(F.col("n_bad").cast("long"), F.lit(1))
     return bad.select(F.lit(name).alias("check"), n_bad.alias("n_bad"), (n_bad == 0).alias("passed"))
 
 
+def _nothing_there() -> Column:
+    """1 if the aggregated input is empty: nothing was checked, so the check fails."""
+    return (F.count(F.lit(1)) == 0).cast("int")
+
+
+def _broken(condition: Column) -> Column:
+    """Rows where a condition holds or can't be told."""
+    return F.count_if(F.coalesce(condition, F.lit(True)))
+
+
 def _violations(name: str, df: DataFrame, *bad: Column) -> DataFrame:
-    """Counts (row, condition) pairs that hold; NULL conditions do not count."""
-    return _row(name, df.agg(reduce(lambda a, b: a + b, [F.count_if(c) for c in bad]).alias("n_bad")))
+    """Counts (row, condition) pairs that hold or can't be told; an empty input counts as one."""
+    return _row(name, df.agg(reduce(lambda a, b: a + b, [_broken(c) for c in bad], _nothing_there()).alias("n_bad")))
 
 
 def _flag(name: str, one_row: DataFrame, bad: Column) -> DataFrame:
-    return _row(name, one_row.agg(F.count_if(bad).alias("n_bad")))
+    return _violations(name, one_row, bad)
 
 
 def unique_key(name: str, df: DataFrame, key: str) -> DataFrame:
     """Keys that are NULL or occur more than once."""
     groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return _row(name, groups.agg(F.count_if(F.col(key).isNull() | (F.col("n") > 1)).alias("n_bad")))
+    return _violations(name, groups, F.col(key).isNull() | (F.col("n") > 1))
 
 
 def required_values(name: str, df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with a NULL in any of the columns."""
-    return _row(name, df.agg(F.count_if(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])).alias("n_bad")))
+    return _violations(name, df, reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns]))
 
 
 def bots_removed(flagged: DataFrame) -> DataFrame:
@@ -83,14 +93,20 @@ def no_leakage(features: DataFrame, events: DataFrame, early_day: int = 3) -> Da
     early = (
         events.filter((F.col("event_name") == "purchase_completed") & (F.col("day_offset") <= early_day))
         .groupBy("user_id")
-        .agg(F.lit(1).alias("early"))
+        .agg(F.lit(True).alias("early"))
     )
-    return _row("no_label_leakage", features.join(early, "user_id", "left_semi").agg(F.count(F.lit(1)).alias("n_bad")))
+    joined = features.select("user_id").join(early, "user_id", "left")
+    return _violations("no_label_leakage", joined, F.col("early").isNotNull())
 
 
 def retention_in_range(retention: DataFrame) -> DataFrame:
+    """Shares outside 0 to 100; those of cohorts that aren't old enough yet are NULL by rule."""
+    masked = ("d14_retention_pct", "d30_retention_pct")
     shares = [c for c in retention.columns if c.endswith("_retention_pct")]
-    return _violations("retention_pct_in_range", retention, *[~F.col(c).between(0, 100) for c in shares])
+    outside = [~F.col(c).between(0, 100) for c in shares]
+    return _violations(
+        "retention_pct_in_range", retention, *[F.coalesce(o, F.lit(False)) if c in masked else o for c, o in zip(shares, outside)]
+    )
 
 
 def d1_at_least_d7(retention: DataFrame) -> DataFrame:
@@ -108,23 +124,22 @@ def importances_sum_to_one(importances: DataFrame, tolerance: float = 0.01) -> D
 
 
 def curve_non_increasing(curve: DataFrame, from_day: int = 8) -> DataFrame:
-    """Days from ``from_day`` on that are above the day before them in the curve."""
+    """Days from ``from_day`` on that are above the one before them there; the first has none before it."""
     # the curve has one row per trial day
     previous = F.lag("pct_active").over(Window.orderBy("day_offset"))
-    later = curve.filter(F.col("day_offset") >= from_day).select((F.col("pct_active") > previous).alias("rises"))
-    return _violations("curve_non_increasing_after_peak", later, F.col("rises"))
+    later = curve.filter(F.col("day_offset") >= from_day).select("pct_active", previous.alias("previous"))
+    rises = F.when(F.col("previous").isNotNull(), F.col("pct_active") > F.col("previous")).otherwise(F.col("pct_active").isNull())
+    return _violations("curve_non_increasing_after_peak", later, rises)
 
 
 def cliff_on_day(cliff: DataFrame, expected_day: int) -> DataFrame:
     return _flag("cliff_on_expected_day", cliff, F.col("cliff_day") != expected_day)
 
 
-def has_columns(name: str, df: DataFrame, expected: list[str]) -> DataFrame:
-    """Expected columns that are absent; read from the schema, no data is scanned."""
+def present(name: str, df: DataFrame, expected: list[str]) -> DataFrame:
+    """Expected columns that are absent, and one more if the table has no row."""
     missing = len(set(expected) - set(df.columns))
-    return df.sparkSession.range(1).select(
-        F.lit(name).alias("check"), F.lit(missing).cast("long").alias("n_bad"), F.lit(missing == 0).alias("passed")
-    )
+    return _row(name, df.limit(1).agg((F.lit(missing) + _nothing_there()).alias("n_bad")))
 
 
 def quality_report(checks: list[DataFrame]) -> DataFrame:

@@ -52,7 +52,7 @@ def user_segmentation(facts: DataFrame, **rules) -> DataFrame:
     return sizes.select("*", pct(F.col("user_count"), total).alias("pct_of_total"))
 
 
-def churned_pct(segmentation: DataFrame, fallback: float = 80.0) -> DataFrame:
-    """One row: the share of the (first) segment whose name mentions churn."""
+def churned_pct(segmentation: DataFrame, fallback: float | None = None) -> DataFrame:
+    """One row: the share of the segment whose name mentions churn; NULL, or the fallback given, if there is none."""
     hit = F.coalesce(F.col("user_segment").ilike("%churned%"), F.lit(False))
-    return segmentation.agg(F.coalesce(F.max(F.when(hit, F.col("pct_of_total"))), F.lit(fallback)).alias("churned_pct"))
+    return segmentation.agg(F.coalesce(F.max(F.when(hit, F.col("pct_of_total"))), F.lit(fallback).cast("double")).alias("churned_pct"))

@@ -10,20 +10,31 @@ TRIAL_EVENT = "trial_started"
 ACTIVE_EVENTS = ("session_start", "feature_used")
 LAST_TRIAL_DAY = 30
 BLOCK_DAYS = 64  # bits of a long
-TYPICAL_DAY7_PCT = 34.0  # shown when day 7 is absent from the curve
 
 
-def _days(mask: str) -> Column:
-    """Day offsets whose bit is set in a mask of the user's blocks."""
+def _relative_mask(last_day: int) -> Column:
+    """Bit d: some trial of the user had activity d days after its start.
+
+    For each trial day the active bits are shifted so that the trial day is bit 0, taking in the first days of the next
+    block, and all of these are combined: as many steps as trial days, and no list of days.
+    """
+    wanted = F.lit((1 << (last_day + 1)) - 1).cast("long")
     positions = F.sequence(F.lit(0), F.lit(BLOCK_DAYS - 1))
-    return F.flatten(
-        F.transform(
-            "blocks",
-            lambda b: F.transform(
-                F.filter(positions, lambda i: F.getbit(b[mask], i) == 1), lambda i: b["block"] * BLOCK_DAYS + i
-            ),
-        )
-    )
+
+    def following(block: Column) -> Column:
+        after = F.filter("blocks", lambda b: b["block"] == block["block"] + 1)
+        return F.coalesce(F.get(F.transform(after, lambda b: b["active_bits"]), F.lit(0)), F.lit(0).cast("long"))
+
+    def seen_from(block: Column, day: Column) -> Column:
+        own = F.call_function("shiftrightunsigned", F.coalesce(block["active_bits"], F.lit(0).cast("long")), day)
+        more = F.when(day > 0, F.call_function("shiftleft", following(block), F.lit(BLOCK_DAYS) - day)).otherwise(F.lit(0).cast("long"))
+        return own.bitwiseOR(more).bitwiseAND(wanted)
+
+    def of_block(mask: Column, block: Column) -> Column:
+        starts = F.filter(positions, lambda i: F.getbit(F.coalesce(block["trial_bits"], F.lit(0).cast("long")), i) == 1)
+        return F.aggregate(starts, mask, lambda m, day: m.bitwiseOR(seen_from(block, day)))
+
+    return F.aggregate("blocks", F.lit(0).cast("long"), of_block)
 
 
 def trial_dropoff_curve(
@@ -34,12 +45,14 @@ def trial_dropoff_curve(
     The log is read once and folded to (user, 64-day block) with the active and
     the trial days as bit masks, so even a long and dense history shuffles a
     few rows per user and a user with a third of all events shuffles no more
-    than that per task. Blocks are then unpacked for trial users only; a user
-    has at most as many of them as the log has 64-day periods.
+    than that per task. Only clean users with a trial get further; a user has
+    at most as many blocks as the log has 64-day periods.
 
     A repeated trial adds to the denominator and each of its days can be
     matched; a user counts once per relative day.
     """
+    if not 0 <= last_day < BLOCK_DAYS - 1:
+        raise ValueError(f"the curve ends before day {BLOCK_DAYS - 1}")
     name, day = F.col("event_name"), F.col("day_offset")
     day_bit = F.expr(f"shiftleft(1L, pmod(day_offset, {BLOCK_DAYS}))")
     user_blocks = (
@@ -59,25 +72,13 @@ def trial_dropoff_curve(
         )
         .filter(F.col("n_trials") > 0)
         .join(clean_users.select("user_id"), "user_id", "left_semi")
-        .select("n_trials", _days("trial_bits").alias("trial_days"), _days("active_bits").alias("active_days"))
-    )
-    relative_days = F.array_distinct(
-        F.flatten(
-            F.transform(
-                "trial_days",
-                lambda start: F.filter(
-                    F.transform("active_days", lambda day: day - start), lambda d: d.between(0, last_day)
-                ),
-            )
-        )
+        .select("n_trials", _relative_mask(last_day).alias("seen"))
     )
+    days = F.filter(F.sequence(F.lit(0), F.lit(last_day)), lambda d: F.getbit("seen", d) == 1)
     # day -1 carries the number of trials, so one aggregation yields both sides of the rate
     weighted = F.concat(
         F.array(F.struct(F.lit(-1).alias("day_offset"), F.col("n_trials").alias("weight"))),
-        F.transform(
-            relative_days,
-            lambda d: F.struct(d.alias("day_offset"), F.lit(1).cast("long").alias("weight")),
-        ),
+        F.transform(days, lambda d: F.struct(d.alias("day_offset"), F.lit(1).cast("long").alias("weight"))),
     )
     per_day = trial_users.select(F.inline(weighted)).groupBy("day_offset").agg(F.sum("weight").alias("n"))
     # from here on there are at most last_day + 2 rows
@@ -102,11 +103,11 @@ def dropoff_cliff(curve: DataFrame) -> DataFrame:
     )
 
 
-def curve_points(curve: DataFrame, day7_fallback: float = TYPICAL_DAY7_PCT) -> DataFrame:
-    """One row: activity on day 0 and day 7, and the peak."""
+def curve_points(curve: DataFrame, day7_fallback: float | None = None) -> DataFrame:
+    """One row: activity on day 0 and day 7, and the peak. A day absent from the curve is NULL, or the fallback given for day 7."""
     on = lambda d: F.max(F.when(F.col("day_offset") == d, F.col("pct_active")))
     return curve.agg(
         on(0).alias("day0_pct"),
-        F.coalesce(on(7), F.lit(day7_fallback)).alias("day7_pct"),
+        F.coalesce(on(7), F.lit(day7_fallback).cast("double")).alias("day7_pct"),
         F.max("pct_active").alias("peak_pct"),
     )

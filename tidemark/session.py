@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 # Sized for a log of tens of terabytes: many small shuffle partitions that
 # adaptive execution merges to the advisory size, so no partition outgrows an
 # executor core's memory, and joins switch to broadcast only on measured sizes.
+TIME_ZONE = "spark.sql.session.timeZone"
 CLUSTER_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -18,7 +19,7 @@ CLUSTER_SETTINGS = {
     "spark.sql.shuffle.partitions": "16000",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
+    TIME_ZONE: "UTC",
     # recording a call site for every Column built from Python doubles planning time
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -30,6 +31,7 @@ def cluster_session(app: str = "tidemark") -> SparkSession:
     spark = builder.getOrCreate()
     given = {key for key, _ in spark.sparkContext.getConf().getAll()}
     for key, value in CLUSTER_SETTINGS.items():
-        if key not in given and not spark.sparkContext.master.startswith("local"):
+        # the time zone is about results, the rest about speed
+        if key == TIME_ZONE or (key not in given and not spark.sparkContext.master.startswith("local")):
             spark.conf.set(key, value)
     return spark

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,7 +17,7 @@ def export_marts(marts: dict[str, DataFrame], path: str, fmt: str = "csv") -> di
 
     Marts are reports of a few rows each, hence the single output file.
     """
-    folders = {name: f"{path}/{name[:SHEET_NAME_LENGTH]}" for name in sorted(marts)}
+    folders = {name: f"{path}/{name}" for name in sorted(marts)}
 
     def write(name: str) -> None:
         writer = marts[name].coalesce(1).write.mode("overwrite")
@@ -26,8 +27,24 @@ def export_marts(marts: dict[str, DataFrame], path: str, fmt: str = "csv") -> di
     return folders
 
 
+def sheet_names(marts: Iterable[str]) -> dict[str, str]:
+    """Names short enough for a spreadsheet, unique: of those cut alike, later ones end in a number."""
+    out: dict[str, str] = {}
+    taken: set[str] = set()
+    for name in sorted(marts):
+        sheet, n = name[:SHEET_NAME_LENGTH], 1
+        while sheet.lower() in taken:
+            n += 1
+            sheet = name[: SHEET_NAME_LENGTH - len(str(n)) - 1] + f"_{n}"
+        taken.add(sheet.lower())
+        out[name] = sheet
+    return out
+
+
 def manifest(spark: SparkSession, marts: dict[str, DataFrame], folders: dict[str, str], fmt: str = "csv") -> DataFrame:
-    """(mart, n_rows, n_cols) as found in the exported files."""
+    """(mart, sheet, n_rows, n_cols) as found in the exported files."""
+    sheets = sheet_names(folders)
+
     def one(name: str) -> DataFrame:
         schema = marts[name].schema
         reader = spark.read.schema(schema)
@@ -35,7 +52,8 @@ def manifest(spark: SparkSession, marts: dict[str, DataFrame], folders: dict[str
             reader.option("header", True).csv(folders[name]) if fmt == "csv" else reader.parquet(folders[name])
         )
         return stored.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(name[:SHEET_NAME_LENGTH]).alias("mart"),
+            F.lit(name).alias("mart"),
+            F.lit(sheets[name]).alias("sheet"),
             "n_rows",
             F.lit(len(schema)).alias("n_cols"),
         )

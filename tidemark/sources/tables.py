@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -16,22 +16,35 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return spark.read.schema(schema).parquet(path)
 
 
-def read_raw_catalog(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Raw app catalogue as text, by header name, with the row order of the file.
+def read_raw_catalog(
+    spark: SparkSession, path: str, schema: T.StructType, order_by: str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """Raw app catalogue as text, by header name, with ``source_order``.
 
-    The file may carry more columns than needed and fields may hold quotes and
-    line breaks, so columns are picked by name after a header-only look.
+    The file may carry more columns than needed and fields may hold quotes, so columns are picked by name after a
+    header-only look. The order is that of the numeric column ``order_by``; without one it is that of the file, of
+    which there may be only one then. ``multi_line`` allows line breaks in fields, but then each
+    file is read by one task.
     """
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     missing = [f.name for f in schema if f.name not in raw.columns]
     if missing:
         raise ValueError(f"catalogue {path} lacks columns {missing}")
     return raw.select(
         *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema],
-        F.monotonically_increasing_id().alias("source_order"),
+        _source_order(raw, order_by).alias("source_order"),
     )
 
 
+def _source_order(raw: DataFrame, order_by: str | None) -> Column:
+    """A number that grows in the order of rows."""
+    if order_by:
+        return F.col(f"`{order_by}`").cast("long")
+    if len(raw.inputFiles()) > 1:
+        raise ValueError("several files have no order of their own: name the column that gives it")
+    return F.monotonically_increasing_id()  # parts of one file are read in its order
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
     """Replace the table at ``path``."""
     writer = df.write.mode("overwrite")

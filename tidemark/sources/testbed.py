@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-FIRST_INSTALL = "2023-12-01"
+LAST_INSTALL = "2024-01-01"  # the log's first day: no event precedes its user's install
 INSTALL_DAYS = 45
 N_APPS = 20
 MAX_USERS_PER_DEVICE = 20  # lower than the library default so the rule fires on small data
@@ -28,7 +28,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _install_date(user_id: Column) -> Column:
-    return F.date_add(F.lit(FIRST_INSTALL).cast("date"), (user_id % INSTALL_DAYS).cast("int"))
+    return F.date_sub(F.lit(LAST_INSTALL).cast("date"), (INSTALL_DAYS - 1 - user_id % INSTALL_DAYS).cast("int"))
 
 
 def _app_id(user_id: Column) -> Column:
@@ -38,12 +38,14 @@ def _app_id(user_id: Column) -> Column:
 def _event_name(kind: Column, value: Column) -> Column:
     return (
         F.when((kind == "signup") & (value >= 40), "account_created")
+        .when(kind == "signup", "install")
         .when((kind == "view") & (value >= 60), "first_session")
         .when(kind == "view", "session_start")
         .when((kind == "click") & (value >= 60), "feature_used")
         .when((kind == "error") & (value >= 90), "trial_started")
+        .when(kind == "error", "trial_expired_no_purchase")
         .when((kind == "purchase") & (value >= 120), "purchase_completed")
-        .otherwise("other")
+        .otherwise("trial_reminder_shown")
     )
 
 
@@ -51,8 +53,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw product event log. The install day follows from the user id, so
     no join is needed to place an event on the user's day axis."""
     user_id, ts = F.col("user_id"), F.col("event_timestamp")
-    collaborates = F.get_json_object("props", "$.k").cast("int") < 30
-    feature = F.when(collaborates, "collaboration_feature").otherwise("standard_feature")
+    low = F.get_json_object("props", "$.k").cast("int") < 30
+    subtype = F.when(F.col("event_name") == "feature_used", F.when(low, "collaboration_feature").otherwise("standard_feature")).when(
+        (F.col("event_name") == "trial_reminder_shown") & low, "day6_trial_extension"
+    )
     return (
         read(spark, sf_dir, "events")
         .select(
@@ -63,13 +67,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
             "props",
             _install_date(user_id).alias("installed"),
         )
-        .filter(F.to_date(ts) >= F.col("installed"))
         .select(
             "event_id",
             "user_id",
             _app_id(user_id).alias("app_id"),
             "event_name",
-            F.when(F.col("event_name") == "feature_used", feature).alias("event_subtype"),
+            subtype.alias("event_subtype"),
             "event_timestamp",
             F.datediff(F.to_date(ts), F.col("installed")).alias("day_offset"),
         )
