@@ -59,13 +59,21 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
+def dots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Row by row products, summed from the first component to the last as a plain loop would."""
+    total = np.zeros(len(right))
+    for k in range(right.shape[1]):
+        total += left[..., k] * right[:, k]
+    return total
+
+
 class Quantised:
     """Rows as int8 multiples of a step each, with the length of what rounding leaves out."""
 
     def __init__(self, rows: np.ndarray):
         scale = np.ldexp(1.0, np.frexp(np.abs(rows).max(axis=1))[1])[:, None]  # powers of two: nothing is rounded
         self.rows = rows / scale
-        self.norms = np.sqrt((self.rows * self.rows).sum(axis=1))
+        self.norms = np.sqrt(dots(self.rows, self.rows))
         unit = self.rows / self.norms[:, None]
         self.step = np.abs(unit).max(axis=1) / LEVELS
         self.levels = np.rint(unit / self.step[:, None]).astype(np.int8)
@@ -75,7 +83,7 @@ class Quantised:
 
 
 def cosines(query: np.ndarray, query_norm: float, rows: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    return (rows * query).sum(axis=1) / (norms * query_norm)
+    return dots(query, rows) / (query_norm * norms)
 
 
 def tile_nearest(query_ids, queries: Quantised, ids, candidates: Quantised, k: int) -> Iterator[tuple[int, int, int, float]]:

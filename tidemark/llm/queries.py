@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, html_text, licenses, neighbours, packing, quality, secrets, simhash, urls, warc
+from tidemark.llm.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,4 +70,3 @@ QUERIES: dict[str, Query] = {
         op6_html_text, op7_decontamination, op8_quality, op9_warc_revisits, op10_best_fit_packing,
     )
 }
-SQL: dict[str, str] = {}
