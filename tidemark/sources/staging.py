@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
-_WRITTEN: list[str] = []
+_WRITTEN: dict[str, list[str]] = {}  # by application
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A path for output of this process below the shared folder; :func:`release` deletes it."""
+    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -39,7 +42,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,8 +58,9 @@ def stage_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the intermediates written by this process; call when all results are out."""
+    """Delete what this application wrote below the shared folder; call when all results are out."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    while written:
+        path = jvm.org.apache.hadoop.fs.Path(written.pop())
         path.getFileSystem(conf).delete(path, True)
