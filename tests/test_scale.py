@@ -96,20 +96,21 @@ def test_hot_user_is_combined_before_the_shuffle(spark):
 
 
 def test_clean_events_splits_a_hot_user(spark):
-    """With the user side too large to broadcast, adaptive execution splits the hot user's partition."""
+    """With the user side too large to broadcast and the engine's own skew join off, the hot user's events are spread."""
     log = hot_log(spark, n=200_000)
     users = spark.range(500).select(F.col("id").alias("user_id"))
-    skewed = {
+    plain = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.enabled": "false",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "64",
     }
-    with settings(spark, skewed):
-        kept = cleaning.clean_events(log, users)
-        plan = final_plan(kept)
-        assert "skew" in plan
-        assert kept.count() == 200_000
+    with settings(spark, plain):
+        kept = cleaning.clean_events(log, users, at_most=200)
+        sizes = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 200_000 == kept.select("event_id").distinct().count()
+        assert max(sizes) < 200_000 / 20  # a third of all events without the split
+        assert cleaning.heavy_users(log, 200).count() < 200
 
 
 def test_hot_device_is_spread(spark):

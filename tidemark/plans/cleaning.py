@@ -14,6 +14,7 @@ QA_CHANNEL = "internal_qa"
 QA_EMAIL_FRAGMENT = "test"
 BOT_EMAIL_FRAGMENTS = ("test", "qa", "bot")
 USERS_PER_SALT = 100_000
+MOST_HEAVY_USERS = 10_000
 
 
 def device_reuse(users: DataFrame) -> DataFrame:
@@ -57,14 +58,29 @@ def clean_users(flagged: DataFrame) -> DataFrame:
     return flagged.filter(~F.col("is_suspected_bot")).drop("is_suspected_bot")
 
 
-def clean_events(events: DataFrame, clean: DataFrame) -> DataFrame:
+def heavy_users(events: DataFrame, at_most: int = MOST_HEAVY_USERS) -> DataFrame:
+    """(user_id, parts): users with more than one ``at_most``-th of all events, of whom there are fewer than ``at_most``,
+    and into how many parts of that size their events go."""
+    counts = events.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    share = F.ceil(counts.agg(F.sum("n")).scalar() / at_most)
+    return counts.filter(F.col("n") > share).select("user_id", F.ceil(F.col("n") / share).cast("int").alias("parts"))
+
+
+def clean_events(events: DataFrame, clean: DataFrame, at_most: int = MOST_HEAVY_USERS) -> DataFrame:
     """Events of clean users; events of bots and of unknown users go.
 
     This is the only plan that moves raw events across the cluster, and only
     when the user side is too large to broadcast. The marts do not use it: they
-    aggregate the log per user first and meet the clean users afterwards.
+    aggregate the log per user first and meet the clean users afterwards. The
+    log is folded to counts first, so that the events of heavy users can be
+    dealt to as many tasks as they need; their list is bounded by ``at_most``.
     """
-    return events.join(clean.select("user_id"), "user_id", "left_semi").select(*events.columns)
+    heavy = F.broadcast(heavy_users(events, at_most))
+    part = F.coalesce(F.pmod(F.xxhash64("event_id"), F.col("parts")), F.lit(0)).cast("int").alias("_part")
+    dealt = events.join(heavy, "user_id", "left").select(*events.columns, part)
+    parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+    users = clean.select("user_id").join(heavy, "user_id", "left").select("user_id", F.explode(parts).alias("_part"))
+    return dealt.join(users, ["user_id", "_part"], "left_semi").select(*events.columns)
 
 
 def bot_filter_quality(flagged: DataFrame) -> DataFrame:
