@@ -59,6 +59,13 @@ def test_ties_nulls_and_a_frequent_vector(spark, crowded):
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 139] == [1, 100, 101, 102, 103, 104]
 
 
+def test_largest_and_smallest_doubles(spark):
+    rows = [(1, [1.7e308, -1.7e308]), (2, [5e-324, 0.0]), (3, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in nearest(frame, F.lit(True)).collect()}
+    assert abs(got[1, 2] - 0.5**0.5) < 1e-15 and abs(got[2, 3] - 0.5**0.5) < 1e-15 and abs(got[1, 3]) < 1e-15
+
+
 def test_fewer_candidates_than_asked_and_empty_tables(spark):
     two = spark.createDataFrame([(0, [1.0], 1), (1, [2.0], 1)], SCHEMA)
     assert [tuple(r) for r in nearest(two, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 1.0)]

@@ -45,6 +45,7 @@ FURNITURE_NAMES = set(
     " aside widget related share sharing social cookie cookies consent notice banner popup modal newsletter subscribe subscription alert"
     " comment comments disqus replies respond login signup search pagination pager toolbar complementary contentinfo".split()
 )
+BESIDE = {"with", "has", "no", "without", "beside"}
 MAIN_TAGS = {"article", "main"}
 
 
@@ -109,7 +110,9 @@ def _is_furniture(tag: str, attributes: str, inside_main: bool) -> bool:
     if tag in ("body", "html", "article", "main") or "=" not in attributes:
         return False
     names = " ".join(m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(attributes)).lower()
-    return not FURNITURE_NAMES.isdisjoint(re.findall(r"[a-z]+", names))
+    parts = re.findall(r"[a-z]+", names)
+    # a wrapper "with-sidebar" is none
+    return any(part in FURNITURE_NAMES and before not in BESIDE for part, before in zip(parts, ["", *parts]))
 
 
 def blocks(page: str) -> list[Block]:

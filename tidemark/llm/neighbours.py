@@ -71,7 +71,7 @@ class Quantised:
     """Rows as int8 multiples of a step each, with the length of what rounding leaves out."""
 
     def __init__(self, rows: np.ndarray):
-        scale = np.ldexp(1.0, np.frexp(np.abs(rows).max(axis=1))[1])[:, None]  # powers of two: nothing is rounded
+        scale = np.ldexp(1.0, np.frexp(np.abs(rows).max(axis=1))[1] - 1)[:, None]  # powers of two: nothing is rounded
         self.rows = rows / scale
         self.norms = np.sqrt(dots(self.rows, self.rows))
         unit = self.rows / self.norms[:, None]
