@@ -20,6 +20,9 @@ not when their result is used; :func:`tidemark.sources.staging.release` deletes
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -185,14 +188,24 @@ def exact_percentiles(
 ) -> DataFrame:
     """One row of linear-interpolated percentiles of an unbounded numeric column.
 
-    The value at sorted position k is the largest one with at most k rows before it.
+    The totals of the value ranges tell which ranges hold the wanted positions; only these, two per percentile at most,
+    are put in order. The value at sorted position k is the largest one with at most k rows before it.
     """
-    ranked = running_total(histogram(df, value), value, ["n"], buckets=buckets)
+    stored = stage(histogram(df, value), "histogram")
+    ranged = value_ranges(stored, value, buckets or range_count(stored))
+    offsets = _range_offsets(ranged, [F.sum("n").alias("n")], ["n"]).join(ranged.groupBy("_range").agg(F.sum("n").alias("_rows")), "_range")
+    last = F.col("n_total") - 1
+    positions = [side(F.lit(p) * last) for p in probabilities.values() for side in (F.floor, F.ceil)]
+    held = reduce(or_, [(F.col("n_offset") <= k) & (k < F.col("n_offset") + F.col("_rows")) for k in positions], F.lit(False))
+    wanted = ranged.join(offsets.filter(held), "_range")
+    earlier = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = wanted.select(
+        value, "n_total", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) + F.col("n_offset")).alias("n_before")
+    )
 
     def at(position: Column) -> Column:
         return F.max(F.when(F.col("n_before") <= position, F.col(value).cast("double")))
 
-    last = F.col("n_total") - 1
     bounds = ranked.agg(
         F.max(last).alias("last"),
         *[at(F.floor(F.lit(p) * last)).alias(f"{name}_low") for name, p in probabilities.items()],
