@@ -75,6 +75,7 @@ PROSE = "These are plain words of an article that goes on for quite a while and
         ("<article><p>cut off <b>here</b> and a tag <foo", "cut off here and a tag"),
         ("<article><p>5 < 6 and a > b</article>", "5 < 6 and a > b"),
         ("<ARTICLE><P>x</P></ARTICLE>", "x"),
+        ("<article>x<div class=contact-form>Name</div><div role=alertdialog>!</div><div id='site_notification'>n</div></article>", "x"),
         ("<div class='page with-sidebar no-ads'><article>x</article><div class=sidebar>y</div></div>", "x"),
         ("<article><p title='a > b'>x</p></article>", "x"),
         ("<article>x<!-- never closed", "x"),

@@ -43,7 +43,9 @@ FURNITURE_TAGS = {"nav", "footer", "aside", "form", "menu", "button", "dialog",
 FURNITURE_NAMES = set(
     "ad ads advert adverts advertisement sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar"
     " aside widget related share sharing social cookie cookies consent notice banner popup modal newsletter subscribe subscription alert"
-    " comment comments disqus replies respond login signup search pagination pager toolbar complementary contentinfo".split()
+    " comment comments disqus reply replies respond login signup search pagination pager toolbar complementary contentinfo menubar masthead"
+    " notification notifications announcement toast overlay gdpr form dialog alertdialog advertising adsbygoogle sponsors recommended"
+    " recommendations trending popular".split()
 )
 BESIDE = {"with", "has", "no", "without", "beside"}
 MAIN_TAGS = {"article", "main"}
