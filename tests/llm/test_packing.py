@@ -13,6 +13,9 @@ from tidemark.llm.packing import END_ID, Places, fullest, pack, plan, sequences
 from tidemark.llm.tokens import Encoder, default_tokenizer
 
 
+ENCODER = Encoder(default_tokenizer())
+
+
 @pytest.fixture(scope="module")
 def plain():
     return Tokenizer.from_file(default_tokenizer())
@@ -24,14 +27,13 @@ TEXTS = st.text(st.sampled_from("abcXYZ 'éßİΣς中́\n\t\x1c\x85  .,!|<>0
 @settings(max_examples=300, deadline=None)
 @given(TEXTS)
 def test_ids_are_the_tokenizers(text):
-    tokenizer = Tokenizer.from_file(default_tokenizer())
-    ids = np.frombuffer(Encoder(default_tokenizer()).encode([text])[0], "<u4").tolist()
-    assert ids == tokenizer.encode(text, add_special_tokens=False).ids
+    ids = np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist()
+    assert ids == ENCODER.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("text", ["they're I'LL x's", "a<|endoftext|>b <|startoftext|>", "ΣΑΣ İstanbul", "x\x1cy", "A" * 5000, "1234 ½"])
 def test_ids_of_hard_texts(plain, text):
-    ids = np.frombuffer(Encoder(default_tokenizer()).encode([text])[0], "<u4").tolist()
+    ids = np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist()
     assert ids == plain.encode(text, add_special_tokens=False).ids
 
 
