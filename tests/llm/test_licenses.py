@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from tidemark.llm.licenses import PHRASES, rules, scan
+from tidemark.llm.licenses import PHRASES, gates, rules, scan, spelled
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -68,6 +68,45 @@ def test_rules_are_ordered_and_gated():
         re.compile(rule.pattern)
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Released under Apache 2.0.", "apache-2.0"),
+        ("Released under Apache 2.", "apache-2.0"),
+        ("Available under the Mozilla Public 2.0", "mpl-2.0"),
+        ("under GNU General Public version 3", "gpl-3.0"),
+        ("Eclipse Public v2", "epl-2.0"),
+        ("Licensed under the Expat License", "mit"),
+        ("x11 licence", "mit"),
+        ("CC0", "public-domain"),
+        ("no rights reserved", "public-domain"),
+        ("PSF 2", "psf-2.0"),
+    ],
+)
+def test_no_other_word_is_needed(make_docs, text, labels):
+    assert scan(make_docs((1, text))).first()["labels"] == labels
+
+
+def test_spelled():
+    assert spelled("a(?:b|cd?)? [xy]") == ["a x", "a y", "ab x", "ab y", "ac x", "ac y", "acd x", "acd y"]
+
+
+def test_every_match_of_a_rule_passes_gate_and_keyword():
+    gate = gates()
+    for rule in rules():
+        for text in spelled(rule.pattern):
+            assert re.fullmatch(rule.pattern, text)
+            assert any(k in f" {text} " for k in rule.keywords) and any(k in f" {text} " for k in gate), (rule, text)
+
+
+def test_shortest_match_of_every_rule_is_labelled(make_docs):
+    table = rules()
+    rows = scan(make_docs(*((n, min(spelled(r.pattern), key=len)) for n, r in enumerate(table)))).collect()
+    assert len(rows) == len(table)
+    for row in rows:
+        assert table[row["doc_id"]].label in row["labels"].split(","), table[row["doc_id"]]
+
+
 def test_plan_is_native(spark, sf_dir):
     plan = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

@@ -2,8 +2,9 @@
 
 A text is lower-cased and reduced to its words with one space between them. Rules are regular expressions over that
 form: a few shapes (license identifier, notice, address, title, bare name) for each license of the table below. A rule is
-tried only where its keyword occurs, and no rule where none of a few general keywords does. All places of a rule are
-found; a place that lies within one of higher priority, or within a longer one of its own, is suppressed.
+tried only where one of its keywords occurs, words that it can't match without; they are spelled out from the names in its
+pattern. No rule is tried where no keyword of any rule occurs. All places of a rule are found; a place that lies within
+one of higher priority, or within a longer one of its own, is suppressed.
 
 Everything happens row by row in built-in functions: no shuffle, no Python. Places are swept in order of their start,
 with the furthest end seen for each priority, so the work grows with the text and its places.
@@ -15,6 +16,7 @@ the first label in order. Repeated rows give equal results.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,56 +28,56 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Fixed phrases whose places are always counted, with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Licenses by label: names as regular expressions over words, version words, identifier words, and the word that has to occur.
-LICENSES: dict[str, tuple[str, str, str, str]] = {
-    "mit": ("(?:mit|expat|x11)", "", "mit", " mit "),
-    "mit-0": ("mit no attribution", "", "mit 0", " mit "),
-    "apache-1.1": ("apache(?: software)?", "1 1", "apache 1 1", " apache "),
-    "apache-2.0": ("apache(?: software)?", "2 0?", "apache 2 0", " apache "),
-    "gpl-1.0": ("(?:gnu )?(?:general public|gpl)", "1(?: 0)?", "gpl 1 0", "p"),
-    "gpl-2.0": ("(?:gnu )?(?:general public|gpl)", "2(?: 0)?", "gpl 2 0", "p"),
-    "gpl-3.0": ("(?:gnu )?(?:general public|gpl)", "3(?: 0)?", "gpl 3 0", "p"),
-    "lgpl-2.0": ("(?:gnu )?(?:library general public|lgpl)", "2(?: 0)?", "lgpl 2 0", "l"),
-    "lgpl-2.1": ("(?:gnu )?(?:lesser general public|lgpl)", "2 1", "lgpl 2 1", "l"),
-    "lgpl-3.0": ("(?:gnu )?(?:lesser general public|lgpl)", "3(?: 0)?", "lgpl 3 0", "l"),
-    "agpl-3.0": ("(?:gnu )?(?:affero general public|agpl)", "3(?: 0)?", "agpl 3 0", "a"),
-    "gfdl-1.2": ("(?:gnu )?(?:free documentation|fdl)", "1 2", "gfdl 1 2", "d"),
-    "gfdl-1.3": ("(?:gnu )?(?:free documentation|fdl)", "1 3", "gfdl 1 3", "d"),
-    "bsd-2-clause": ("(?:simplified bsd|2 clause bsd|bsd 2 clause|freebsd)", "", "bsd 2 clause", "bsd"),
-    "bsd-3-clause": ("(?:new bsd|modified bsd|3 clause bsd|bsd 3 clause|revised bsd)", "", "bsd 3 clause", "bsd"),
-    "bsd-4-clause": ("(?:original bsd|4 clause bsd|bsd 4 clause)", "", "bsd 4 clause", "bsd"),
-    "0bsd": ("(?:zero clause bsd|bsd zero clause|0bsd)", "", "0bsd", "bsd"),
-    "isc": ("isc", "", "isc", " isc "),
-    "mpl-1.1": ("mozilla public", "1 1", "mpl 1 1", "m"),
-    "mpl-2.0": ("mozilla public", "2(?: 0)?", "mpl 2 0", "m"),
-    "epl-1.0": ("eclipse public", "1(?: 0)?", "epl 1 0", "e"),
-    "epl-2.0": ("eclipse public", "2(?: 0)?", "epl 2 0", "e"),
-    "cpl-1.0": ("common public", "1(?: 0)?", "cpl 1 0", "c"),
-    "cddl-1.0": ("common development and distribution", "1(?: 0)?", "cddl 1 0", "c"),
-    "eupl-1.1": ("european union public", "1 1", "eupl 1 1", "e"),
-    "eupl-1.2": ("european union public", "1 2", "eupl 1 2", "e"),
-    "artistic-1.0": ("artistic", "1(?: 0)?", "artistic 1 0", "artistic"),
-    "artistic-2.0": ("artistic", "2(?: 0)?", "artistic 2 0", "artistic"),
-    "bsl-1.0": ("boost software", "1(?: 0)?", "bsl 1 0", "b"),
-    "busl-1.1": ("business source", "1 1", "busl 1 1", "b"),
-    "sspl-1.0": ("server side public", "1(?: 0)?", "sspl 1 0", "s"),
-    "elastic-2.0": ("elastic", "2(?: 0)?", "elastic 2 0", "elastic"),
-    "zlib": ("(?:zlib|zlib libpng)", "", "zlib", "zlib"),
-    "unlicense": ("(?:unlicense|unlicence)", "", "unlicense", "unlicen"),
-    "wtfpl": ("(?:wtfpl|do what the fuck you want to public)", "", "wtfpl", "w"),
-    "psf-2.0": ("(?:python software foundation|psf)", "2?", "psf 2 0", "p"),
-    "postgresql": ("postgresql", "", "postgresql", "postgresql"),
-    "ofl-1.1": ("(?:sil )?open font", "1 1", "ofl 1 1", "font"),
-    "odbl-1.0": ("open (?:data commons open )?database", "1(?: 0)?", "odbl 1 0", "database"),
-    "ecl-2.0": ("educational community", "2(?: 0)?", "ecl 2 0", "educational"),
-    "afl-3.0": ("academic free", "3(?: 0)?", "afl 3 0", "academic"),
-    "ms-pl": ("microsoft public", "", "ms pl", "m"),
-    "ms-rl": ("microsoft reciprocal", "", "ms rl", "m"),
-    "upl-1.0": ("universal permissive", "1(?: 0)?", "upl 1 0", "universal"),
-    "vim": ("vim", "", "vim", " vim "),
-    "openssl": ("openssl", "", "openssl", "openssl"),
-    "ncsa": ("(?:university of illinois ncsa|illinois ncsa|ncsa)(?: open source)?", "", "ncsa", "ncsa"),
-    "hpnd": ("historical permission notice", "", "hpnd", "h"),
+# Licenses by label: names as regular expressions over words, version words and identifier words.
+LICENSES: dict[str, tuple[str, str, str]] = {
+    "mit": ("(?:mit|expat|x11)", "", "mit"),
+    "mit-0": ("mit no attribution", "", "mit 0"),
+    "apache-1.1": ("apache(?: software)?", "1 1", "apache 1 1"),
+    "apache-2.0": ("apache(?: software)?", "2(?: 0)?", "apache 2 0"),
+    "gpl-1.0": ("(?:gnu )?(?:general public|gpl)", "1(?: 0)?", "gpl 1 0"),
+    "gpl-2.0": ("(?:gnu )?(?:general public|gpl)", "2(?: 0)?", "gpl 2 0"),
+    "gpl-3.0": ("(?:gnu )?(?:general public|gpl)", "3(?: 0)?", "gpl 3 0"),
+    "lgpl-2.0": ("(?:gnu )?(?:library general public|lgpl)", "2(?: 0)?", "lgpl 2 0"),
+    "lgpl-2.1": ("(?:gnu )?(?:lesser general public|lgpl)", "2 1", "lgpl 2 1"),
+    "lgpl-3.0": ("(?:gnu )?(?:lesser general public|lgpl)", "3(?: 0)?", "lgpl 3 0"),
+    "agpl-3.0": ("(?:gnu )?(?:affero general public|agpl)", "3(?: 0)?", "agpl 3 0"),
+    "gfdl-1.2": ("(?:gnu )?(?:free documentation|fdl)", "1 2", "gfdl 1 2"),
+    "gfdl-1.3": ("(?:gnu )?(?:free documentation|fdl)", "1 3", "gfdl 1 3"),
+    "bsd-2-clause": ("(?:simplified bsd|2 clause bsd|bsd 2 clause|freebsd)", "", "bsd 2 clause"),
+    "bsd-3-clause": ("(?:new bsd|modified bsd|3 clause bsd|bsd 3 clause|revised bsd)", "", "bsd 3 clause"),
+    "bsd-4-clause": ("(?:original bsd|4 clause bsd|bsd 4 clause)", "", "bsd 4 clause"),
+    "0bsd": ("(?:zero clause bsd|bsd zero clause|0bsd)", "", "0bsd"),
+    "isc": ("isc", "", "isc"),
+    "mpl-1.1": ("mozilla public", "1 1", "mpl 1 1"),
+    "mpl-2.0": ("mozilla public", "2(?: 0)?", "mpl 2 0"),
+    "epl-1.0": ("eclipse public", "1(?: 0)?", "epl 1 0"),
+    "epl-2.0": ("eclipse public", "2(?: 0)?", "epl 2 0"),
+    "cpl-1.0": ("common public", "1(?: 0)?", "cpl 1 0"),
+    "cddl-1.0": ("common development and distribution", "1(?: 0)?", "cddl 1 0"),
+    "eupl-1.1": ("european union public", "1 1", "eupl 1 1"),
+    "eupl-1.2": ("european union public", "1 2", "eupl 1 2"),
+    "artistic-1.0": ("artistic", "1(?: 0)?", "artistic 1 0"),
+    "artistic-2.0": ("artistic", "2(?: 0)?", "artistic 2 0"),
+    "bsl-1.0": ("boost software", "1(?: 0)?", "bsl 1 0"),
+    "busl-1.1": ("business source", "1 1", "busl 1 1"),
+    "sspl-1.0": ("server side public", "1(?: 0)?", "sspl 1 0"),
+    "elastic-2.0": ("elastic", "2(?: 0)?", "elastic 2 0"),
+    "zlib": ("(?:zlib|zlib libpng)", "", "zlib"),
+    "unlicense": ("(?:unlicense|unlicence)", "", "unlicense"),
+    "wtfpl": ("(?:wtfpl|do what the fuck you want to public)", "", "wtfpl"),
+    "psf-2.0": ("(?:python software foundation|psf)", "2(?: 0)?", "psf 2 0"),
+    "postgresql": ("postgresql", "", "postgresql"),
+    "ofl-1.1": ("(?:sil )?open font", "1 1", "ofl 1 1"),
+    "odbl-1.0": ("open (?:data commons open )?database", "1(?: 0)?", "odbl 1 0"),
+    "ecl-2.0": ("educational community", "2(?: 0)?", "ecl 2 0"),
+    "afl-3.0": ("academic free", "3(?: 0)?", "afl 3 0"),
+    "ms-pl": ("microsoft public", "", "ms pl"),
+    "ms-rl": ("microsoft reciprocal", "", "ms rl"),
+    "upl-1.0": ("universal permissive", "1(?: 0)?", "upl 1 0"),
+    "vim": ("vim", "", "vim"),
+    "openssl": ("openssl", "", "openssl"),
+    "ncsa": ("(?:university of illinois ncsa|illinois ncsa|ncsa)(?: open source)?", "", "ncsa"),
+    "hpnd": ("historical permission notice", "", "hpnd"),
 }
 # Creative Commons licenses are named by their conditions and version.
 CC_CONDITIONS = {"by": "attribution", "by sa": "attribution sharealike", "by nc": "attribution noncommercial", "by nd": "attribution noderivatives",
@@ -83,12 +85,11 @@ CC_CONDITIONS = {"by": "attribution", "by sa": "attribution sharealike", "by nc"
 CC_VERSIONS = ("2 0", "2 5", "3 0", "4 0")
 # Statements without a license of their own.
 STATEMENTS = {
-    "public-domain": (r"(?:in|into|to) the public domain|cc0(?: 1 0)?|no rights reserved", "p"),
-    "all-rights-reserved": (r"all rights reserved", "rights reserved"),
-    "proprietary": (r"(?:proprietary and confidential|confidential and proprietary|under (?:a |the )?proprietary licen[sc]e)", "proprietary"),
+    "public-domain": r"(?:in|into|to) the public domain|cc0(?: 1 0)?|no rights reserved",
+    "all-rights-reserved": r"all rights reserved",
+    "proprietary": r"(?:proprietary and confidential|confidential and proprietary|under (?:a |the )?proprietary licen[sc]e)",
 }
 
-GATES = ("licen", "spdx", "rights reserved", "public domain", "proprietary", "gpl", "cc by", "cc0", "creative commons", "creativecommons", "wtfpl", "bsd")
 IDENTIFIER, NOTICE, ADDRESS, TITLE, BARE = range(5, 0, -1)
 CONFIDENCE = {IDENTIFIER: 1.0, NOTICE: 0.95, ADDRESS: 0.9, TITLE: 0.8, BARE: 0.6}
 #: Score of a phrase that no rule covers.
@@ -101,36 +102,83 @@ _UNDER = r"(?:licen[sc]ed|released|distributed|available|provided|published|cove
 class Rule:
     label: str
     priority: int
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: str
 
 
+_TOKEN = re.compile(r"\(\?:|\[(\w+)\]|.")
+
+
+def spelled(pattern: str) -> list[str]:
+    """All texts that a pattern of letters, letter classes, groups, ``|`` and ``?`` matches."""
+    tokens = list(_TOKEN.finditer(pattern))[::-1]
+
+    def alternatives() -> list[str]:
+        out, texts = [], [""]
+        while tokens and tokens[-1][0] != ")":
+            token = tokens.pop()
+            if token[0] == "|":
+                out, texts = out + texts, [""]
+                continue
+            piece = alternatives() if token[0] == "(?:" else list(token[1] or token[0])
+            if token[0] == "(?:":
+                tokens.pop()
+            if tokens and tokens[-1][0] == "?":
+                tokens.pop()
+                piece = ["", *piece]
+            texts = [text + end for text in texts for end in piece]
+        return out + texts
+
+    return alternatives()
+
+
+def shortest(keywords: Iterable[str]) -> tuple[str, ...]:
+    """The keywords that contain no other one."""
+    kept: list[str] = []
+    for keyword in sorted(set(keywords), key=lambda k: (len(k), k)):
+        if not any(k in keyword for k in kept):
+            kept.append(keyword)
+    return tuple(kept)
+
+
+def keywords_of(pattern: str, behind: str = " ") -> tuple[str, ...]:
+    """What stands, with the space before it and ``behind`` after it, wherever the pattern matches."""
+    return shortest(f" {text}{behind}" for text in spelled(pattern))
+
+
 def rules() -> list[Rule]:
     """All rules, in order of priority; patterns stand between single spaces."""
     out = []
-    for label, (name, version, identifier, keyword) in LICENSES.items():
+    for label, (name, version, identifier) in LICENSES.items():
+        named = keywords_of(name, " " if version else " licen")
         stated = f"(?: licen[sc]e)?(?: (?:version |v ?)?{version})" if version else " licen[sc]e"
         out += [
-            Rule(label, IDENTIFIER, "identifier", f"spdx license identifier {identifier}(?: only| or later)?"),
-            Rule(label, NOTICE, keyword, f"{_UNDER}{name}{stated}"),
-            Rule(label, ADDRESS, "opensource org", f"(?:www )?opensource org licen[sc]es? {identifier}"),
-            Rule(label, TITLE, keyword, f"{name}{stated}"),
+            Rule(label, IDENTIFIER, (" spdx license identifier ",), f"spdx license identifier {identifier}(?: only| or later)?"),
+            Rule(label, NOTICE, named, f"{_UNDER}{name}{stated}"),
+            Rule(label, ADDRESS, ("opensource org licen",), f"(?:www )?opensource org licen[sc]es? {identifier}"),
+            Rule(label, TITLE, named, f"{name}{stated}"),
         ]
     for short, long in CC_CONDITIONS.items():
         for version in CC_VERSIONS:
             label = f"cc-{short} {version}".replace(" 0", ".0").replace(" 5", ".5").replace(" ", "-")
             name = f"(?:cc {short}|creative commons {long})"
+            named = keywords_of(name)
             out += [
-                Rule(label, IDENTIFIER, "identifier", f"spdx license identifier cc {short} {version}"),
-                Rule(label, NOTICE, " under ", f"{_UNDER}{name}(?: licen[sc]e)?(?: version)? {version}(?: international| unported| generic)?"),
-                Rule(label, ADDRESS, "creativecommons", f"creativecommons org licen[sc]es {short} {version}"),
-                Rule(label, TITLE, "c", f"{name}(?: licen[sc]e)?(?: version)? {version}"),
+                Rule(label, IDENTIFIER, (" spdx license identifier ",), f"spdx license identifier cc {short} {version}"),
+                Rule(label, NOTICE, named, f"{_UNDER}{name}(?: licen[sc]e)?(?: version)? {version}(?: international| unported| generic)?"),
+                Rule(label, ADDRESS, ("creativecommons org licen",), f"creativecommons org licen[sc]es {short} {version}"),
+                Rule(label, TITLE, named, f"{name}(?: licen[sc]e)?(?: version)? {version}"),
             ]
-    out += [Rule(label, BARE, keyword, pattern) for label, (pattern, keyword) in STATEMENTS.items()]
-    out += [Rule(label, BARE, phrase, phrase) for phrase, label in PHRASES.items()]
+    out += [Rule(label, BARE, keywords_of(pattern), pattern) for label, pattern in STATEMENTS.items()]
+    out += [Rule(label, BARE, keywords_of(phrase), phrase) for phrase, label in PHRASES.items()]
     return sorted(out, key=lambda rule: -rule.priority)
 
 
+def gates() -> tuple[str, ...]:
+    """Keywords of which one stands in every text that any rule matches."""
+    return shortest(keyword for rule in rules() for keyword in rule.keywords)
+
+
 def words_of(text: Column) -> Column:
     """Lower-cased words with one space between them and one at either end; without words, one space."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), SEPARATORS, " ")), F.lit(" "))
@@ -165,11 +213,11 @@ def detections(words: Column) -> Column:
     """Places (start, end, priority, label) that no other place of their priority or a higher one contains, by start."""
     table = F.array(
         *(
-            F.struct(*(F.lit(v).alias(n) for n, v in (("keyword", r.keyword), ("pattern", r.pattern), ("priority", r.priority), ("label", r.label))))
+            F.struct(*(F.lit(v).alias(n) for n, v in (("keywords", list(r.keywords)), ("pattern", r.pattern), ("priority", r.priority), ("label", r.label))))
             for r in rules()
         )
     )
-    tried = F.filter(table, lambda rule: F.contains(words, rule["keyword"]))
+    tried = F.filter(table, lambda rule: F.exists(rule["keywords"], lambda keyword: F.contains(words, keyword)))
     # those that contain others come first: by start, then from the longest, then from the highest priority
     key = lambda p: F.struct(p["start"], -p["end"], -p["priority"], p["label"])
     swept = F.array_sort(
@@ -198,7 +246,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), words_of(F.coalesce(docs["text"], F.lit(""))).alias("words"))
     words = F.col("words")
     gate = F.lit(False)
-    for keyword in GATES:
+    for keyword in gates():
         gate = gate | F.contains(words, F.lit(keyword))
     none = F.array().cast("array<struct<start: int, end: int, priority: int, label: string>>")
     found = rows.withColumn("gated", gate).withColumn("detections", F.when(F.col("gated"), detections(words)).otherwise(none))
