@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from tidemark.llm.secrets import base_findings, findings, literal_findings, redact, redacted, scan, scan_digest, sensitivity
+from tidemark.llm.secrets import SENSITIVE, base_findings, findings, literal_findings, redact, redacted, scan, scan_digest, sensitivity
 
 LETTERS = {c: f"[{c}{c.upper()}]" for c in "abcdefghijklmnopqrstuvwxyz"}
 KEYS = "|".join("".join(LETTERS.get(c, c) for c in key) for key in ("password", "passwd", "secret", "token", "api_?key"))
@@ -62,6 +62,17 @@ def test_sensitivity():
     assert sensitivity("config.DBPassword") == 1.0 and sensitivity("token_count") < 0.5 and sensitivity("keyboard") == 0.0
 
 
+@pytest.mark.parametrize("part", SENSITIVE)
+def test_every_sensitive_name_can_give_a_finding(part):
+    for text in (f'my_{part} = "9fA3kLm2Qz8xR5tV"', f'k = "9fA3kLm2Qz8xR5tV"; my_{part} = k'):
+        assert [text[f.start : f.end] for f in literal_findings(text)] == ["9fA3kLm2Qz8xR5tV"]
+
+
+@pytest.mark.parametrize("text", ['key = "name"', 'session = "default"', 'cookie_name = "9fA3kLm2Qz8xR5tV"', 'publicKey = "9fA3kLm2Qz8xR5tV"', "key: value", "salt: 12 g"])
+def test_weak_names_need_a_strong_literal(text):
+    assert literal_findings(text) == []
+
+
 def test_long_texts_take_time_in_proportion():
     hard = ["a-" * 200_000 + "=", '=" ' * 200_000, "<a>" * 150_000, "x = x + x; " * 40_000, "k:" * 200_000, "token" * 100_000, "--a " * 100_000]
     for text in hard:

@@ -42,6 +42,8 @@ SENSITIVE = {
     "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "private": 0.6, "privatekey": 1.0, "accesskey": 1.0,
     "secretkey": 1.0, "signature": 0.5, "salt": 0.5, "cookie": 0.5, "session": 0.4, "key": 0.5, "dsn": 0.5, "cert": 0.4,
 }
+#: What any sensitive part promises, whatever its weight; the weight makes up the rest.
+LEAST = 0.5
 HARMLESS = {"public", "name", "id", "path", "file", "url", "type", "length", "size", "count", "field", "label", "hint", "policy"}
 PLACEHOLDER = re.compile(r"(?ai)^(?:x+|\*+|\.+|-+|_+|change_?me|your[-_ ].*|example.*|test|none|null|nil|true|false|todo|dummy|sample|redacted|password|secret|token)$|^[$%]?\{|^\$\(|^<.*>$|^\$\w+$")
 
@@ -68,13 +70,18 @@ class Finding:
 
 
 def sensitivity(name: str) -> float:
-    """How much a name promises a secret, 0 to 1."""
+    """How much a name promises a secret, 0 to 1: 0 without a sensitive part, else from ``LEAST`` on, so that a strong literal
+    is a finding under each of them."""
     parts = [part.lower() for part in _WORD_PARTS.findall(name.rpartition(".")[2] or name)]
     if not parts:
         return 0.0
     joined = [a + b for a, b in zip(parts, parts[1:])]
-    weight = max((SENSITIVE.get(part, 0.0) for part in parts + joined), default=0.0)
-    return weight * (0.4 if parts[-1] in HARMLESS else 1.0)
+    # a public key is none of the keys meant
+    own = [part for before, part in zip(["", *parts], parts) if (before, part) != ("public", "key")]
+    weight = max((SENSITIVE.get(part, 0.0) for part in own + joined), default=0.0)
+    if not weight:
+        return 0.0
+    return (LEAST + (1 - LEAST) * weight) * (0.4 if parts[-1] in HARMLESS else 1.0)
 
 
 def strength(literal: str) -> float:
