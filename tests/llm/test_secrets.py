@@ -73,6 +73,48 @@ def test_weak_names_need_a_strong_literal(text):
     assert literal_findings(text) == []
 
 
+STRONG = "9fA3kLm2Qz8xR5tV"
+
+
+@pytest.mark.parametrize(
+    ("text", "literals"),
+    [
+        (f'password: str = "{STRONG}"', [STRONG]),
+        (f'const dbPassword: string = "{STRONG}";', [STRONG]),
+        (f"password: Optional[str] = '{STRONG}'", [STRONG]),
+        (f'password: dict[str, list[int]] | None = "{STRONG}"', [STRONG]),
+        (f"let api_key: &'static str = \"{STRONG}\";", [STRONG]),
+        (f'val password: String? = "{STRONG}"', [STRONG]),
+        (f'var tokens: [String] = "{STRONG}"; secret: typing.Final[str]="{STRONG[::-1]}"', [STRONG[::-1]]),
+        (f'note: pwd = "{STRONG}"', [STRONG]),
+        (f'note: pwd: "{STRONG}"', [STRONG]),
+        (f'a = private_key = "{STRONG}"', [STRONG]),
+        (f'private_key = a = b = "{STRONG}"', [STRONG]),
+        (f'private_key=a="{STRONG}"', [STRONG]),
+        (f"export: PWD={STRONG}", [STRONG]),
+        (f'k: str = "{STRONG}"\npassword = k', [STRONG]),
+        (f'title: str = "{STRONG}"\npassword: str', []),
+        (f"credential: {STRONG}== other", [STRONG + "=="]),
+        (f"credential: {STRONG}= other", [STRONG + "="]),
+        (f"credential={STRONG}: rejected", [STRONG]),
+        (f"SENTRY_DSN=https://{STRONG}@o1.example.com/42", [f"https://{STRONG}@o1.example.com/42"]),
+        ("password: https://docs.example.com/reset-1", []),
+        (f'x = password == "{STRONG}"', [STRONG]),
+        ("a = password = (", []),
+    ],
+)
+def test_types_and_chains_keep_their_literal(text, literals):
+    assert [text[f.start : f.end] for f in literal_findings(text)] == literals
+    assert all(literal not in redacted(text) for literal in literals)
+
+
+def test_long_chains_take_time_in_proportion():
+    for text in ("k = " * 200_000, "k: " * 200_000, "k=" * 200_000, "k: a[" * 100_000, "k: a<b|" * 60_000, "k: a | " * 60_000, "k=h://a" * 80_000, "k: x = " * 60_000 + '"v"'):
+        began = time.perf_counter()
+        findings(text)
+        assert time.perf_counter() - began < 20
+
+
 def test_long_texts_take_time_in_proportion():
     hard = ["a-" * 200_000 + "=", '=" ' * 200_000, "<a>" * 150_000, "x = x + x; " * 40_000, "k:" * 200_000, "token" * 100_000, "--a " * 100_000]
     for text in hard:

@@ -1,7 +1,8 @@
 """Secret scans by assignment-aware lexing.
 
 Source and configuration syntax is lexed into name-literal pairs: ``name = "x"``, ``name: x``, ``"name": "x"``,
-``name => 'x'``, ``<name>x</name>`` and flags such as ``--name x``. Constants are propagated within the text: a name
+``name => 'x'``, ``<name>x</name>`` and flags such as ``--name x``; a type may stand between name and value, as in
+``name: type = "x"``, and in chains such as ``a = b = "x"`` all names get the literal. Constants are propagated within the text: a name
 that stands for an earlier literal, and literals or names added with ``+``, give the later name their value, so
 ``k = "ab12..."; password = k`` points at the literal of ``k``. Each literal is scored by how sensitive the names are
 that it reaches, by its length, mix of characters and entropy, and against placeholders; from ``THRESHOLD`` on it is a
@@ -50,12 +51,24 @@ PLACEHOLDER = re.compile(r"(?ai)^(?:x+|\*+|\.+|-+|_+|change_?me|your[-_ ].*|exam
 _NAME = r"[A-Za-z_][A-Za-z0-9_-]*+(?:[.][A-Za-z_][A-Za-z0-9_-]*+)*+"
 _QUOTED = r'"(?:[^"\\\n]|\\.)*+"|' + r"'(?:[^'\\\n]|\\.)*+'|" + r"`[^`\n]*+`"
 _BARE = r"[A-Za-z0-9+/_.=~@!$%^*-]++"
+# A type as Python, TypeScript, Rust, Kotlin or Swift write it: a dotted name or one in brackets, with parameters, in unions.
+_BRACKETS = r"\[[^=\n]{0,80}\]|<[^=\n]{0,80}>"
+_ONE_TYPE = rf"(?:&(?:'[a-z_]++\x20)?(?:mut\x20)?)?(?:[A-Za-z_][A-Za-z0-9_]*+(?:(?:\.|::)[A-Za-z_][A-Za-z0-9_]*+)*+(?:{_BRACKETS})?(?:\[\])?|\[[^=\n]{{0,80}}\])[?!]?"
+_TYPE = rf"{_ONE_TYPE}(?:[\x20\t]*+[|&][\x20\t]*+{_ONE_TYPE}){{0,8}}"
 #: A name in any syntax with what stands behind its sign; one alternative for each syntax.
 PAIR = re.compile(
-    rf"""(?<![A-Za-z0-9_.-])(?P<name>{_NAME})["']?[\x20\t]*+(?::=|=>|==?|:)[\x20\t]*+(?P<value>{_QUOTED}|{_BARE})"""
+    rf"""(?<![A-Za-z0-9_.-])(?P<name>{_NAME})["']?[?!]?[\x20\t]*+(?::[\x20\t]*+(?P<type>{_TYPE})[\x20\t]*+=(?![=>])|(?P<sign>:=|=>|==?|:))[\x20\t]*+(?P<value>{_QUOTED}|{_BARE})"""
     rf"""|--(?P<flag>{_NAME})[\x20=](?P<given>{_QUOTED}|{_BARE})"""
     rf"""|<(?P<tag>{_NAME})>(?P<inner>[^<>\n]++)</(?P=tag)>"""
 )
+#: A bare value that is itself a name with a sign: a name only; or a name or literal before a colon; or part of the value.
+_CHAIN = re.compile(
+    rf"""{_NAME}(?:(?P<only>[\x20\t]*+(?::=|=>)|[\x20\t]++==?|=(?=[\x20\t]*+["'`]))|(?P<colon>[\x20\t]*+:(?=[\x20\t"'`])))"""
+)
+_INSIDE = re.compile(rf"(?:{_NAME}=(?=[^=\s]))++")
+_NAME_OF = re.compile(_NAME)
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,30}+://")
+_LOGIN_URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{0,30}+://[^\s"'`<>@/]{1,200}+@[^\s"'`<>]++""")
 _MORE = re.compile(rf"[\x20\t]*+\+[\x20\t]*+({_QUOTED}|{_NAME})")
 _WORD_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -96,18 +109,59 @@ def strength(literal: str) -> float:
     return min(1.0, 0.3 * min(1.0, len(literal) / 16) + 0.35 * min(1.0, entropy / 3.5) + 0.35 * min(1.0, kinds / 2))
 
 
-def _pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool]]]]:
-    """(name, operands) in the text's order; an operand is (start, end, quoted), several where ``+`` adds them."""
-    for m in PAIR.finditer(text):
+@dataclass(frozen=True)
+class _Pair:
+    """A name with its operands (start, end, quoted), several where ``+`` adds them or the name stands before another one.
+    ``is_type``: the name stands where a type could; ``declares``: the value could be a type."""
+
+    name: str
+    operands: list[tuple[int, int, bool]]
+    is_type: bool = False
+    declares: bool = False
+
+
+def _pairs(text: str) -> Iterator[_Pair]:
+    """Pairs in the text's order; names of a chain from the last, which has the literal, to the first."""
+    chain: list[_Pair] = []
+    at = type_at = 0
+    while m := PAIR.search(text, at):
         group = next(g for g in ("value", "given", "inner") if m[g] is not None)
+        name, is_type = m["name"] or m["flag"] or m["tag"], 0 < m.start() == type_at
         (start, end), operands = m.span(group), []
+        bare = group != "inner" and text[start] not in "\"'`"
+        at = end
+        if m["type"] is not None:  # what looks like a type may be a name
+            at = type_at = m.start("type")
+            if bare and (sign := _CHAIN.match(text, start)) and sign["only"]:
+                chain.append(_Pair(name, [(start, _NAME_OF.match(text, start).end(), False)]))
+                continue
+        elif bare and (url := _LOGIN_URL.match(text, start)):
+            at = max(end, _SCHEME.match(text, start).end())
+            end = url.end()
+        elif bare and (sign := _CHAIN.match(text, start)) and PAIR.match(text, start):
+            at = start
+            operands = [(start, end, False)] if sign["colon"] else []
+            chain.append(_Pair(name, [*operands, (start, _NAME_OF.match(text, start).end(), False)], is_type))
+            continue
+        elif bare and (inside := _INSIDE.match(text, start, end)):  # the names in front share what follows them
+            rest = (inside.end(), end, False)
+            if (sign := _CHAIN.match(text, inside.end())) and sign["only"]:
+                at, rest = inside.end(), (inside.end(), _NAME_OF.match(text, inside.end()).end(), False)
+            chain += [_Pair(inner[0], [rest]) for inner in _NAME_OF.finditer(text, *inside.span())]
+            if at < end:
+                chain.append(_Pair(name, [rest], is_type))
+                continue
         while True:
             quoted = end - start >= 2 and text[start] in "\"'`" and text[end - 1] == text[start]
             operands.append((start + quoted, end - quoted, quoted or group == "inner"))
             if not (more := _MORE.match(text, end)):
                 break
             start, end = more.span(1)
-        yield m["name"] or m["flag"] or m["tag"], operands
+            at = at if m["type"] is not None else max(at, end)
+        yield _Pair(name, operands, is_type, m["sign"] == ":")
+        yield from reversed(chain)
+        chain.clear()
+    yield from reversed(chain)
 
 
 def literal_findings(text: str, threshold: float = THRESHOLD) -> list[Finding]:
@@ -117,11 +171,17 @@ def literal_findings(text: str, threshold: float = THRESHOLD) -> list[Finding]:
     latest: dict[str, int] = {}
     weights: list[tuple[float, str]] = []
     operands: list[list[int | tuple[int, int]]] = []
-    for name, found in _pairs(text):
-        known = [None if quoted else latest.get(text[start:end]) for start, end, quoted in found]
-        operands.append([(start, end) if k is None else k for k, (start, end, _) in zip(known, found)])
-        latest[name] = len(weights)
-        weights.append((sensitivity(name), name))
+    types: set[str] = set()
+    for pair in _pairs(text):
+        # "name: type" without a value is no reference to what another name of that type got
+        known = [None if quoted or pair.declares and text[start:end] in types else latest.get(text[start:end]) for start, end, quoted in pair.operands]
+        operands.append([(start, end) if k is None else k for k, (start, end, _) in zip(known, pair.operands)])
+        if pair.is_type:
+            types.add(pair.name)
+        else:
+            types.discard(pair.name)
+        latest[pair.name] = len(weights)
+        weights.append((sensitivity(pair.name), pair.name))
     # names refer to earlier ones only: from the last to the first, each passes its weight on
     reached: dict[tuple[int, int], tuple[float, str]] = {}
     for weight, its in zip(reversed(weights), reversed(operands)):
