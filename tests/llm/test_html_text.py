@@ -89,6 +89,22 @@ def test_pages(page, text):
     assert "\n".join(main_blocks(page, TREE)) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article>a <svg class='i'/> b</article>", "a b"),
+        ("<article>a <svg x='/>' y><path d='1'/>no</svg> b</article>", "a b"),
+        ("<article>a<svg href=x/y /> b<svg><text>no</text></svg> c</article>", "a b c"),
+        ("<article><video-player><p>x</p></video-player><p><select-menu>y</select-menu></p><template-body>z</template-body></article>", "x\ny\nz"),
+        ("<article>a<video src=x>no</video>b<select><option>no</select>c</article>", "abc"),
+        ("<article>x<script>a</script-x>no</script>y</article>", "xy"),
+        ("<article>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='tex'>no</annotation></math> and <math/> on</article>", "so x=2 and on"),
+    ],
+)
+def test_hidden_elements_end_where_they_end(page, text):
+    assert "\n".join(main_blocks(page, TREE)) == text
+
+
 def test_long_pages_take_time_in_proportion():
     for page in ("<b>" * 100_000 + "<p>" * 100_000, "<p>x" * 200_000, "<div>" * 100_000 + "</p>" * 100_000, "<" * 300_000, "<a b='" * 30_000, "<!--" * 100_000, "&" * 300_000):
         began = time.perf_counter()

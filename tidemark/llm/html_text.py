@@ -4,7 +4,7 @@ A page is lexed once into blocks, runs of text between block-level tags. Each bl
 and whether it stands in the article or in page furniture (menus, headers, footers, sidebars, notices, adverts, forms,
 reader comments, told by tag, role, class or id). With the word counts and link densities of the blocks before and
 after, these go to a decision tree that is grown, when the operator is called, on the small labelled table below.
-Scripts, styles, comments and other text that browsers don't show never become blocks.
+Scripts, styles, comments and other text that browsers don't show never become blocks; formulas do.
 
 Pages are parsed whole, where they are read: no shuffle, time in proportion to the page. Nulls and ties: null counts as
 empty; a page without main text gives the empty text; repeated rows give equal texts. Tags cut off by the page's end
@@ -26,9 +26,11 @@ from tidemark.llm.frames import arrow_map, batch, texts_of
 
 _ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 #: Elements whose content is no text of the page.
-_HIDDEN = "script|style|title|textarea|iframe|noscript|template|svg|math|select|object|audio|video|canvas"
+_HIDDEN = "script|style|title|textarea|iframe|noscript|template|svg|select|object|audio|video|canvas|annotation-xml|annotation"
+#: Where a hidden element's name ends; it goes on in those of custom elements.
+_END = r"(?=[\s/>])"
 _LEXEMES = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({_HIDDEN})\b{_ATTRIBUTES}>.*?(?:</\1\b[^>]*+(?:>|\Z)|\Z)"""
+    rf"""<!--.*?(?:-->|\Z)|<svg{_END}(?:[^>"'/]++|"[^"]*+"|'[^']*+'|/(?!>))*+/>|<({_HIDDEN}){_END}{_ATTRIBUTES}>.*?(?:</\1(?=[\s/>]|\Z)[^>]*+(?:>|\Z)|\Z)"""
     rf"""|<(/?)([a-z][a-z0-9:-]*+)({_ATTRIBUTES})>|<(/?)([a-z][a-z0-9:-]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-z][^>]*+\Z""",
     re.S | re.I,
 )
@@ -152,7 +154,7 @@ def blocks(page: str) -> list[Block]:
             pieces.append(" ")
         if m[2] or m[5]:
             opened.close(tag)
-        elif tag not in VOID_TAGS:
+        elif tag not in VOID_TAGS and not (tag == "math" and m[0].endswith("/>")):
             if tag in BLOCK_TAGS:
                 opened.close_implied(tag)
             opened.push(tag, _is_furniture(tag, m[4] or m[7] or "", opened.main > 0), tag in MAIN_TAGS)
