@@ -89,6 +89,24 @@ def test_pages(page, text):
     assert "\n".join(main_blocks(page, TREE)) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><section id='related-work'><h2 id='search'>Related</h2><p>x</p></section></article>", "Related\nx"),
+        ("<main><section id='form-factor'>a</section><div id='ad-hoc-networks'>b</div><div id='binary-search'>c</div></main>", "a\nb\nc"),
+        ("<article><header class='entry-header'><h1>T</h1></header><p>x</p></article>", "T\nx"),
+        ("<body><form id=aspnetForm><nav>n</nav><article><p>x</p><form>no</form></article><footer>f</footer></form></body>", "x"),
+        ("<div class='layout sidebar-right'><article>x</article><div class=sidebar>no</div></div>", "x"),
+        ("<div class=search><main>x<div class=search>no</div></main>no</div>", "x"),
+        ("<article>x<div id='related-posts'>no</div><div id='share-buttons'>no</div><div id='cookie-notice'>no</div></article>", "x"),
+        ("<article>x</article><div id=comments><article>no</article></div><aside><article>no</article></aside>", "x"),
+        ("<article>x<ol class='comment-list'><li><article>no</article></ol></article><div class=sidebar><article>no</article></div>", "x"),
+    ],
+)
+def test_furniture_names_around_and_in_articles(page, text):
+    assert "\n".join(main_blocks(page, TREE)) == text
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [

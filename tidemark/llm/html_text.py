@@ -2,7 +2,8 @@
 
 A page is lexed once into blocks, runs of text between block-level tags. Each block has its word count, link density,
 and whether it stands in the article or in page furniture (menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments, told by tag, role, class or id). With the word counts and link densities of the blocks before and
+reader comments, told by tag, role, class or id). An article or main element within a wrapper of such a name isn't furniture
+for that, unless the wrapper is one that holds articles of its own: menus, footers, sidebars, comments, teasers. With the word counts and link densities of the blocks before and
 after, these go to a decision tree that is grown, when the operator is called, on the small labelled table below.
 Scripts, styles, comments and other text that browsers don't show never become blocks; formulas do.
 
@@ -49,6 +50,20 @@ FURNITURE_NAMES = set(
     " notification notifications announcement toast overlay gdpr form dialog alertdialog advertising adsbygoogle sponsors recommended"
     " recommendations trending popular".split()
 )
+#: Parts of names that wrap other articles than the page's own, so that these stay furniture.
+TEASER_NAMES = set(
+    "ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsors sponsored promo related comment comments disqus reply replies"
+    " respond recommended recommendations trending popular".split()
+)
+TEASER_TAGS = {"nav", "footer", "aside", "menu", "dialog"}
+#: Whole names that are no wrappers of that sort even alone.
+WRAPPER_NAMES = {"form", "header", "search"}
+#: Parts that stand beside a furniture name in the id of a container; other ids in an article are slugs of its headings.
+CONTAINER_NAMES = set(
+    "site page post posts article articles content entry main list section box area wrapper container block bar link links button buttons icon icons"
+    " item items top bottom left right inner outer group panel text the".split()
+)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BESIDE = {"with", "has", "no", "without", "beside"}
 MAIN_TAGS = {"article", "main"}
 
@@ -70,25 +85,30 @@ class Block:
 
 @dataclass
 class _Open:
-    """Elements still open; the flags count how many of them are of a kind."""
+    """Elements still open; the flags count how many of them are of a kind: furniture that holds for what comes next, among
+    it such that articles don't lift, and article or main elements."""
 
-    tags: list[tuple[str, bool, bool]] = field(default_factory=list)
+    tags: list[tuple[str, int, int, int]] = field(default_factory=list)
     counts: dict[str, int] = field(default_factory=dict)
     furniture: int = 0
+    teasers: int = 0
     main: int = 0
 
-    def push(self, tag: str, furniture: bool, main: bool) -> None:
-        self.tags.append((tag, furniture, main))
+    def push(self, tag: str, furniture: bool, teasers: bool) -> None:
+        """Each tag stands with the flags before it."""
+        self.tags.append((tag, self.furniture, self.teasers, self.main))
         self.counts[tag] = self.counts.get(tag, 0) + 1
+        if tag in MAIN_TAGS:
+            self.main += 1
+            self.teasers = self.teasers if tag == "article" else 0
+            self.furniture = self.teasers
         self.furniture += furniture
-        self.main += main
+        self.teasers += furniture and teasers
 
     def pop_to(self, tag: str) -> None:
         while self.tags:
-            last, furniture, main = self.tags.pop()
+            last, self.furniture, self.teasers, self.main = self.tags.pop()
             self.counts[last] -= 1
-            self.furniture -= furniture
-            self.main -= main
             if last == tag:
                 return
 
@@ -100,7 +120,7 @@ class _Open:
         """A block-level tag ends an open paragraph, an item of a list the one before it."""
         for ended in ("p", tag) if tag in ("li", "dt", "dd", "tr", "td", "th") else ("p",):
             if self.counts.get(ended):
-                for name, _, _ in reversed(self.tags):
+                for name, *_ in reversed(self.tags):
                     if name == ended:
                         self.pop_to(ended)
                         break
@@ -108,15 +128,26 @@ class _Open:
                         break
 
 
-def _is_furniture(tag: str, attributes: str, inside_main: bool) -> bool:
-    if tag in FURNITURE_TAGS or tag == "header" and not inside_main:
-        return True
+def _is_furniture(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether articles within it are too."""
+    told = tag in FURNITURE_TAGS or tag == "header" and not inside_main
+    teasers = tag in TEASER_TAGS
     if tag in ("body", "html", "article", "main") or "=" not in attributes:
-        return False
-    names = " ".join(m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(attributes)).lower()
-    parts = re.findall(r"[a-z]+", names)
-    # a wrapper "with-sidebar" is none
-    return any(part in FURNITURE_NAMES and before not in BESIDE for part, before in zip(parts, ["", *parts]))
+        return told, teasers
+    for m in _NAMED.finditer(attributes):
+        kind, names = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if kind == "id" and tag in HEADINGS:
+            continue
+        parts = re.findall(r"[a-z]+", names)
+        if kind == "id" and inside_main and "-" in names and "_" not in names and not all(p in FURNITURE_NAMES or p in CONTAINER_NAMES for p in parts):
+            continue
+        # a wrapper "with-sidebar" is none, nor is the header of an article
+        found = {part for part, before in zip(parts, ["", *parts]) if part in FURNITURE_NAMES and before not in BESIDE}
+        if inside_main and tag == "header":
+            found.discard("header")
+        told |= bool(found)
+        teasers |= bool(found & TEASER_NAMES) or any(name in found and name not in WRAPPER_NAMES for name in names.split())
+    return told, teasers
 
 
 def blocks(page: str) -> list[Block]:
@@ -157,7 +188,7 @@ def blocks(page: str) -> list[Block]:
         elif tag not in VOID_TAGS and not (tag == "math" and m[0].endswith("/>")):
             if tag in BLOCK_TAGS:
                 opened.close_implied(tag)
-            opened.push(tag, _is_furniture(tag, m[4] or m[7] or "", opened.main > 0), tag in MAIN_TAGS)
+            opened.push(tag, *_is_furniture(tag, m[4] or m[7] or "", opened.main > 0))
     if at < len(page):
         add(page[at:])
     flush()
