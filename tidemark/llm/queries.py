@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_text, licenses, neighbours, packing, quality, secrets, simhash, urls, warc
+from tidemark.llm import (
+    decontaminate, html_text, lexical, licenses, neighbours, packing, quality, secrets, sharding, simhash, trie, urls, warc,
+)
 from tidemark.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -63,10 +65,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.branched_sequences(table(spark, sf_dir, "conversations")))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.byte_shards(table(spark, sf_dir, "documents"))
+    grown = F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", grown)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_nearest_neighbours, op2_secret_scan, op3_license_scan, op4_simhash, op5_url_filter,
         op6_html_text, op7_decontamination, op8_quality, op9_warc_revisits, op10_best_fit_packing,
+        op11_conversation_trie, op12_sharding, op13_lexical_search,
     )
 }

@@ -82,4 +82,115 @@ ordered AS (
 SELECT page_id, payload_bytes, {_base32("hex")} AS payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN place > 1 THEN kept END AS refers_to FROM ordered"""
 
-SQL = {"op1_nearest_neighbours": NEAREST, "op5_url_filter": URL_FILTER, "op9_warc_revisits": REVISITS}
+
+# CRC-32 by its polynomial: a table of 256 remainders, then a step a byte.
+_REMAINDERS = """SELECT list_transform(range(256), lambda b: list_reduce(range(8),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS remainders"""
+
+
+def _crc32(text: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    step = "lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce({octets}, {step}, 4294967295::BIGINT), 4294967295)"
+
+
+CONVERSATION_TRIE = f"""
+WITH RECURSIVE crc AS ({_REMAINDERS}),
+said AS (
+  SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, COALESCE(role, ''), sha256(COALESCE(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM said), crc),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, place, role, text FROM convs c JOIN said s ON s.conv_id = c.base AND place <= h
+  UNION ALL SELECT c.conv_id, 1, place, role, text FROM convs c JOIN said s ON s.conv_id = c.conv_id AND place > h),
+turns AS (SELECT conv_id, sha256(length(role) || ':' || role || text) AS turn, strlen(text) AS bytes, part, place FROM rebuilt),
+paths AS (
+  SELECT conv_id, COALESCE(list(turn ORDER BY part, place) FILTER (turn IS NOT NULL), []) AS path,
+    COALESCE(list(bytes ORDER BY part, place) FILTER (turn IS NOT NULL), []) AS sizes FROM convs LEFT JOIN turns USING (conv_id) GROUP BY conv_id),
+steps AS (SELECT conv_id, path, sizes, unnest(range(len(path) + 1)) AS depth FROM paths),
+named AS (SELECT conv_id, depth, array_to_string(path[1:depth], '/') AS node, array_to_string(path[1:depth - 1], '/') AS parent,
+    CASE WHEN depth > 0 THEN sizes[depth] ELSE 0 END AS bytes, depth = len(path) AS ends FROM steps),
+nodes AS (
+  SELECT node, any_value(CASE WHEN depth > 0 THEN parent END) AS parent, MIN(conv_id) AS conv_id, any_value(depth) AS depth, COUNT(*) AS n_convs,
+    (COUNT(*) - 1) * any_value(bytes) AS saved,
+    sha256(COALESCE(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM named GROUP BY node),
+linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT COUNT(*) FROM nodes c WHERE c.parent = n.node) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.node = n.parent),
+above AS (
+  SELECT node AS top, node, parent FROM nodes
+  UNION ALL SELECT n.node, a.node, n.parent FROM above a JOIN nodes n ON n.node = a.parent),
+below AS (
+  SELECT top, COUNT(*) FILTER (n_children = 0) AS n_leaves, SUM(saved) AS saved_tokens FROM above JOIN linked USING (node) GROUP BY top)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM linked JOIN below ON top = node"""
+
+
+def _sharding(shards: int) -> str:
+    """Capacity by binary search, then each cut near its share, between the earliest place that leaves room for the rest
+    and the last one that the shard has room for. Places are bytes before them."""
+    last = shards - 1
+    earliest = [f"e{shards} AS (SELECT total AS mark FROM groups_list)"] + [
+        f"e{k} AS (SELECT MIN(mark) AS mark FROM places WHERE mark >= (SELECT mark FROM e{k + 1}) - (SELECT capacity FROM least))" for k in range(last, 0, -1)
+    ]
+    cuts = ["c0 AS (SELECT 0::BIGINT AS mark)"] + [
+        f"""c{k} AS (SELECT least(greatest((SELECT MAX(mark) FROM places WHERE mark <= (SELECT total FROM groups_list) * {k} // {shards}), (SELECT mark FROM e{k})),
+          (SELECT MAX(mark) FROM places WHERE mark <= (SELECT mark FROM c{k - 1}) + (SELECT capacity FROM least))) AS mark)"""
+        for k in range(1, shards)
+    ]
+    shard = " + ".join(f"(before >= (SELECT mark FROM c{k}))::INTEGER" for k in range(1, shards))
+    return f"""
+WITH RECURSIVE crc AS ({_REMAINDERS}),
+sized AS (
+  SELECT doc_id, strlen(COALESCE(text, '')) + 1 AS size, {_crc32("COALESCE(text, '')")} AS text_crc32, substr(sha256(COALESCE(text, '')), 1, 32) AS digest
+  FROM documents, crc),
+summed AS (SELECT digest, SUM(size)::BIGINT AS total FROM sized GROUP BY digest),
+ordered AS (SELECT digest, total, (SUM(total) OVER (ORDER BY digest) - total)::BIGINT AS before FROM summed),
+groups_list AS (SELECT list(total ORDER BY digest) AS sizes, SUM(total)::BIGINT AS total, MAX(total) AS largest FROM ordered),
+places AS (SELECT before AS mark FROM ordered UNION SELECT total FROM groups_list),
+search AS (
+  SELECT greatest(largest, -(-total // {shards}))::BIGINT AS low, total AS high FROM groups_list
+  UNION ALL
+  SELECT CASE WHEN fits THEN low ELSE middle + 1 END, CASE WHEN fits THEN middle ELSE high END FROM (
+    SELECT low, high, (low + high) // 2 AS middle, list_reduce(sizes,
+      lambda s, x: CASE WHEN s.used + x <= (low + high) // 2 THEN {{'used': s.used + x, 'shards': s.shards}} ELSE {{'used': x, 'shards': s.shards + 1}} END,
+      {{'used': 0::BIGINT, 'shards': 1::BIGINT}}).shards <= {shards} AS fits
+    FROM search, groups_list WHERE low < high)),
+least AS (SELECT MIN(high) AS capacity FROM search),
+{", ".join(earliest)},
+{", ".join(cuts)},
+sharded AS (SELECT doc_id, size, text_crc32, digest, {shard} AS shard FROM sized JOIN ordered USING (digest))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY md5(COALESCE(doc_id::VARCHAR, '') || ':' || digest), doc_id) - 1 AS slot,
+  NULL::INTEGER AS grown_shard FROM sharded"""
+
+
+LEXICAL_SEARCH = r"""
+WITH tokens AS (
+  SELECT document, doc_id, unnest(regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS document, * FROM documents)),
+asked AS (
+  SELECT DISTINCT item, item_id, term FROM (
+    SELECT item, item_id, unnest(regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS item, * FROM benchmark))),
+lengths AS (SELECT document, any_value(doc_id) AS doc_id, COUNT(*) AS n FROM tokens GROUP BY document),
+totals AS (SELECT COUNT(*) AS n_docs, SUM(n)::BIGINT AS n_terms FROM lengths),
+counts AS (SELECT document, term, COUNT(*) AS tf FROM tokens GROUP BY document, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, COUNT(*) AS df FROM counts GROUP BY term), totals),
+scores AS (
+  SELECT item, item_id, document, doc_id, SUM(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (document), totals GROUP BY item, item_id, document, doc_id)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scores WHERE score > 0) WHERE place <= 10"""
+
+SQL = {
+    "op1_nearest_neighbours": NEAREST,
+    "op5_url_filter": URL_FILTER,
+    "op9_warc_revisits": REVISITS,
+    "op11_conversation_trie": CONVERSATION_TRIE,
+    "op12_sharding": _sharding(8),
+    "op13_lexical_search": LEXICAL_SEARCH,
+}
