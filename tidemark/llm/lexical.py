@@ -27,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +42,9 @@ BITS_PER_ENTRY, HASHES = 12, 4
 LEVELS = 7
 LEAST_WIDTH = 256
 #: Most rows, cells of the bit matrix and bytes of text of a block, unless it has one document.
-BLOCK_ROWS, BLOCK_CELLS, BLOCK_BYTES = 1024, 1 << 24, 6 << 20
+BLOCK_ROWS, BLOCK_CELLS, BLOCK_BYTES = 1024, 1 << 23, 2 << 20
+#: Bytes of text that are cut into terms at a time.
+CHUNK_BYTES = 4 << 20
 #: Terms of the items that are sent to tasks at once, and of those looked up in a block at once.
 PART_TERMS, CHUNK_TERMS = 200_000, 4096
 
@@ -94,46 +97,61 @@ def _cut_blocks(widths: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.
         yield int(width), np.array(rows)
 
 
+def _chunks(b: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts of a batch, a bounded number of bytes at a time."""
+    sizes = [size or 0 for size in pc.binary_length(b.column("text")).to_pylist()]
+    first = held = 0
+    for row, size in enumerate([*sizes, CHUNK_BYTES]):
+        if row > first and held + size > CHUNK_BYTES:
+            part = b.slice(first, row - first)
+            yield part.column("doc_id").to_pylist(), [text or b"" for text in part.column("text").cast(pa.binary()).to_pylist()]
+            first, held = row, 0
+        held += size
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_ids", "lengths", "texts", "width", "slices", "terms", "counts"]
     longs, bins = pa.list_(pa.int64()), pa.list_(pa.binary())
+    names = ["doc_ids", "lengths", "texts", "width", "slices", "terms", "counts"]
     types = [longs, longs, bins, pa.int32(), pa.binary(), bins, longs]
     with np.errstate(over="ignore"):
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()
-            numbers = _Numbers()
-            each = [np.fromiter(map(numbers.__getitem__, terms_of(text or b"")), dtype=np.int64) for text in texts]
-            held = [row for row, found in enumerate(each) if len(found)]
-            if not held:
-                continue
-            ids, texts, each = ([column[row] for row in held] for column in (ids, texts, each))
-            lengths, kinds = np.array([len(found) for found in each]), len(numbers)
-            # a key for each (document, term) and how often it occurs
-            keys, tf = np.unique(np.concatenate(each) + np.repeat(np.arange(len(each)) * kinds, lengths), return_counts=True)
-            docs, terms = keys // kinds, keys % kinds
-            levels = np.minimum(np.log2(tf).astype(np.int64), LEVELS - 1) + 1
-            entries = np.bincount(docs, weights=levels, minlength=len(each)).astype(np.int64)
-            widths = np.maximum(1 << np.ceil(np.log2(entries * BITS_PER_ENTRY)).astype(np.int64), LEAST_WIDTH)
-            hashes, vocabulary = _hashes(numbers), np.array(list(numbers), dtype=object)
-            starts = np.searchsorted(docs, np.arange(len(each) + 1))
-            for width, rows in _cut_blocks(widths, [len(text) for text in texts]):
-                part = np.concatenate([np.arange(starts[row], starts[row + 1]) for row in rows])
-                column = np.repeat(np.arange(len(rows)), starts[rows + 1] - starts[rows])
-                entry = np.repeat(np.arange(len(part)), levels[part])
-                level = np.arange(len(entry)) - np.repeat(np.cumsum(levels[part]) - levels[part], levels[part])
-                bits = np.zeros((width, -(-len(rows) // 8) * 8), dtype=bool)
-                bits[_positions(hashes[terms[part]][entry], level, width), column[entry][:, None]] = True
-                counts = np.bincount(terms[part], minlength=kinds)
-                present = np.flatnonzero(counts)
-                values = (
-                    [ids[row] for row in rows], lengths[rows].tolist(), [texts[row] for row in rows], width,
-                    np.packbits(bits, axis=1).tobytes(), vocabulary[present].tolist(), counts[present].tolist(),
-                )
-                yield batch(names, types, [[value] for value in values])
+            for ids, texts in _chunks(b):
+                for values in _signed(ids, texts):
+                    yield batch(names, types, [[value] for value in values])
+
+
+def _signed(ids: list, texts: list[bytes]) -> Iterator[tuple]:
+    """Blocks of some documents; the first one also says how many of all these documents hold each term."""
+    numbers = _Numbers()
+    each = [np.fromiter(map(numbers.__getitem__, terms_of(text)), dtype=np.int64) for text in texts]
+    held = [row for row, found in enumerate(each) if len(found)]
+    if not held:
+        return
+    ids, texts, each = ([column[row] for row in held] for column in (ids, texts, each))
+    lengths, kinds = np.array([len(found) for found in each]), len(numbers)
+    # a key for each (document, term) and how often it occurs
+    keys, tf = np.unique(np.concatenate(each) + np.repeat(np.arange(len(each)) * kinds, lengths), return_counts=True)
+    docs, terms = keys // kinds, keys % kinds
+    levels = np.minimum(np.log2(tf).astype(np.int64), LEVELS - 1) + 1
+    entries = np.bincount(docs, weights=levels, minlength=len(each)).astype(np.int64)
+    widths = np.maximum(1 << np.ceil(np.log2(entries * BITS_PER_ENTRY)).astype(np.int64), LEAST_WIDTH)
+    hashes, starts = _hashes(numbers), np.searchsorted(docs, np.arange(len(each) + 1))
+    vocabulary, counts = list(numbers), np.bincount(terms, minlength=kinds).tolist()
+    for width, rows in _cut_blocks(widths, [len(text) for text in texts]):
+        part = np.concatenate([np.arange(starts[row], starts[row + 1]) for row in rows])
+        column = np.repeat(np.arange(len(rows)), starts[rows + 1] - starts[rows])
+        entry = np.repeat(np.arange(len(part)), levels[part])
+        level = np.arange(len(entry)) - np.repeat(np.cumsum(levels[part]) - levels[part], levels[part])
+        bits = np.zeros((width, -(-len(rows) // 8) * 8), dtype=bool)
+        bits[_positions(hashes[terms[part]][entry], level, width), column[entry][:, None]] = True
+        slices = np.packbits(bits, axis=1).tobytes()
+        yield [ids[row] for row in rows], lengths[rows].tolist(), [texts[row] for row in rows], width, slices, vocabulary, counts
+        vocabulary, counts = [], []
 
 
 def index_blocks(documents: DataFrame) -> DataFrame:
-    """Blocks of documents with terms: ids, numbers of terms, texts, signature slices, and the documents holding each term."""
+    """Blocks of documents with terms: ids, numbers of terms, texts, signature slices, and how many documents hold each term (of
+    several blocks together, with the first of them)."""
     docs = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return stage(arrow_map(docs, _index, INDEX_SCHEMA), "signatures")
 
