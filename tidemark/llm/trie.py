@@ -163,7 +163,7 @@ def _burst(rows: DataFrame, burst: int) -> tuple[DataFrame, list[DataFrame]]:
     conversation ``above`` it, and the keys of the ``heads`` on the way to it, the nearest last.
     """
     open_rows = rows.withColumns(
-        {"key": F.lit(""), "top": F.lit(0).cast("long"), "above": F.lit(None).cast("long"), "heads": F.array().cast("array<string>")}
+        {"key": F.md5(F.substring("path", 1, 0)), "top": F.lit(0).cast("long"), "above": F.lit(None).cast("long"), "heads": F.array().cast("array<string>")}
     )
     settled: list[DataFrame] = []
     heads: list[DataFrame] = []
