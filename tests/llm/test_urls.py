@@ -115,3 +115,15 @@ def test_odd_pages(spark, crowded):
     undecided = spark.createDataFrame([(1, "http://a.com/"), (2, None)], "page_id long, url string")
     assert {(r["verdict"], r["score"]) for r in verdicts(undecided).collect()} == {("allow", None)}
     assert verdicts(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hosts", [3, 1])
+def test_few_hosts_still_get_a_model(spark, hosts):
+    """Whatever folds the few hosts fall into: the undecided URLs look like the blocked ones and are blocked."""
+    for salt in range(4 if hosts == 3 else 1):
+        rows = [(i, f"http://bad{salt}.net/win/casino/{i}") for i in range(50)]
+        rows += [(100 + i, f"http://good{salt}.org/fr/library/poem/{i}") for i in range(50)]
+        rows += [(200 + i, f"http://other{salt if hosts == 3 else ''}.com/win/casino/{7 * i}") for i in range(5)]
+        found = {r["page_id"]: r for r in verdicts(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+        assert {found[i]["verdict"] for i in range(200, 205)} == {"block"}
+        assert all(r["score"] is not None for r in found.values())

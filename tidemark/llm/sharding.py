@@ -8,7 +8,8 @@ group. So the capacity is exact, and the driver holds some ten thousand cells ho
 
 A greedy pass fills the first shards and may leave the last ones empty. The cuts therefore stand as near to equal shares
 as that capacity allows: never before the place from which the rest wouldn't fit, never behind the place where the shard
-overflows.
+overflows. A heavy group, larger than an equal share (there are fewer than shards), gets a shard of its own, and the shares
+of the others are those of what is left.
 
 Shards are digest ranges, so a document finds its shard by comparing its digest with the cuts: no join, and a text that
 a third of all rows hold costs no task more than others. Places in a shard are numbered in slices of a hash.
@@ -19,6 +20,8 @@ doc_id, null included; repeated rows get a place each. Extra columns are ignored
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,11 +64,10 @@ class _Cells:
     def fits(self, capacity: int, shards: int, hopeful: bool) -> bool:
         """Whether a greedy pass needs no more than the shards: surely, or with ``hopeful`` perhaps."""
         i = 0
-        for _ in range(shards):
+        for _ in range(shards - 1):
             i = self.last_up_to(int(self.before[i]) + capacity, late=hopeful)
-            if i == self.end:
-                return True
-        return False
+        # the last shard takes the rest or doesn't, whatever its cells hold
+        return int(self.before[i]) + capacity >= self.total
 
     def smallest_capacity(self, shards: int, hopeful: bool) -> int:
         low, high = max(self.largest, -(-self.total // shards)), self.total
@@ -74,7 +76,21 @@ class _Cells:
             low, high = (low, middle) if self.fits(middle, shards, hopeful) else (middle + 1, high)
         return low
 
-    def cuts(self, shards: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    def wanted(self, place: int, shards: int, capacity: int, heavy: list[tuple[str, int]]) -> int:
+        """The byte where the shard that begins at a boundary should end, with ``shards`` to come."""
+        at = int(self.before[place])
+        ahead = [(int(self.before[self.cell_of(digest)]), size) for digest, size in heavy]
+        ahead = [(start, size) for start, size in ahead if start >= at]
+        if ahead and ahead[0][0] == at:
+            return at + ahead[0][1]
+        rest, others = self.total - at - sum(size for _, size in ahead), shards - len(ahead)
+        share = -(-rest // others) if others > 0 else capacity
+        return min(at + share, ahead[0][0] if ahead else self.total)
+
+    def cell_of(self, digest: str) -> int:
+        return bisect_right(self.prefixes, digest) - 1
+
+    def cuts(self, shards: int, heavy: list[tuple[str, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
         """Cuts between the shards and all places they depend on, each as the boundaries that enclose it."""
         least, most = self.smallest_capacity(shards, hopeful=True), self.smallest_capacity(shards, hopeful=False)
         at = lambda i: int(self.before[i])
@@ -85,9 +101,12 @@ class _Cells:
             earliest.insert(0, (self.first_from(at(low) - most, early=True), self.first_from(at(high) - least, early=False)))
         greedy, chosen, seen = (0, 0), [(0, 0)], list(earliest)
         for k in range(1, shards):
-            share = self.total * k // shards
-            wanted = (self.last_up_to(share, late=False), self.last_up_to(share, late=True))
             low, high = chosen[-1]
+            ends = [self.wanted(place, shards - k + 1, most, heavy) for place in (low, high)]
+            wanted = self.last_up_to(min(ends), late=False), self.last_up_to(max(ends), late=True)
+            if low == high == wanted[0] < self.end:  # not even one group: take one
+                wanted = low, max(low + 1, wanted[1])
+                wanted = (low + 1, low + 1) if self.groups[low] == 1 else wanted
             furthest = (self.last_up_to(at(low) + least, late=False), self.last_up_to(at(high) + most, late=True))
             greedy = (self.last_up_to(at(greedy[0]) + least, late=False), self.last_up_to(at(greedy[1]) + most, late=True))
             chosen.append(tuple(min(max(w, e), f) for w, e, f in zip(wanted, earliest[k - 1], furthest)))
@@ -121,8 +140,12 @@ def capacity_cuts(groups: DataFrame, shards: int = SHARDS) -> list[str]:
     if not rows:
         return [BEHIND_ALL] * (shards - 1)
     cells = _Cells(rows)
+    large = groups.filter(F.col("total") * shards > cells.total).orderBy("digest").select("digest", "total")
+    heavy = [(row["digest"], row["total"]) for row in large.collect()]  # fewer than shards
+    while hidden := sorted({cells.prefixes[i] for digest, _ in heavy if cells.groups[i := cells.cell_of(digest)] > 1}):
+        cells = _finer(groups, cells, hidden)
     while True:
-        chosen, seen = cells.cuts(shards)
+        chosen, seen = cells.cuts(shards, heavy)
         unclear = cells.unclear(seen)
         if not unclear:
             return [(cells.prefixes + [BEHIND_ALL])[place] for place, _ in chosen]

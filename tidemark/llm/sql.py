@@ -44,10 +44,12 @@ fitting AS (
   FROM (SELECT DISTINCT host, path FROM named) JOIN rules
     ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY host, path),
 judged AS (SELECT n.*, f.rule, f.verdict AS told FROM named n LEFT JOIN fitting f USING (host, path)),
-urls AS (
+dealt AS (
   SELECT url, COUNT(*) AS n, any_value(told) AS told, ('0x' || substr(md5(any_value(host)), 1, 8))::BIGINT % 5 AS fold,
     '^^' || regexp_replace(translate(lower(COALESCE(any_value(rest), url, '')), '123456789', '000000000'), '[^a-z0./_?=&:%#-]', '~', 'g') || '^' AS text
   FROM judged GROUP BY url),
+kinds AS (SELECT COUNT(DISTINCT told) FILTER (fold > 0) = 2 AS apart FROM dealt),
+urls AS (SELECT * REPLACE (CASE WHEN apart THEN fold ELSE 1 END AS fold) FROM dealt, kinds),
 cut AS (SELECT url, n, told, fold, substr(text, k, 3) AS gram FROM (SELECT *, unnest(range(1, length(text) - 1)) AS k FROM urls)),
 learnt AS (SELECT told AS side, gram, SUM(n) AS n FROM cut WHERE told IS NOT NULL AND fold > 0 GROUP BY told, gram),
 sides AS (SELECT side, gram FROM (SELECT DISTINCT gram FROM cut), (VALUES ('allow'), ('block')) s(side)),{"".join(map(_url_model, (1, 2, 3)))}
@@ -63,7 +65,7 @@ cuts AS (
   FROM (SELECT MIN(bin) AS bin FROM tested UNION SELECT bin + 1 FROM tested) c, tested t GROUP BY c.bin),
 chosen AS (SELECT cut / 100 AS cut FROM cuts WHERE gain IS NOT NULL ORDER BY ROUND(gain, 12) DESC, cut LIMIT 1)
 SELECT page_id, host, path, rule, score,
-  COALESCE(j.told, CASE WHEN (SELECT cut FROM chosen) IS NULL OR s.score >= (SELECT cut FROM chosen) THEN 'allow' ELSE 'block' END) AS verdict
+  COALESCE(j.told, CASE WHEN s.score IS NULL OR s.score >= COALESCE((SELECT cut FROM chosen), 0) THEN 'allow' ELSE 'block' END) AS verdict
 FROM judged j LEFT JOIN scores s ON s.url IS NOT DISTINCT FROM j.url"""
 
 
@@ -128,17 +130,24 @@ FROM linked JOIN below ON top = node"""
 
 
 def _sharding(shards: int) -> str:
-    """Capacity by binary search, then each cut near its share, between the earliest place that leaves room for the rest
-    and the last one that the shard has room for. Places are bytes before them."""
+    """Capacity by binary search, then each cut near the share of what is left that heavy groups leave, between the earliest
+    place that leaves room for the rest and the last one that the shard has room for. Places are bytes before them."""
     last = shards - 1
     earliest = [f"e{shards} AS (SELECT total AS mark FROM groups_list)"] + [
         f"e{k} AS (SELECT MIN(mark) AS mark FROM places WHERE mark >= (SELECT mark FROM e{k + 1}) - (SELECT capacity FROM least))" for k in range(last, 0, -1)
     ]
-    cuts = ["c0 AS (SELECT 0::BIGINT AS mark)"] + [
-        f"""c{k} AS (SELECT least(greatest((SELECT MAX(mark) FROM places WHERE mark <= (SELECT total FROM groups_list) * {k} // {shards}), (SELECT mark FROM e{k})),
-          (SELECT MAX(mark) FROM places WHERE mark <= (SELECT mark FROM c{k - 1}) + (SELECT capacity FROM least))) AS mark)"""
-        for k in range(1, shards)
-    ]
+    cuts = ["c0 AS (SELECT 0::BIGINT AS mark)"]
+    for k in range(1, shards):
+        own = f"(SELECT mark FROM c{k - 1})"
+        cuts += [
+            f"""a{k} AS (SELECT {own} AS p, (SELECT total FROM groups_list) AS t, (SELECT capacity FROM least) AS capacity, {shards - k + 1} AS r,
+          COUNT(*) AS h, COALESCE(SUM(total), 0) AS weight, MIN(before) AS next, MAX(total) FILTER (before = {own}) AS here FROM heavy WHERE before >= {own})""",
+            f"""w{k} AS (SELECT p, capacity, CASE WHEN here IS NOT NULL THEN p + here
+          WHEN r > h THEN least(p - (-(t - p - weight) // (r - h)), COALESCE(next, t)) ELSE least(p + capacity, COALESCE(next, t)) END AS x FROM a{k})""",
+            f"""c{k} AS (SELECT least(greatest(
+          COALESCE((SELECT NULLIF(MAX(mark), p) FROM places WHERE mark <= x), (SELECT MIN(mark) FROM places WHERE mark > p), p), (SELECT mark FROM e{k})),
+          (SELECT MAX(mark) FROM places WHERE mark <= p + capacity))::BIGINT AS mark FROM w{k})""",
+        ]
     shard = " + ".join(f"(before >= (SELECT mark FROM c{k}))::INTEGER" for k in range(1, shards))
     return f"""
 WITH RECURSIVE crc AS ({_REMAINDERS}),
@@ -158,6 +167,7 @@ search AS (
       {{'used': 0::BIGINT, 'shards': 1::BIGINT}}).shards <= {shards} AS fits
     FROM search, groups_list WHERE low < high)),
 least AS (SELECT MIN(high) AS capacity FROM search),
+heavy AS (SELECT before, total FROM ordered WHERE total * {shards} > (SELECT total FROM groups_list)),
 {", ".join(earliest)},
 {", ".join(cuts)},
 sharded AS (SELECT doc_id, size, text_crc32, digest, {shard} AS shard FROM sized JOIN ordered USING (digest))

@@ -137,17 +137,26 @@ def calibrated_cut(scores: DataFrame) -> float | None:
 
 
 def verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict, score) for each page; the score is the model's, null without a model."""
+    """(page_id, host, path, rule, verdict, score) for each page; the score is the model's, null without a model.
+
+    There is a model where rules allow some URLs and block others. It learns from all folds but the calibration fold; if these
+    lack a kind, from all of them. If the calibration fold lacks a kind, or was learnt from, nothing is left to calibrate
+    with, and the cut is where both models find a URL equally likely, at 0.
+    """
     rows = judged(pages, rules)
     known = rows.groupBy("url").agg(F.count("*").alias("n"), F.first("decided.verdict").alias("verdict"), F.first("host").alias("host"))
     fold = F.conv(F.substring(F.md5("host"), 1, 8), 16, 10).cast("long") % FOLDS
     urls = stage(known.select("url", "n", "verdict", fold.alias("fold"), folded(F.col("url")).alias("text")), "urls")
-    kinds = {r["verdict"] for r in urls.filter("fold > 0").select("verdict").distinct().collect()}  # two and null at most
-    if not {ALLOW, BLOCK} <= kinds:
+    told = urls.filter("verdict IS NOT NULL").select("verdict", (F.col("fold") > 0).alias("learnt")).distinct()
+    kinds = {(r["verdict"], r["learnt"]) for r in told.collect()}  # four at most
+    if {verdict for verdict, _ in kinds} < {ALLOW, BLOCK}:
         cut, scores = None, urls.select("url", F.lit(None).cast("double").alias("score"))
     else:
+        if not {(ALLOW, True), (BLOCK, True)} <= kinds:
+            urls = urls.withColumn("fold", F.lit(1).cast("long"))
         scores = stage(scored(urls, weights(urls)), "url-scores")
         cut = calibrated_cut(scores)
+        cut = 0.0 if cut is None else cut
     found = scores.select(F.col("url").alias("of"), "score")
     model = F.lit(ALLOW) if cut is None else F.when(F.col("score") >= cut, ALLOW).otherwise(BLOCK)
     joined = rows.join(found, rows["url"].eqNullSafe(found["of"]), "left")
