@@ -151,3 +151,35 @@ def test_odd_documents(odd_docs, make_docs, crowded):
     assert changed.columns == crowded(odd_docs).columns
     assert sorted(((r["text"], r["n_chars"]) for r in changed.collect()), key=repr) == [("[SECRET]", 8), ("fine", 4), ("字 [SECRET]", 10), (None, None)]
     assert scan_digest(make_docs()).count() == redact(make_docs()).count() == scan(make_docs()).count() == 0
+
+
+FORMS = [
+    'os.environ["DB_PASSWORD"] = "{}"', "config['secret_key'] = '{}'", 'password = """{}"""', "token = '''{}'''", '{{"password":\n "{}"}}', 'password =\n    "{}"',
+    "password: |\n  {}\nuser: x", "secret: >-\n    {}\n", "Authorization: Bearer {}", "authorization: Basic {}", "postgres://user:{}@host/db", "see amqp://:{}@host",
+    'define("DB_PASSWORD", "{}");', "setenv('API_TOKEN', '{}', 1)", "-----BEGIN PRIVATE KEY-----{}-----END PRIVATE KEY-----",
+    "-----BEGIN RSA PRIVATE KEY-----Proc-Type: 4,ENCRYPTED {}-----END RSA PRIVATE KEY-----",
+]
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_forms_that_hold_a_literal(form):
+    text = form.format(STRONG)
+    spans = [text[f.start : f.end] for f in literal_findings(text)]
+    assert len(spans) == 1 and STRONG in spans[0] and STRONG not in redacted(text)
+    assert (spans == [STRONG]) == ("ENCRYPTED" not in form)
+
+
+@pytest.mark.parametrize("text", ['("password", "user name")', "password: |\n\n", 'password = """"""', "https://host:8080/a@b", "-----BEGIN PUBLIC KEY-----" + STRONG, "Title: Bearer of news"])
+def test_forms_that_hold_none(text):
+    assert literal_findings(text) == []
+
+
+def test_hard_texts_of_these_forms_take_time_in_proportion():
+    hard = [
+        "--a" * 330_000, "-----BEGIN PRIVATE KEY-----" * 40_000, "-----BEGIN PRIVATE KEY-----\nA" * 40_000, "k = '''\\" * 100_000, "a://b:cccccc" * 80_000,
+        '("a", "' * 140_000, "k: |\n  " * 140_000, 'a["b"] = ' * 110_000, "k: Bearer " * 100_000, "k:" + " " * 500_000 + "\n" + " " * 500_000,
+    ]
+    for text in hard:
+        began = time.perf_counter()
+        findings(text)
+        assert time.perf_counter() - began < 20, text[:20]

@@ -1,8 +1,11 @@
 """Secret scans by assignment-aware lexing.
 
 Source and configuration syntax is lexed into name-literal pairs: ``name = "x"``, ``name: x``, ``"name": "x"``,
-``name => 'x'``, ``<name>x</name>`` and flags such as ``--name x``; a type may stand between name and value, as in
-``name: type = "x"``, and in chains such as ``a = b = "x"`` all names get the literal. Constants are propagated within the text: a name
+``name => 'x'``, ``<name>x</name>`` and flags such as ``--name x``; subscripts, ``config["name"] = "x"``, and calls, ``define("name", "x")``;
+values in triple quotes, quoted on the next line, as a YAML block or behind the scheme of a header, ``Authorization: Bearer x``.
+A type may stand between name and value, as in
+``name: type = "x"``, and in chains such as ``a = b = "x"`` all names get the literal. Passwords of login URLs and the bodies of
+private keys in PEM form are literals without a name. Constants are propagated within the text: a name
 that stands for an earlier literal, and literals or names added with ``+``, give the later name their value, so
 ``k = "ab12..."; password = k`` points at the literal of ``k``. Each literal is scored by how sensitive the names are
 that it reaches, by its length, mix of characters and entropy, and against placeholders; from ``THRESHOLD`` on it is a
@@ -41,7 +44,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "pass": 0.7, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0,
     "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "private": 0.6, "privatekey": 1.0, "accesskey": 1.0,
-    "secretkey": 1.0, "signature": 0.5, "salt": 0.5, "cookie": 0.5, "session": 0.4, "key": 0.5, "dsn": 0.5, "cert": 0.4,
+    "secretkey": 1.0, "authorization": 0.9, "signature": 0.5, "salt": 0.5, "cookie": 0.5, "session": 0.4, "key": 0.5, "dsn": 0.5, "cert": 0.4,
 }
 #: What any sensitive part promises, whatever its weight; the weight makes up the rest.
 LEAST = 0.5
@@ -49,16 +52,20 @@ HARMLESS = {"public", "name", "id", "path", "file", "url", "type", "length", "si
 PLACEHOLDER = re.compile(r"(?ai)^(?:x+|\*+|\.+|-+|_+|change_?me|your[-_ ].*|example.*|test|none|null|nil|true|false|todo|dummy|sample|redacted|password|secret|token)$|^[$%]?\{|^\$\(|^<.*>$|^\$\w+$")
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_-]*+(?:[.][A-Za-z_][A-Za-z0-9_-]*+)*+"
-_QUOTED = r'"(?:[^"\\\n]|\\.)*+"|' + r"'(?:[^'\\\n]|\\.)*+'|" + r"`[^`\n]*+`"
+_TRIPLE = r'''"""(?:[^"\\]|\\.|"(?!""))*+"""''' + "|" + r"'''(?:[^'\\]|\\.|'(?!''))*+'''"
+_QUOTED = rf"{_TRIPLE}|" + r'"(?:[^"\\\n]|\\.)*+"|' + r"'(?:[^'\\\n]|\\.)*+'|" + r"`[^`\n]*+`"
 _BARE = r"[A-Za-z0-9+/_.=~@!$%^*-]++"
 # A type as Python, TypeScript, Rust, Kotlin or Swift write it: a dotted name or one in brackets, with parameters, in unions.
 _BRACKETS = r"\[[^=\n]{0,80}\]|<[^=\n]{0,80}>"
 _ONE_TYPE = rf"(?:&(?:'[a-z_]++\x20)?(?:mut\x20)?)?(?:[A-Za-z_][A-Za-z0-9_]*+(?:(?:\.|::)[A-Za-z_][A-Za-z0-9_]*+)*+(?:{_BRACKETS})?(?:\[\])?|\[[^=\n]{{0,80}}\])[?!]?"
 _TYPE = rf"{_ONE_TYPE}(?:[\x20\t]*+[|&][\x20\t]*+{_ONE_TYPE}){{0,8}}"
+# Between sign and value: a line break before a quote, the mark of a YAML block, or the scheme of a header.
+_GAP = r"""[\x20\t]*+(?:\r?\n[\x20\t]*+(?=["'`])|[|>][+-]?[\x20\t]*+\r?\n[\x20\t]++(?=\S)|(?:[Bb]earer|[Bb]asic|[Tt]oken)\x20++(?=[A-Za-z0-9+/_]))?"""
 #: A name in any syntax with what stands behind its sign; one alternative for each syntax.
 PAIR = re.compile(
-    rf"""(?<![A-Za-z0-9_.-])(?P<name>{_NAME})["']?[?!]?[\x20\t]*+(?::[\x20\t]*+(?P<type>{_TYPE})[\x20\t]*+=(?![=>])|(?P<sign>:=|=>|==?|:))[\x20\t]*+(?P<value>{_QUOTED}|{_BARE})"""
-    rf"""|--(?P<flag>{_NAME})[\x20=](?P<given>{_QUOTED}|{_BARE})"""
+    rf"""(?<![A-Za-z0-9_.-])(?P<name>{_NAME})["']?\]?[?!]?[\x20\t]*+(?::[\x20\t]*+(?P<type>{_TYPE})[\x20\t]*+=(?![=>])|(?P<sign>:=|=>|==?|:)){_GAP}(?P<value>{_QUOTED}|{_BARE})"""
+    rf"""|(?<![A-Za-z0-9_-])--(?P<flag>{_NAME})[\x20=](?P<given>{_QUOTED}|{_BARE})"""
+    rf"""|\([\x20\t]*+["'](?P<arg>{_NAME})["'][\x20\t]*+,[\x20\t]*+(?P<second>{_QUOTED})"""
     rf"""|<(?P<tag>{_NAME})>(?P<inner>[^<>\n]++)</(?P=tag)>"""
 )
 #: A bare value that is itself a name with a sign: a name only; or a name or literal before a colon; or part of the value.
@@ -69,6 +76,9 @@ _INSIDE = re.compile(rf"(?:{_NAME}=(?=[^=\s]))++")
 _NAME_OF = re.compile(_NAME)
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,30}+://")
 _LOGIN_URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{0,30}+://[^\s"'`<>@/]{1,200}+@[^\s"'`<>]++""")
+#: Literals without a name: the password in a login URL, the body of a private key.
+_LOGIN_PASSWORD = re.compile(r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{0,30}+://[^\s:/@"'`<>]{0,100}+:([^\s/@"'`<>]{6,200}+)@""")
+_PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY-----((?:[A-Za-z0-9+/=\s:,.\\]|-(?!-))*+)-----END")
 _MORE = re.compile(rf"[\x20\t]*+\+[\x20\t]*+({_QUOTED}|{_NAME})")
 _WORD_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -120,13 +130,20 @@ class _Pair:
     declares: bool = False
 
 
+def _quotes(text: str, start: int, end: int) -> int:
+    """Characters of the quotes on either side of a value."""
+    if end - start >= 6 and text[start : start + 3] in ('"""', "'''"):
+        return 3
+    return int(end - start >= 2 and text[start] in "\"'`" and text[end - 1] == text[start])
+
+
 def _pairs(text: str) -> Iterator[_Pair]:
     """Pairs in the text's order; names of a chain from the last, which has the literal, to the first."""
     chain: list[_Pair] = []
     at = type_at = 0
     while m := PAIR.search(text, at):
-        group = next(g for g in ("value", "given", "inner") if m[g] is not None)
-        name, is_type = m["name"] or m["flag"] or m["tag"], 0 < m.start() == type_at
+        group = next(g for g in ("value", "given", "second", "inner") if m[g] is not None)
+        name, is_type = m["name"] or m["flag"] or m["arg"] or m["tag"], 0 < m.start() == type_at
         (start, end), operands = m.span(group), []
         bare = group != "inner" and text[start] not in "\"'`"
         at = end
@@ -152,8 +169,8 @@ def _pairs(text: str) -> Iterator[_Pair]:
                 chain.append(_Pair(name, [rest], is_type))
                 continue
         while True:
-            quoted = end - start >= 2 and text[start] in "\"'`" and text[end - 1] == text[start]
-            operands.append((start + quoted, end - quoted, quoted or group == "inner"))
+            quotes = _quotes(text, start, end)
+            operands.append((start + quotes, end - quotes, quotes > 0 or group == "inner"))
             if not (more := _MORE.match(text, end)):
                 break
             start, end = more.span(1)
@@ -166,7 +183,7 @@ def _pairs(text: str) -> Iterator[_Pair]:
 
 def literal_findings(text: str, threshold: float = THRESHOLD) -> list[Finding]:
     """Scored literals; a literal counts for the most sensitive of the names it reaches."""
-    if not any(sign in text for sign in (":", "=", "--", "</")):
+    if not any(sign in text for sign in (":", "=", "--", "</", '",', "',")):
         return []
     latest: dict[str, int] = {}
     weights: list[tuple[float, str]] = []
@@ -190,6 +207,9 @@ def literal_findings(text: str, threshold: float = THRESHOLD) -> list[Finding]:
                 weights[operand] = max(weights[operand], weight)
             else:
                 reached[operand] = max(reached.get(operand, weight), weight)
+    for pattern, name, weight in ((_LOGIN_PASSWORD, "login", 1.0), (_PRIVATE_KEY, "private key", 1.0)):
+        for m in pattern.finditer(text):
+            reached[m.span(1)] = max(reached.get(m.span(1), (weight, name)), (weight, name))
     found = []
     for (start, end), (weight, name) in reached.items():
         score = round(weight * strength(text[start:end]), 6)
