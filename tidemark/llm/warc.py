@@ -197,13 +197,19 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
 
 def with_targets(records: DataFrame) -> DataFrame:
     """Records of :func:`read_archives` with refers_to as the page of the response, and that response's payload size."""
-    responses = records.filter("record_type = 'response'").select(
+    columns = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+    records = records.withColumn("payload_digest", F.col("digest"))
+    is_revisit = F.col("record_type") == "revisit"
+    responses = records.filter(~is_revisit)
+    # responses refer to nothing and stay out of the join, where all of them would have one key
+    targets = responses.select(
         F.col("record_id").alias("target"), F.col("page_id").alias("target_page"), F.col("payload_bytes").alias("target_bytes")
     )
-    return records.join(responses, records["refers_to"] == responses["target"], "left").select(
-        "page_id", "url", F.coalesce("payload_bytes", "target_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
-        "record_type", F.col("target_page").alias("refers_to"), "intact",
-    )
+    revisits = records.filter(is_revisit).drop("payload_bytes")
+    met = revisits.join(targets, revisits["refers_to"] == targets["target"], "left").drop("refers_to")
+    met = met.withColumnsRenamed({"target_bytes": "payload_bytes", "target_page": "refers_to"})
+    own = responses.withColumn("refers_to", F.lit(None).cast("long"))
+    return own.select(*columns).unionAll(met.select(*columns))
 
 
 def deduplicate_archives(spark: SparkSession, source: str, target: str, min_bytes: int = 0) -> None:
@@ -221,4 +227,5 @@ def archived(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> D
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_archives(from_pages(pages), path, min_bytes)
-    return with_targets(read_archives(spark, path))
+    # headers only, so that the archives are read and parsed once
+    return with_targets(stage(read_archives(spark, path), "warc-read"))
