@@ -212,3 +212,41 @@ def near_duplicates(
     )
     hex_digits = F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint")
     return prints.join(named, "bits", "left").select("doc_id", hex_digits, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
+) -> DataFrame:
+    """``docs`` without near duplicates: of the rows whose fingerprints links of at most ``max_bits`` connect, the one of
+    the smallest id stays, of several such rows the one of the smallest hash over all columns, once.
+
+    Here the texts alone decide: rows that share an id are no parts of one document, so different texts under one id all
+    stay. Rows without an id all stay.
+    """
+    row_hash = F.xxhash64(*(docs[c] for c in docs.columns))
+    known = docs.filter(docs[id_col].isNotNull())
+    wanted = known.select(known[id_col].cast("long").alias("doc_id"), known[text_col].alias("text"), row_hash.alias("row"))
+    prints = stage(arrow_map(wanted, _keyed_batches(shingle), "doc_id long, row long, bits long"), "simhash-rows")
+    first = prints.groupBy("bits").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    distinct = stage(first.withColumn("id", F.col("bits")), "simhash-texts")
+    groups = components(links(distinct, max_bits)).withColumnRenamed("node", "id")
+    named = stage(distinct.join(groups, "id", "left").select("bits", "first", F.coalesce("component", "id").alias("component")), "simhash-groups")
+    stays = named.groupBy("component").agg(F.min("first").alias("stays"))
+    decided = stage(named.join(stays, "component").select("bits", "stays"), "simhash-decided")
+    rows = prints.groupBy("bits", "doc_id", "row").agg(F.count("*").alias("n")).join(decided, "bits")
+    gone = F.struct("doc_id", "row") != F.col("stays")
+    told = rows.filter(gone | (F.col("n") > 1)).select(F.col("doc_id").alias("told id"), F.col("row").alias("told row"), gone.alias("told gone"))
+    told = stage(told, "simhash-told")
+    met = known.join(told, (known[id_col].cast("long") == told["told id"]) & (row_hash == told["told row"]), "left")
+    once = met.filter(F.col("told gone").isNull()).select(*(known[c] for c in docs.columns))
+    repeated = met.filter(~F.col("told gone")).select(*(known[c] for c in docs.columns)).distinct()  # equal rows meet before they move
+    return once.unionAll(repeated).unionAll(docs.filter(docs[id_col].isNull()))
+
+
+def _keyed_batches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            prints = np.array([fingerprint(text, shingle) for text in texts_of(rows.column(1))], np.uint64)
+            yield batch(("doc_id", "row", "bits"), (pa.int64(), pa.int64(), pa.int64()), (rows.column(0), rows.column(2), prints.view(np.int64)))
+
+    return run
