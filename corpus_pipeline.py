@@ -6,20 +6,20 @@ left is packed into sequences. ``run`` writes every stage as Parquet below spark
 a lost executor costs a task, not a stage.
 
 Nulls, ties and extra columns: all but the last stage return the columns they get. Rows without a doc_id can't be told
-apart, so no two of them count as duplicates and all stay in that stage. Rows that share a doc_id are one document, of
-which the near-duplicate stage keeps the row of the smallest hash. Empty tables pass through as empty tables.
+apart, so no two of them count as duplicates and all stay in that stage. Rows that share a doc_id are compared by their
+texts like any others: different texts under one id all stay, and repeated rows leave one. Empty tables pass through as
+empty tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontaminate import without_benchmark
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import QualityModel
 from tidemark.llm.secrets import redact
-from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.simhash import one_of_each_group
 from tidemark.sources.staging import stage
 
 
@@ -28,13 +28,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_duplicates(docs).select("doc_id", "component_id")
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-    known = docs["doc_id"].isNotNull()
-    order = Window.partitionBy(docs["doc_id"]).orderBy(F.xxhash64(*(docs[c] for c in docs.columns)))
-    first = kept.filter(known).withColumn("nth row of its doc_id", F.row_number().over(order))
-    return first.filter(F.col("nth row of its doc_id") == 1).select(*docs.columns).unionAll(docs.filter(~known))
+    """Of each group the row of the smallest doc_id stays, of several such rows that of the smallest hash."""
+    return one_of_each_group(docs)
 
 
 def free_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
