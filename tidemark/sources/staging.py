@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 _WRITTEN: dict[str, list[str]] = {}  # by application
+_ON_RELEASE: list[Callable[[str], None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,8 +58,15 @@ def stage_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return dict(zip(frames, together([lambda n=n, f=f: stage(f, n) for n, f in frames.items()])))
 
 
+def on_release(forget: Callable[[str], None]) -> None:
+    """Have ``forget`` called with the application id when its tables are deleted: what reads them is of no use then."""
+    _ON_RELEASE.append(forget)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this application wrote below the shared folder; call when all results are out."""
+    for forget in _ON_RELEASE:
+        forget(spark.sparkContext.applicationId)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     written = _WRITTEN.get(spark.sparkContext.applicationId, [])
     while written:

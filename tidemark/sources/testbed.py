@@ -10,21 +10,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tidemark.sources.versions import stamp
+
 LAST_INSTALL = "2024-01-01"  # the log's first day: no event precedes its user's install
 INSTALL_DAYS = 45
 N_APPS = 20
 MAX_USERS_PER_DEVICE = 20  # lower than the library default so the rule fires on small data
 
 
-_KNOWN_SCHEMAS: dict[str, T.StructType] = {}
+_KNOWN_SCHEMAS: dict[tuple, T.StructType] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A test table. Its schema is looked up once: every look-up is a small job."""
+    """A test table. Its schema is looked up once for the files as they are: every look-up is a small job."""
     path = f"{sf_dir}/{table}.parquet"
-    if path not in _KNOWN_SCHEMAS:
-        _KNOWN_SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_KNOWN_SCHEMAS[path]).parquet(path)
+    known = (path, stamp(spark, path))
+    if known not in _KNOWN_SCHEMAS:
+        _KNOWN_SCHEMAS[known] = spark.read.parquet(path).schema
+    return spark.read.schema(_KNOWN_SCHEMAS[known]).parquet(path)
 
 
 def _install_date(user_id: Column) -> Column:
