@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.functions.numeric import ratio_or_zero
 from tidemark.functions.text import contains_any
 from tidemark.operators.joins import salted_left_join
+from tidemark.sources.userlog import MOST_HEAVY_USERS, UserLog, heavy_users
 
 # Fixed values of the filter rules.
 MAX_USERS_PER_DEVICE = 200
@@ -14,7 +15,6 @@ QA_CHANNEL = "internal_qa"
 QA_EMAIL_FRAGMENT = "test"
 BOT_EMAIL_FRAGMENTS = ("test", "qa", "bot")
 USERS_PER_SALT = 100_000
-MOST_HEAVY_USERS = 10_000
 
 
 def device_reuse(users: DataFrame) -> DataFrame:
@@ -58,15 +58,7 @@ def clean_users(flagged: DataFrame) -> DataFrame:
     return flagged.filter(~F.col("is_suspected_bot")).drop("is_suspected_bot")
 
 
-def heavy_users(events: DataFrame, at_most: int = MOST_HEAVY_USERS) -> DataFrame:
-    """(user_id, parts): users with more than one ``at_most``-th of all events, of whom there are fewer than ``at_most``,
-    and into how many parts of that size their events go."""
-    counts = events.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    share = F.ceil(counts.agg(F.sum("n")).scalar() / at_most)
-    return counts.filter(F.col("n") > share).select("user_id", F.ceil(F.col("n") / share).cast("int").alias("parts"))
-
-
-def clean_events(events: DataFrame, clean: DataFrame, at_most: int = MOST_HEAVY_USERS) -> DataFrame:
+def clean_events(events: DataFrame | UserLog, clean: DataFrame, at_most: int = MOST_HEAVY_USERS) -> DataFrame:
     """Events of clean users; events of bots and of unknown users go.
 
     This is the only plan that moves raw events across the cluster, and only
@@ -74,7 +66,15 @@ def clean_events(events: DataFrame, clean: DataFrame, at_most: int = MOST_HEAVY_
     aggregate the log per user first and meet the clean users afterwards. The
     log is folded to counts first, so that the events of heavy users can be
     dealt to as many tasks as they need; their list is bounded by ``at_most``.
+
+    A log laid out by user stays where it is: users come to its buckets, and the
+    clean ones of the few heavy users to every file of theirs.
     """
+    if isinstance(events, UserLog):
+        users = clean.select("user_id")
+        few = users.join(F.broadcast(events.heavy_users.select("user_id")), "user_id", "left_semi")
+        heavy_part = events.heavy.join(F.broadcast(few), "user_id", "left_semi")
+        return events.ordinary.join(users, "user_id", "left_semi").select(*events.ordinary.columns).unionByName(heavy_part)
     heavy = F.broadcast(heavy_users(events, at_most))
     part = F.coalesce(F.pmod(F.xxhash64("event_id"), F.col("parts")), F.lit(0)).cast("int").alias("_part")
     dealt = events.join(heavy, "user_id", "left").select(*events.columns, part)

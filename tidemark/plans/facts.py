@@ -13,6 +13,8 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.sources.userlog import UserLog, fold_parts
+
 # Stage order and the events that mark them.
 STAGES = (
     ("signup", "account_created"),
@@ -69,8 +71,33 @@ def _chosen(flags: tuple[str, ...] | None, retention_days: tuple[int, ...], earl
     return marks if flags is None else {f: marks[f] for f in flags}
 
 
+def fact_columns(
+    retention_days: tuple[int, ...] = RETENTION_DAYS, early_day: int = EARLY_DAY, flags: tuple[str, ...] | None = None
+) -> list[Column]:
+    """The aggregates of events that make facts."""
+    name, day = F.col("event_name"), F.col("day_offset")
+    session = name == SESSION_EVENT
+    return [
+        F.bit_or(_bit_mask(_chosen(flags, retention_days, early_day))).alias("marks"),
+        F.count(F.lit(1)).alias("n_events"),
+        F.count_if(session).alias("session_count"),
+        F.count_if((day <= early_day) & session).alias("early_sessions"),
+        F.min(day).alias("first_event_day"),
+        F.max(day).alias("last_event_day"),
+        F.max("event_timestamp").alias("last_event_ts"),
+        F.max(F.when(name == "purchase_completed", day)).alias("purchase_day"),
+    ]
+
+
+#: How two states of a user's facts become one.
+MERGED_FACTS = {
+    "marks": F.bit_or, "n_events": F.sum, "session_count": F.sum, "early_sessions": F.sum,
+    "first_event_day": F.min, "last_event_day": F.max, "last_event_ts": F.max, "purchase_day": F.max,
+}
+
+
 def event_facts(
-    events: DataFrame,
+    events: DataFrame | UserLog,
     retention_days: tuple[int, ...] = RETENTION_DAYS,
     early_day: int = EARLY_DAY,
     flags: tuple[str, ...] | None = None,
@@ -80,24 +107,13 @@ def event_facts(
     ``flags`` limits the yes/no facts to those a single mart needs, so that the
     scan reads no other columns; unused counts and extremes are pruned anyway.
     """
-    bits = _bit_mask(_chosen(flags, retention_days, early_day))
-    name, day = F.col("event_name"), F.col("day_offset")
-    session = name == SESSION_EVENT
-    return events.groupBy("user_id").agg(
-        F.bit_or(bits).alias("marks"),
-        F.count(F.lit(1)).alias("n_events"),
-        F.count_if(session).alias("session_count"),
-        F.count_if((day <= early_day) & session).alias("early_sessions"),
-        F.min(day).alias("first_event_day"),
-        F.max(day).alias("last_event_day"),
-        F.max("event_timestamp").alias("last_event_ts"),
-        F.max(F.when(name == "purchase_completed", day)).alias("purchase_day"),
-    )
+    columns = fact_columns(retention_days, early_day, flags)
+    return fold_parts(events, lambda part: part.groupBy("user_id").agg(*columns))
 
 
 def user_facts(
     clean_users: DataFrame,
-    events: DataFrame,
+    events: DataFrame | UserLog,
     retention_days: tuple[int, ...] = RETENTION_DAYS,
     early_day: int = EARLY_DAY,
     flags: tuple[str, ...] | None = None,
@@ -106,9 +122,18 @@ def user_facts(
 
     ``events`` may be the raw log: the join keeps clean users only.
     """
-    joined = clean_users.select(*USER_COLUMNS).join(
-        event_facts(events, retention_days, early_day, flags), "user_id", "left"
-    )
+    return join_facts(clean_users, event_facts(events, retention_days, early_day, flags), retention_days, early_day, flags)
+
+
+def join_facts(
+    clean_users: DataFrame,
+    per_user: DataFrame,
+    retention_days: tuple[int, ...] = RETENTION_DAYS,
+    early_day: int = EARLY_DAY,
+    flags: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """Facts of every clean user from the folded log."""
+    joined = clean_users.select(*USER_COLUMNS).join(per_user, "user_id", "left")
     marks = F.coalesce(F.col("marks"), F.lit(0))
     flag_columns = [
         F.when(marks.bitwiseAND(F.lit(1 << i)) != 0, 1).otherwise(0).alias(mark)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.numeric import pct, round_to
+from tidemark.sources.userlog import UserLog, fold_parts
 
 TRIAL_EVENT = "trial_started"
 ACTIVE_EVENTS = ("session_start", "feature_used")
@@ -37,8 +38,40 @@ def _relative_mask(last_day: int) -> Column:
     return F.aggregate("blocks", F.lit(0).cast("long"), of_block)
 
 
+def block_columns() -> list[Column]:
+    """The aggregates of one user's events in one 64-day block: trials, and trial and active days as bits."""
+    name, day_bit = F.col("event_name"), F.expr(f"shiftleft(1L, pmod(day_offset, {BLOCK_DAYS}))")
+    return [
+        F.count_if(name == TRIAL_EVENT).alias("n_trials"),
+        F.bit_or(F.when(name == TRIAL_EVENT, day_bit)).alias("trial_bits"),
+        F.bit_or(F.when(name.isin(*ACTIVE_EVENTS), day_bit)).alias("active_bits"),
+    ]
+
+
+def block_number() -> Column:
+    return F.floor(F.col("day_offset") / BLOCK_DAYS).cast("int").alias("block")
+
+
+def user_blocks(events: DataFrame | UserLog) -> DataFrame:
+    """(user_id, n_trials, blocks) of every user with a trial or activity."""
+
+    def fold(part: DataFrame) -> DataFrame:
+        marked = part.filter(F.col("event_name").isin(TRIAL_EVENT, *ACTIVE_EVENTS))
+        return (
+            marked.groupBy("user_id", block_number())
+            .agg(*block_columns())
+            .groupBy("user_id")
+            .agg(
+                F.sum("n_trials").alias("n_trials"),
+                F.collect_list(F.struct("block", "trial_bits", "active_bits")).alias("blocks"),
+            )
+        )
+
+    return fold_parts(events, fold)
+
+
 def trial_dropoff_curve(
-    clean_users: DataFrame, events: DataFrame, last_day: int = LAST_TRIAL_DAY
+    clean_users: DataFrame, events: DataFrame | UserLog, last_day: int = LAST_TRIAL_DAY
 ) -> DataFrame:
     """Share of trials with activity on each day since the trial start.
 
@@ -51,26 +84,15 @@ def trial_dropoff_curve(
     A repeated trial adds to the denominator and each of its days can be
     matched; a user counts once per relative day.
     """
+    return curve_of_blocks(clean_users, user_blocks(events), last_day)
+
+
+def curve_of_blocks(clean_users: DataFrame, folded: DataFrame, last_day: int = LAST_TRIAL_DAY) -> DataFrame:
+    """The curve from the folded log."""
     if not 0 <= last_day < BLOCK_DAYS - 1:
         raise ValueError(f"the curve ends before day {BLOCK_DAYS - 1}")
-    name, day = F.col("event_name"), F.col("day_offset")
-    day_bit = F.expr(f"shiftleft(1L, pmod(day_offset, {BLOCK_DAYS}))")
-    user_blocks = (
-        events.filter(name.isin(TRIAL_EVENT, *ACTIVE_EVENTS))
-        .groupBy("user_id", F.floor(day / BLOCK_DAYS).cast("int").alias("block"))
-        .agg(
-            F.count_if(name == TRIAL_EVENT).alias("n_trials"),
-            F.bit_or(F.when(name == TRIAL_EVENT, day_bit)).alias("trial_bits"),
-            F.bit_or(F.when(name.isin(*ACTIVE_EVENTS), day_bit)).alias("active_bits"),
-        )
-    )
     trial_users = (
-        user_blocks.groupBy("user_id")
-        .agg(
-            F.sum("n_trials").alias("n_trials"),
-            F.collect_list(F.struct("block", "trial_bits", "active_bits")).alias("blocks"),
-        )
-        .filter(F.col("n_trials") > 0)
+        folded.filter(F.col("n_trials") > 0)
         .join(clean_users.select("user_id"), "user_id", "left_semi")
         .select("n_trials", _relative_mask(last_day).alias("seen"))
     )
