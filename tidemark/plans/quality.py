@@ -46,6 +46,11 @@ def required_values(name: str, df: DataFrame, columns: list[str]) -> DataFrame:
     return _violations(name, df, reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns]))
 
 
+def none_quarantined(name: str, quarantined: DataFrame) -> DataFrame:
+    """Lines of an input that didn't fit its schema."""
+    return _row(name, quarantined.agg(F.count(F.lit(1)).alias("n_bad")))
+
+
 def bots_removed(flagged: DataFrame) -> DataFrame:
     """Fails unless the filter removed at least one user."""
     return _row("clean_users_fewer_than_raw", flagged.agg((F.count_if("is_suspected_bot") == 0).cast("int").alias("n_bad")))
@@ -145,3 +150,7 @@ def present(name: str, df: DataFrame, expected: list[str]) -> DataFrame:
 def quality_report(checks: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
+
+def failed(report: DataFrame) -> list[tuple[str, int]]:
+    """(check, n_bad) of the checks that didn't pass; a report has a row a check."""
+    return [(row["check"], row["n_bad"]) for row in report.filter(~F.col("passed")).orderBy("check").collect()]
