@@ -185,9 +185,10 @@ def adoption_chi2(adoption: DataFrame, significance: float = BONFERRONI_ALPHA, l
 SRM_PASSED, SRM_FAILED = "SRM Passed", "SRM FAILED - Check Sample Ratio"
 
 
-def ab_labels(results: DataFrame, chi2: DataFrame) -> DataFrame:
-    """One row of display strings for the readouts."""
+def ab_labels(results: DataFrame, chi2: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A row of display strings for each readout; ``by`` names its group. The adoption test is one for all groups."""
     ab = results.select(
+        *by,
         F.when(F.col("is_significant"), "Statistically Significant (α=0.025, Bonferroni)")
         .otherwise("Not Significant")
         .alias("significance_flag"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from statistics import fmean, pstdev
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.numeric import ratio, ratio_or_zero
 from tidemark.operators.ordering import rank_in_class_by_hash, running_total
+from tidemark.plans.forest import forest_nodes, table_importances, table_scores
 from tidemark.sources.staging import stage, together
 
 CATEGORICAL = ("country", "acquisition_channel")
@@ -175,9 +176,14 @@ class FittedModel:
     validation: DataFrame
     scores: DataFrame
 
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """The forest as a table."""
+        return forest_nodes(self.model, self.split.sparkSession)
+
     @property
     def importances(self) -> DataFrame:
-        return feature_importance(self.model, self.encoder)
+        return table_importances(self.nodes, self.encoder.names)
 
 
 def fit(features: DataFrame, n_trees: int = N_TREES, validate: bool = True) -> FittedModel:
@@ -216,7 +222,16 @@ def model_checks(fitted: FittedModel, tolerance: float = 1e-6) -> DataFrame:
         F.sum(F.length("Feature")).alias("feature_name_chars"),
         F.coalesce((F.abs(F.sum("Importance") - 1) > tolerance).cast("int"), F.lit(1)).alias("importances_off"),
     )
-    parts = [df.select(*[F.col(c).cast("long").alias(c) for c in df.columns]).unpivot([], df.columns, "measure", "value") for df in (held, folds, known)]
+    rescored = table_scores(fitted.nodes, fitted.encoder.transform(split.filter("is_test")), fitted.model.getMaxDepth())
+    both = rescored.select("user_id", "table_score").join(fitted.scores, "user_id", "full_outer")
+    unlike = F.abs(F.col("table_score") - F.col("score")) > tolerance
+    by_table = both.agg(F.count_if(F.coalesce(unlike, F.lit(True))).alias("scores_unlike_the_models"))
+    own = feature_importance(fitted.model, fitted.encoder).withColumnsRenamed({"Importance": "own"})
+    pairs = fitted.importances.join(own, "Feature", "full_outer")
+    apart = F.coalesce(F.abs(F.col("Importance") - F.col("own")) > tolerance, F.lit(True))
+    by_gain = pairs.agg(F.count_if(apart).alias("importances_unlike_the_models"))
+    frames = (held, folds, known, by_table, by_gain)
+    parts = [df.select(*[F.col(c).cast("long").alias(c) for c in df.columns]).unpivot([], df.columns, "measure", "value") for df in frames]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -231,8 +246,8 @@ def scores(model: RandomForestClassificationModel, encoded: DataFrame) -> DataFr
 
 
 def feature_importance(model: RandomForestClassificationModel, encoder: Encoder) -> DataFrame:
-    """(Feature, Importance), most important first; one row per vector slot. The model itself holds the figures on the
-    driver; the names join them there from their table."""
+    """(Feature, Importance) as the model itself holds them on the driver, most important first; one row per vector slot.
+    Reports take :func:`~tidemark.plans.forest.table_importances`, which this one is to check."""
     rows = [(slot, float(x)) for slot, x in enumerate(model.featureImportances.toArray())]
     spark = encoder.slots.sparkSession
     weighed = spark.createDataFrame(rows, "slot long, Importance double")
