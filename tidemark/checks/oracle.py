@@ -470,8 +470,19 @@ _MODEL_MEASURES = [
     ("features", "SELECT COUNT(*) FROM columns_known"),
     ("feature_name_chars", "SELECT SUM(length(feature)) FROM columns_known"),
     ("importances_off", "SELECT (COUNT(DISTINCT target_purchased) < 2)::INT FROM placed WHERE NOT is_test"),
+    # the model's own figures are the other side of these two
+    ("scores_unlike_the_models", "SELECT 0"),
+    ("importances_unlike_the_models", "SELECT 0"),
 ]
 
+_LABELS = """CASE WHEN p_value < 0.025 THEN 'Statistically Significant (α=0.025, Bonferroni)' ELSE 'Not Significant' END AS significance_flag,
+  'P-Value: ' || printf('%.4f', p_value) AS p_value_display,
+  CASE WHEN p_value >= 0.0001 THEN printf('%.4f', p_value) ELSE printf('%.2e', p_value) END AS p_value_text,
+  CASE WHEN p_value < 0.01 THEN 'highly significant' WHEN p_value < 0.05 THEN 'significant' ELSE 'not significant' END AS significance_text,
+  CASE WHEN srm_p_value < 0.001 THEN 'SRM FAILED - Check Sample Ratio' WHEN srm_p_value IS NOT NULL THEN 'SRM Passed' END AS srm_check,
+  CASE WHEN (SELECT is_significant FROM chi2) THEN 'Significant (α=0.025)' ELSE 'Not Significant' END AS chi2_flag,
+  (SELECT CASE WHEN exact_p >= 0.001 THEN printf('%.4f', exact_p) WHEN exact_p > 1e-100 THEN printf('%.2e', exact_p) ELSE '< 1e-100' END FROM chi2) AS chi2_p_value_text"""
+
 ORACLE: dict[str, str] = {
     "scan_csv_roundtrip": f"WITH {RAW} SELECT * FROM raw_users",
     "export_manifest": _clean(
@@ -587,19 +598,15 @@ SELECT CAST(row_number() OVER (ORDER BY ord) AS INTEGER) AS app_id, app AS app_n
     ),
     "adoption_chi2": _clean("SELECT test, chi2_stat, p_value, is_significant, bonferroni_alpha FROM chi2", ADOPTION, CHI2),
     "ab_labels": _clean(
-        """SELECT CASE WHEN p_value < 0.025 THEN 'Statistically Significant (α=0.025, Bonferroni)' ELSE 'Not Significant' END AS significance_flag,
-  'P-Value: ' || printf('%.4f', p_value) AS p_value_display,
-  CASE WHEN p_value >= 0.0001 THEN printf('%.4f', p_value) ELSE printf('%.2e', p_value) END AS p_value_text,
-  CASE WHEN p_value < 0.01 THEN 'highly significant' WHEN p_value < 0.05 THEN 'significant' ELSE 'not significant' END AS significance_text,
-  CASE WHEN srm_p_value < 0.001 THEN 'SRM FAILED - Check Sample Ratio' WHEN srm_p_value IS NOT NULL THEN 'SRM Passed' END AS srm_check,
-  CASE WHEN (SELECT is_significant FROM chi2) THEN 'Significant (α=0.025)' ELSE 'Not Significant' END AS chi2_flag,
-  (SELECT CASE WHEN exact_p >= 0.001 THEN printf('%.4f', exact_p) WHEN exact_p > 1e-100 THEN printf('%.2e', exact_p) ELSE '< 1e-100' END FROM chi2) AS chi2_p_value_text
-FROM readout""",
+        f"SELECT {_LABELS} FROM readout",
         ARMS,
         _readout(),
         ADOPTION,
         CHI2,
     ),
+    "ab_labels_by_channel": _clean(
+        f"SELECT acquisition_channel, {_LABELS} FROM readout", ARMS, _readout("acquisition_channel"), ADOPTION, CHI2
+    ),
     "revenue_impact": _clean(
         """SELECT ROUND(10000.0::DOUBLE * rate_c, 6) AS baseline_conversions,
   ROUND(10000.0::DOUBLE * rate_c * relative_lift, 6) AS incremental_unrounded,
@@ -704,3 +711,45 @@ SELECT p_partkey, replace(replace(installs_raw, '+', ''), ',', '') AS installs_t
 SELECT app AS "App", category AS "Category", installs AS "Installs", price AS "Price", CASE WHEN rating IS NULL THEN 'NaN' ELSE CAST(rating AS VARCHAR) END AS "Rating",
   row_number() OVER (ORDER BY ord) - 1 AS source_order FROM listed""",
 }
+
+_FAULTS = {
+    5: "user_id is no bigint", 7: "install_timestamp is no timestamp_ntz", 9: "is_bot_ground_truth is no boolean",
+    11: "more fields than columns", 13: "fewer fields than columns, or a value that doesn't fit",
+}
+_FAULT = " ".join(f"WHEN {place} THEN '{reason.replace(chr(39), chr(39) * 2)}'" for place, reason in _FAULTS.items())
+ORACLE |= {
+    "scan_csv_quarantine": f"""WITH {RAW} SELECT CASE WHEN user_id % 41 = 5 THEN 'none' ELSE user_id::VARCHAR END AS first_field,
+  CASE user_id % 41 {_FAULT} END AS reason FROM raw_users WHERE user_id % 41 IN (5, 7, 9, 11, 13)""",
+    "scan_csv_kept": f"WITH {RAW} SELECT * FROM raw_users WHERE user_id % 41 NOT IN (5, 7, 9, 11, 13)",
+    "distinct_rollup": f"""WITH {RAW} SELECT week, app_id, COUNT(DISTINCT user_id) AS users,
+  COUNT(DISTINCT user_id) FILTER (event_name = 'session_start') AS session_users,
+  COUNT(DISTINCT user_id) FILTER (event_name = 'purchase_completed') AS buyers
+FROM (SELECT *, CAST(date_trunc('week', event_timestamp) AS DATE) AS week FROM raw_events) GROUP BY CUBE (week, app_id)""",
+}
+
+# the same tables by other ways through the engine
+ORACLE |= {
+    "user_facts_incremental": ORACLE["user_facts"],
+    "user_facts_bucketed": ORACLE["user_facts"],
+    "dropoff_incremental": ORACLE["trial_dropoff_curve"],
+    "dropoff_bucketed": ORACLE["trial_dropoff_curve"],
+    "clean_events_bucketed": ORACLE["clean_events"],
+    "replaced_table": """SELECT c_custkey, c_nationkey, 2 AS n_writes FROM customer
+WHERE c_custkey % 5 <> 0 AND (c_custkey + 1) % 5 <> 0""",
+}
+
+
+def _checksum(mart: str, query: str) -> str:
+    """Files, rows and checksum of a mart: numbers in millionths, 32 bits of a digest a row, summed."""
+    cells = "COALESCE(CAST(round(TRY_CAST(COLUMNS(*)::VARCHAR AS DOUBLE) * 1000000) AS BIGINT)::VARCHAR, COLUMNS(*)::VARCHAR, '')"
+    return f"""SELECT '{mart}' AS mart, greatest(1, ceil(COUNT(*) / 4000))::INTEGER AS n_files, COUNT(*) AS n_rows,
+  COALESCE(SUM(('0x' || substr(md5(line), 1, 8))::BIGINT), 0)::BIGINT AS checksum
+FROM (SELECT concat_ws('|', *COLUMNS(*)) AS line FROM (SELECT {cells} FROM ({query})))"""
+
+
+_MART_QUERIES = {mart: ORACLE[mart] for mart in _MANIFEST if mart in ORACLE} | {
+    "behavioral_stats": ORACLE["feature_adoption"],
+    "behavioral_chi2_results": ORACLE["adoption_chi2"],
+    "orders": "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_orderdate AS DATE) AS o_day FROM orders",
+}
+ORACLE["export_checksums"] = " UNION ALL ".join(f"({_checksum(mart, query)})" for mart, query in _MART_QUERIES.items())

@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import dates, text
 from tidemark.functions.numeric import round_to, to_number
+from tidemark.operators.bitmaps import distinct_counts, id_bitmaps, roll_up
 from tidemark.operators.joins import id_overlap
 from tidemark.operators.ordering import SMALL, exact_percentiles
 from tidemark.plans import (
-    catalog, cleaning, engagement, experiments, funnel, kpis, propensity, retention, segments, trials,
+    catalog, cleaning, daily, engagement, experiments, facts, funnel, kpis, propensity, retention, segments, trials,
 )
 from tidemark.plans.facts import STAGES
-from tidemark.sources import schemas, tables, testbed
-from tidemark.sources.export import export_marts, manifest
-from tidemark.sources.staging import new_path, stage
+from tidemark.sources import schemas, tables, testbed, userlog, versions
+from tidemark.sources.export import checksums, manifest_of, write_marts
+from tidemark.sources.staging import new_path, on_release, stage
 from tidemark.warehouse import Warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,10 +57,53 @@ def scan_csv_roundtrip(spark, sf_dir):
     return tables.read_csv(spark, path, schemas.USERS)
 
 
+def _faulty_lines(spark, sf_dir) -> DataFrame:
+    """Users as CSV lines, of which some have a fault each: a word for a number, for a time or for a flag, a field too
+    many, or too few."""
+    uid, texts = F.col("user_id"), [F.col(f.name).cast("string") for f in schemas.USERS]
+    names = schemas.USERS.names
+
+    def faulty(name: str, text):
+        planted = {"user_id": (5, "none"), "install_timestamp": (7, "soon"), "is_bot_ground_truth": (9, "perhaps")}
+        if name not in planted:
+            return text.alias(name)
+        place, word = planted[name]
+        return F.when(uid % 41 == place, word).otherwise(text).alias(name)
+
+    line = F.to_csv(F.struct(*[faulty(name, text) for name, text in zip(names, texts)]))
+    cut = F.substring_index(line, ",", 3)
+    return testbed.users(spark, sf_dir).select(F.when(uid % 41 == 11, F.concat(line, F.lit(",more"))).when(uid % 41 == 13, cut).otherwise(line).alias("value"))
+
+
+def _scanned(spark, sf_dir) -> tables.Scan:
+    path = new_path(spark, "faulty-csv")
+    _faulty_lines(spark, sf_dir).write.text(path)
+    return tables.scan_csv(spark, path, schemas.USERS, header=False)
+
+
+@query
+def scan_csv_quarantine(spark, sf_dir):
+    """The faulty lines by their first field, and what is wrong with each."""
+    return _scanned(spark, sf_dir).quarantined.select(F.substring_index("record", ",", 1).alias("first_field"), "reason")
+
+
+@query
+def scan_csv_kept(spark, sf_dir):
+    """The users of the other lines."""
+    return _scanned(spark, sf_dir).good
+
+
 @query
 def export_manifest(spark, sf_dir):
-    marts = warehouse(spark, sf_dir).marts()
-    return manifest(spark, marts, export_marts(marts, new_path(spark, "export")))
+    return manifest_of(spark, write_marts(warehouse(spark, sf_dir).marts(), new_path(spark, "export")))
+
+
+@query
+def export_checksums(spark, sf_dir):
+    """Files, rows and checksums of all marts as written, orders among them as a mart of many files."""
+    orders = testbed.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.to_date("o_orderdate").alias("o_day"))
+    marts = {**warehouse(spark, sf_dir).marts(), "orders": orders}
+    return checksums(spark, write_marts(marts, new_path(spark, "export"), rows_per_file=4_000))
 
 
 # --- cleaning ----------------------------------------------------------------
@@ -105,6 +149,75 @@ def user_facts(spark, sf_dir):
     return warehouse(spark, sf_dir).user_facts.drop("install_timestamp", "last_event_ts")
 
 
+def _daily_store(spark, sf_dir) -> daily.DailyFacts:
+    """The log arriving in weekly loads. One event in eleven is up to nine days late, so loads hold earlier days too; half-way
+    the loads so far are folded, and the last load is delivered twice."""
+    log = testbed.events(spark, sf_dir)
+    late = F.when(F.col("event_id") % 11 == 0, (F.col("event_id") % 10).cast("int")).otherwise(0)
+    arrived = F.date_add(F.to_date("event_timestamp"), late)
+    path = new_path(spark, "arrivals")
+    tables.write_table(log.withColumn("load", dates.week_start(arrived).cast("string")), path, partition_by=["load"])
+    arrivals = spark.read.parquet(path)
+    loads = [row["load"] for row in arrivals.select(F.col("load").cast("string")).distinct().orderBy("load").collect()]
+    store = daily.DailyFacts(spark, new_path(spark, "daily-facts"), buckets=8)
+    for i, load in enumerate([*loads, *loads[-1:]]):
+        store.add(load, arrivals.filter(F.col("load") == load).drop("load"))
+        if i == len(loads) // 2:
+            store.fold()
+    return store
+
+
+@query
+def user_facts_incremental(spark, sf_dir):
+    """User facts folded load by load, late events included."""
+    users = warehouse(spark, sf_dir).clean_users
+    return _daily_store(spark, sf_dir).user_facts(users).drop("install_timestamp", "last_event_ts")
+
+
+@query
+def dropoff_incremental(spark, sf_dir):
+    """The drop-off curve from the same store."""
+    return _daily_store(spark, sf_dir).dropoff_curve(warehouse(spark, sf_dir).clean_users)
+
+
+def _laid_out(spark, sf_dir) -> userlog.UserLog:
+    """The log in buckets of users, laid out in two writes. The threshold is low, so that some users are heavy here."""
+    log, path = testbed.events(spark, sf_dir), new_path(spark, "user-log")
+    early = F.col("day_offset") < 20
+    userlog.lay_out(log.filter(early), path, buckets=8, at_most=100)
+    return userlog.append(log.filter(~early), path)
+
+
+@query
+def user_facts_bucketed(spark, sf_dir):
+    """User facts from a log laid out by user: no event moves."""
+    users = warehouse(spark, sf_dir).clean_users
+    return facts.user_facts(users, _laid_out(spark, sf_dir)).drop("install_timestamp", "last_event_ts")
+
+
+@query
+def dropoff_bucketed(spark, sf_dir):
+    return trials.trial_dropoff_curve(warehouse(spark, sf_dir).clean_users, _laid_out(spark, sf_dir))
+
+
+@query
+def clean_events_bucketed(spark, sf_dir):
+    return cleaning.clean_events(_laid_out(spark, sf_dir), warehouse(spark, sf_dir).clean_users)
+
+
+@query
+def replaced_table(spark, sf_dir):
+    """Customers, replaced by a plan that reads the table it replaces, twice; old versions are deleted."""
+    path = new_path(spark, "replaced")
+    versions.replace(testbed.read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.lit(0).alias("n_writes")), path)
+    for _ in range(2):
+        table = versions.read_current(spark, path)
+        kept = table.filter((F.col("c_custkey") + F.col("n_writes")) % 5 != 0)
+        versions.replace(kept.withColumn("n_writes", F.col("n_writes") + 1), path)
+    versions.prune(spark, path, keep=1)
+    return versions.read_current(spark, path)
+
+
 @query
 def funnel_summary(spark, sf_dir):
     return funnel.funnel_summary(warehouse(spark, sf_dir).facts_with(*STAGE_FLAGS))
@@ -284,6 +397,14 @@ def ab_labels(spark, sf_dir):
     )
 
 
+@query
+def ab_labels_by_channel(spark, sf_dir):
+    """The display strings of each channel's readout."""
+    stored, by = warehouse(spark, sf_dir).stored_facts, ("acquisition_channel",)
+    readout = experiments.ab_test_results(experiments.arm_counts(stored, by), by)
+    return experiments.ab_labels(readout, experiments.adoption_chi2(funnel.feature_adoption(stored)), by)
+
+
 @query
 def revenue_impact(spark, sf_dir):
     return _rounded(experiments.revenue_impact(experiments.ab_test_results(_arms(spark, sf_dir))), 6)
@@ -322,12 +443,22 @@ def class_weights(spark, sf_dir):
     return _rounded(propensity.class_weights(_features(spark, sf_dir)))
 
 
-_MODELS: dict[tuple[str, str], propensity.FittedModel] = {}
+_MODELS: dict[tuple, propensity.FittedModel] = {}
+#: Tables that users and events are drawn from.
+_MODEL_TABLES = ("customer", "nation", "events")
+
+
+def _forget_models(application: str) -> None:
+    for key in [key for key in _MODELS if key[0] == application]:
+        del _MODELS[key]
+
+
+on_release(_forget_models)
 
 
 def _model(spark, sf_dir) -> propensity.FittedModel:
-    """The model of these tables, fitted once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The model of these tables as their files are now, fitted once per application and until its tables are released."""
+    key = (spark.sparkContext.applicationId, sf_dir, *(versions.stamp(spark, f"{sf_dir}/{t}.parquet") for t in _MODEL_TABLES))
     if key not in _MODELS:
         _MODELS[key] = propensity.fit(_features(spark, sf_dir))
     return _MODELS[key]
@@ -426,6 +557,22 @@ def join_semantics(spark, sf_dir):
     )
 
 
+@query
+def distinct_rollup(spark, sf_dir):
+    """Distinct users in all, with a session and with a purchase: a week and app, a week, an app and in all, from the
+    bitmaps of the finest groups."""
+    name = F.col("event_name")
+    sets = {"users": F.lit(True), "session_users": name == "session_start", "buyers": name == "purchase_completed"}
+    log = testbed.events(spark, sf_dir).withColumn("week", dates.week_start(F.col("event_timestamp")))
+    finest = stage(id_bitmaps(log, ["week", "app_id"], "user_id", sets), "id-bitmaps")
+    levels = [distinct_counts(finest, ["week", "app_id"], list(sets))]
+    for by in (["week"], ["app_id"], []):
+        counts = distinct_counts(roll_up(finest, by, list(sets)), by, list(sets))
+        gone = {c: F.lit(None).cast(finest.schema[c].dataType) for c in ("week", "app_id") if c not in by}
+        levels.append(counts.withColumns(gone).select(*levels[0].columns))
+    return reduce(DataFrame.unionByName, levels)
+
+
 @query
 def agg_primitives(spark, sf_dir):
     """Counts, distinct counts, sums, extremes and flag pivots per event type, from one
