@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import itertools
 import re
+import time
 
 import pytest
 
-from tidemark.llm.licenses import PHRASES, gates, rules, scan, spelled
+from tidemark.llm.licenses import CONFIDENCE, PHRASE_SCORE, PHRASES, gates, rules, scan, spelled
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -119,3 +121,53 @@ def test_odd_documents(odd_docs, make_docs, crowded):
     assert len(rows) == docs.count()
     assert all(tuple(r[c] for c in BASE) == plain(texts[r["doc_id"]]) for r in rows if r["doc_id"] is not None)
     assert scan(make_docs()).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the", "mit"),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that", "bsd"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that", "isc"),
+        ("GPLv3", "gpl-3.0"), ("GPLv2+", "gpl-2.0"), ("LGPLv2.1", "lgpl-2.1"), ("http://www.apache.org/licenses/LICENSE-2.0", "apache-2.0"), ("BSD license", "bsd"),
+        ("license: MIT", "mit"), ('"license": "ISC",', "isc"), ("The Unlicense", "unlicense"), ("MIT and Apache 2.0 licenses", "apache-2.0,mit"),
+        ("https://www.gnu.org/licenses/gpl-3.0.html", "gpl-3.0"), ("licensed under CC0 1.0", "cc0-1.0"), ("Die Lizenz mit Bedingungen", ""), ("a gplx and license mitten", ""),
+        ("the MİT LICENSE", ""), ("THE MIT LICENSE É", "mit"),
+    ],
+)
+def test_signatures(make_docs, text, labels):
+    assert scan(make_docs((1, text))).first()["labels"] == labels
+
+
+def walked(text):
+    """Labels and score by trying each rule at each word, then suppressing what a place of its or a higher priority contains."""
+    words = f" {' '.join(WORD.findall(re.sub('[A-Z]', lambda m: m[0].lower(), text or '')))} "
+    places = []
+    for rule in rules():
+        for m in re.finditer(f"(?<= )(?:{rule.regex})(?= )", words):
+            places.append((*m.span(), rule.priority, rule.label))
+    kept = []
+    for place in places:
+        start, end, priority, label = place
+        inside = [p for p in places if p != place and p[0] <= start and end <= p[1] and p[2] >= priority]
+        if not any(p[:2] != (start, end) or p[2] > priority or p[3] < label for p in inside):
+            kept.append(place)
+    base = plain(text)[4]
+    scores = [CONFIDENCE[p[2]] for p in kept] + [PHRASE_SCORE] * bool(base)
+    return ",".join(sorted({p[3] for p in kept} | set(filter(None, base.split(","))))), max(scores, default=0.0)
+
+
+def test_labels_and_score_equal_a_walk_of_the_rules(spark, make_docs):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    texts = [t for t in texts if t and "icen" in t][:400]
+    texts += [f"{a} {b}, {a}" for a, b in itertools.permutations(["MIT license", "GNU GPL version 3", "Apache License 2.0", "CC BY 4.0", "BSD style license", "licensed under the MIT license"], 2)]
+    rows = {r["doc_id"]: (r["labels"], r["score"]) for r in scan(make_docs(*enumerate(texts))).collect()}
+    assert rows == {n: walked(text) for n, text in enumerate(texts)}
+
+
+def test_many_places_of_one_text(make_docs):
+    began = time.perf_counter()
+    row = scan(make_docs((1, "all rights reserved, " * 30_000 + "MIT license"))).first()
+    assert len(row["detections"]) == 30_001 and row["labels"] == "all-rights-reserved,mit" and row["last_word"] == 90_000
+    assert [d["start"] for d in row["detections"]] == sorted(d["start"] for d in row["detections"])
+    assert time.perf_counter() - began < 120
