@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.numeric import ratio, ratio_or_zero
+from tidemark.operators.joins import salted_left_join
 from tidemark.operators.ordering import rank_in_class_by_hash, running_total
 from tidemark.plans.forest import forest_nodes, table_importances, table_scores
 from tidemark.sources.staging import stage, together
@@ -101,7 +102,8 @@ class Encoder:
                 continue
             its = self.slots.filter(F.col("column") == column).select(F.col("value").alias(column), F.col("slot").alias("_slot"))
             # a number beyond the last slot is unseen, and encoded as all zeros
-            numbered = df.join(its, column, "left").withColumn(f"_{column}", F.coalesce("_slot", F.lit(width)).cast("double")).drop("_slot")
+            # a category may be very frequent, or missing in many rows
+            numbered = salted_left_join(df, its, column, F.col("user_id")).withColumn(f"_{column}", F.coalesce("_slot", F.lit(width)).cast("double")).drop("_slot")
             encoder = OneHotEncoder(inputCol=f"_{column}", outputCol=f"_{column}_slots", handleInvalid="keep")
             df = encoder.fit(spark.range(1).select(F.lit(float(width - 1)).alias(f"_{column}"))).transform(numbered)
             pieces.append(f"_{column}_slots")
