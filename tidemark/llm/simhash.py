@@ -237,7 +237,8 @@ def one_of_each_group(
     gone = F.struct("doc_id", "row") != F.col("stays")
     told = rows.filter(gone | (F.col("n") > 1)).select(F.col("doc_id").alias("told id"), F.col("row").alias("told row"), gone.alias("told gone"))
     told = stage(told, "simhash-told")
-    met = known.join(told, (known[id_col].cast("long") == told["told id"]) & (row_hash == told["told row"]), "left")
+    # what goes grows with the table: by key at every size, the told rows hashed
+    met = known.join(told.hint("shuffle_hash"), (known[id_col].cast("long") == told["told id"]) & (row_hash == told["told row"]), "left")
     once = met.filter(F.col("told gone").isNull()).select(*(known[c] for c in docs.columns))
     repeated = met.filter(~F.col("told gone")).select(*(known[c] for c in docs.columns)).distinct()  # equal rows meet before they move
     return once.unionAll(repeated).unionAll(docs.filter(docs[id_col].isNull()))
