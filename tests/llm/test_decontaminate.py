@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from hypothesis import given
@@ -72,6 +73,63 @@ def test_hits_equal_brute_force(spark, sf_dir):
     assert kept == set(texts) - {r["doc_id"] for r in found}
 
 
+def template_items(count, seed=3):
+    """Items that begin with the same 80 letters."""
+    rng = random.Random(seed)
+    head = "read the following passage with care and answer the question at the end of it : "
+    return [(n, head + " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(25))) for n in range(count)], head
+
+
+def slow_hits(matcher, text):
+    """(item, edits) of all items within their budget, by the distance alone."""
+    text, found = normalised(text), {}
+    for n, (item_id, item) in enumerate(matcher.items):
+        match = best_match(letter_masks(item), len(item), text, matcher.errors[n])
+        if match:
+            found[item_id] = match[0]
+    return found
+
+
+def test_items_with_one_beginning_cost_little_and_lose_nothing():
+    items, head = template_items(2000)
+    matcher, rng = Matcher(items, 0.06), random.Random(5)
+    for planted in ([], [7], [11, 1200]):
+        text = (head + "some other words stand here instead . ") * 5
+        text += " ".join(edited(items[n][1], matcher.errors[n] // 2, rng) for n in planted)
+        began = time.perf_counter()
+        found = {item_id: edits for item_id, edits, *_ in matcher.find(text)}
+        assert time.perf_counter() - began < 0.5  # about 0.03 alone; 5 without the bound
+        assert found == slow_hits(matcher, text) and set(planted) == set(found)
+
+
+def test_long_text_of_common_pieces():
+    items, head = template_items(200)
+    text = (head + "nothing of them . ") * 10_000 + items[150][1]
+    began = time.perf_counter()
+    assert [hit[:2] for hit in Matcher(items, 0.06).find(text)] == [(150, 0)]
+    assert time.perf_counter() - began < 60
+
+
+@given(st.lists(st.text("ab ", min_size=20, max_size=90), min_size=1, max_size=12), st.text("ab ", max_size=300))
+def test_counting_first_changes_nothing(texts, document):
+    items = [(n, text) for n, text in enumerate(dict.fromkeys(map(normalised, texts))) if text]
+    matcher = Matcher(items, 0.2)
+    loose = Matcher(items, 0.2)
+    loose._promising = lambda text, item, low, high: item >= 0
+    for text in (document, document + items[0][1] + document if items else document):
+        assert matcher.find(text) == loose.find(text)
+
+
+def test_one_part_at_a_time(spark, make_docs):
+    items, _ = template_items(40)  # some seven parts
+    docs = spark.createDataFrame([(n, text if n % 4 == 0 else f"clean {n}") for n, text in items], "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    kept = without_benchmark(docs, items, part_chars=1500)
+    assert kept._jdf.queryExecution().toString().count("MapInArrow") <= 4  # one node in each of the four forms of the plan
+    assert {r["doc_id"] for r in kept.collect()} == {n for n in range(40) if n % 4}
+    assert {(r["doc_id"], r["item_id"]) for r in benchmark_hits(docs, items, part_chars=1500).collect()} == {(n, n) for n in range(0, 40, 4)}
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None), (1, ""), (2, "  ")]])
 def test_nothing_to_match(spark, odd_docs, rows):
     items = spark.createDataFrame(rows, "item_id long, text string")
