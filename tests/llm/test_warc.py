@@ -5,8 +5,9 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm.warc import PAGE_FIELD, archived, deduplicate_archives, from_pages, parse, read_archives, with_targets, write_archives
+from tidemark.llm.warc import PAGE_FIELD, archived, deduplicate_archives, from_pages, parse, read_archives, resolved, with_targets, write_archives
 
 SCHEMA = "page_id long, url string, html string"
 PAGES = [
@@ -56,6 +57,28 @@ def test_whole_table(spark, sf_dir):
     assert found(archived(pages)) == expected([tuple(r) for r in pages.collect()])
 
 
+def test_many_rows_without_page(spark, shared):
+    pages = spark.range(3000).selectExpr("CAST(NULL AS LONG) page_id", "IF(id % 3 = 0, NULL, concat('u', id % 7)) url", "'common' html")
+    write_archives(from_pages(pages.repartition(5)), f"{shared}/a")
+    records = read_archives(spark, f"{shared}/a").collect()
+    assert len(records) == len({r["record_id"] for r in records}) == 3000
+    (kept,) = (r for r in records if r["record_type"] == "response")
+    assert kept["url"] is None and {r["refers_to"] for r in records} == {None, kept["record_id"]}
+    plan = resolved(from_pages(pages))._jdf.queryExecution().toString()
+    assert "Window" not in plan
+
+
+def test_revisits_name_address_and_date_of_their_original(spark, shared):
+    write_archives(from_pages(spark.createDataFrame(PAGES[:3], SCHEMA)), f"{shared}/a", date="2024-05-06T07:08:09Z")
+    lines = spark.read.option("lineSep", "\n").text(f"{shared}/a").select(F.col("value").cast("binary")).collect()
+    fields = {f["warc-target-uri"]: f for f, _ in parse(bytes(r[0]) for r in lines)}
+    for url in ("http://a/", "http://c/"):
+        assert fields[url]["warc-refers-to"] == fields["http://b/"]["warc-record-id"]
+        assert fields[url]["warc-refers-to-target-uri"] == "http://b/"
+        assert fields[url]["warc-refers-to-date"] == fields["http://b/"]["warc-date"] == "2024-05-06T07:08:09Z"
+    assert "warc-refers-to-target-uri" not in fields["http://b/"]
+
+
 def test_small_payloads_are_kept(spark, shared):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], SCHEMA)
     kinds = {r["page_id"]: r["record_type"] for r in archived(pages, f"{shared}/a", min_bytes=3).collect()}

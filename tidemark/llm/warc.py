@@ -5,12 +5,14 @@ into gzip files, so any file system Spark knows will do. Reading takes the files
 stream, by each record's own Content-Length.
 
 Revisit resolution shuffles headers by payload digest, without payloads: of the records of a digest the one with the
-largest page_id is the original. Its identity goes back to the records, by digest and page_id, and the archive is
-written with fresh headers, responses with and revisits without their payload. After reading, revisits are joined to the
-responses they refer to.
+largest page_id is the original. Its identity goes back to the headers by digest, and the archive is written with fresh
+headers, responses with and revisits without their payload; a revisit also names the address and date of its original.
+After reading, revisits are joined to the responses they refer to.
 
-Scale: copies of one payload are aggregated before the shuffle, joins are plain and split by adaptive execution where a
-payload is frequent; a gzip file, which can't be split, holds at most ``FILE_RECORDS`` records.
+Scale: headers are numbered where they are read and stored without payloads, so that even repeated rows and rows without
+a page_id are told apart with no window. Payloads cross the network once, copies as one row for each task, and take part
+in no join. Joins of headers are plain and split by adaptive execution where a payload is frequent; a gzip file, which
+can't be split, holds at most ``FILE_RECORDS`` records.
 
 Nulls and ties: a null payload counts as empty. A null page_id is smaller than any other and is written without the
 page's field. Of several records with the largest page_id of a payload, the one of the smallest url is the original.
@@ -24,7 +26,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import arrow_map, batch
@@ -62,33 +64,35 @@ def _record_id(page: Column, nth: Column, digest: Column) -> Column:
 NO_PAGE = -(1 << 63)
 
 
-def repeated_payloads(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(digest, original) for payloads of several records, from (digest, page, payload_bytes, has_payload): the page that
-    keeps the payload; null if none of the records has it."""
-    large = headers.filter(F.col("payload_bytes") >= min_bytes)
-    seen = large.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.when(F.col("has_payload"), F.col("page"))).alias("original"))
-    return seen.filter("n > 1").select("digest", "original")
-
-
 def resolved(records: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Adds record_id, record_type and refers_to to (page_id, url, payload, digest, payload_bytes, has_payload, told), where
-    ``told`` is what a revisit already referred to."""
+    """Adds record_id, record_type, refers_to and target_uri to (page_id, url, payload, digest, payload_bytes, has_payload,
+    told), where ``told`` is what a revisit already referred to. Of a revisit the payload is empty."""
     records = records.withColumn("page", F.coalesce("page_id", F.lit(NO_PAGE)))
-    headers = stage(records.select("digest", "page", "payload_bytes", "has_payload"), "warc-headers")
-    repeated = stage(repeated_payloads(headers, min_bytes), "warc-repeated")
-    decided = headers.select("digest", "page").join(repeated, "digest").distinct()
-    # by digest and page, so that the records of a frequent payload stay spread
-    joined = records.join(decided, ["digest", "page"], "left")
-    same = Window.partitionBy("digest", "page").orderBy(F.col("has_payload").desc(), "url")
-    joined = joined.withColumn("nth", F.row_number().over(same))
-    large = F.col("payload_bytes") >= min_bytes
-    alone = ~large | F.col("original").isNull()
-    original = F.col("has_payload") & (alone | (F.col("page") == F.col("original")) & (F.col("nth") == 1))
-    target = F.coalesce(_record_id(F.col("original"), F.lit(1), F.col("digest")), F.col("told"))
-    return joined.select(
-        "page_id", "url", "payload", "digest", "payload_bytes", _record_id(F.col("page"), F.col("nth"), F.col("digest")).alias("record_id"),
-        F.when(original, "response").otherwise("revisit").alias("record_type"), F.when(~original, target).alias("refers_to"),
+    shared = F.col("has_payload") & (F.col("payload_bytes") >= min_bytes)
+    # the order in which records of a payload come up for its original: largest page first, whose complement is smallest
+    rank = [F.bitwise_not("page").alias("from_last"), F.col("url").alias("uri")]
+    small = F.when(F.col("has_payload") & ~shared, F.col("payload")).alias("small")
+    headers = stage(
+        records.select("page", *("page_id url digest payload_bytes has_payload told".split()), small, F.monotonically_increasing_id().alias("row")), "warc-headers"
+    )
+    first = headers.filter(shared).groupBy("digest").agg(F.min(F.struct(*rank, "row")).alias("original"))
+    others = headers.join(first, "digest", "left").filter(F.col("original").isNull() | (F.col("row") != F.col("original.row")))
+    kept = F.col("small").isNotNull()
+    target = _record_id(F.bitwise_not("original.from_last"), F.lit(0), F.col("digest"))
+    others = others.select(
+        "page_id", "url", F.coalesce("small", F.lit("")).alias("payload"), "digest", "payload_bytes",
+        _record_id(F.col("page"), F.col("row") + 1, F.coalesce("digest", F.lit(""))).alias("record_id"),
+        F.when(kept, "response").otherwise("revisit").alias("record_type"), F.when(~kept, F.coalesce(target, "told")).alias("refers_to"),
+        F.when(~kept, F.col("original.uri")).alias("target_uri"),
+    )
+    # copies are one row before anything crosses the network; no payload takes part in a join
+    whole = F.min_by(F.struct("page_id", "page", "url", "payload", "payload_bytes"), F.struct(*rank)).alias("record")
+    originals = records.filter(shared).groupBy("digest").agg(whole).select("record.*", "digest")
+    originals = originals.select(
+        "page_id", "url", "payload", "digest", "payload_bytes", _record_id(F.col("page"), F.lit(0), F.col("digest")).alias("record_id"),
+        F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"), F.lit(None).cast("string").alias("target_uri"),
     )
+    return originals.unionAll(others)
 
 
 def _field(name: str, value: Column) -> Column:
@@ -108,6 +112,7 @@ def record_text(date: str | None = None) -> Column:
         F.lit(VERSION + BREAK), _field("WARC-Type", F.col("record_type")), _field("WARC-Record-ID", F.col("record_id")),
         _field("WARC-Date", now), _field("WARC-Target-URI", F.col("url")), _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         _field("WARC-Profile", F.when(revisit, F.lit(REVISIT_PROFILE))), _field("WARC-Refers-To", F.col("refers_to")),
+        _field("WARC-Refers-To-Target-URI", F.col("target_uri")), _field("WARC-Refers-To-Date", F.when(F.col("target_uri").isNotNull(), now)),
         _field(PAGE_FIELD, F.col("page_id").cast("string")), _field("Content-Type", F.lit(RESPONSE_TYPE)),
         _field("Content-Length", size.cast("string")), F.lit(BREAK),
     )
